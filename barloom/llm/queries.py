@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, mixing, simhash, token_output
+from . import decontamination, fingerprint_index, language_id, line_windows, mixing, pii_crf, product_quantisation, simhash, token_output, warc
 from .common import table
 
 END_ID = 1
@@ -37,6 +37,16 @@ def op2_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_windows.dedup_lines(table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.coalesce("_kept", F.lit("")).cast("binary"), 256).alias("kept_sha256")
+    return cut.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), kept)
+
+
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages")))
+
+
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.replicate(table(spark, sf_dir, "documents"))
     return mixed.select("row.doc_id", "row.source", F.col("copy").cast("long").alias("copy"), "place", F.length("row.text").cast("long").alias("text_length"))
@@ -47,20 +57,79 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_index.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op8_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_quantisation.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select("row.doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii_crf.find(docs, pii_crf.train(docs))
+    counts = [pii_crf.count_of(kind).alias(f"n_{kind}") for kind in pii_crf.KINDS]
+    return found.select("doc_id", *counts, "base_sha256", F.col("spelled").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_rans,
         op2_fm_decontamination,
+        op3_line_windows,
+        op4_warc_revisits,
         op5_poisson_mixing,
         op6_simhash,
+        op7_fingerprint_index,
+        op8_product_quantisation,
         op9_ppm_language,
+        op10_pii_crf,
     )
 }
 
-ORACLES: dict[str, str] = {}
+_OP3 = r"""
+WITH t AS (SELECT doc_id, coalesce(string_split(text, chr(10)), []) AS l FROM documents),
+w AS (SELECT doc_id, i, l[i] AS a, l[i + 1] AS b, l[i + 2] AS c FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM t)),
+f AS (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS k FROM w),
+g AS (SELECT DISTINCT doc_id, i + j AS i FROM (SELECT doc_id, i, unnest([0, 1, 2]) AS j FROM f WHERE k > 1)),
+x AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM t),
+y AS (SELECT x.doc_id, string_agg(line, chr(10) ORDER BY x.i) AS kept, count(*) AS n FROM x ANTI JOIN g ON x.doc_id = g.doc_id AND x.i = g.i GROUP BY 1)
+SELECT t.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN y ON t.doc_id = y.doc_id
+"""
+
+_OP4 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS d, max(page_id) OVER (PARTITION BY b) AS m FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND m <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND m <> page_id THEN m END AS refers_to
+FROM q
+"""
+
+_OP5 = """
+WITH s AS (SELECT source, sum(CAST(coalesce(length(text), 0) AS DOUBLE)) AS chars FROM documents GROUP BY 1),
+r AS (SELECT source, pow(chars, 0.5) / sum(pow(chars, 0.5)) OVER () * sum(chars) OVER () / chars AS rate FROM s WHERE chars > 0),
+d AS (SELECT doc_id, source, text, rate, greatest(CAST(ceil(coalesce(rate, 1) / 8.0) AS INT), 1) AS parts
+      FROM documents LEFT JOIN r USING (source)),
+u AS (SELECT *, rate / parts AS part_rate, CAST(('0x' || substr(md5('17:' || part || ':' || doc_id), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+      FROM (SELECT *, unnest(range(1, parts + 1)) AS part FROM d)),
+k AS (SELECT doc_id, sum(CASE WHEN rate IS NULL THEN 1 ELSE
+        list_reduce(list_prepend({'t': exp(-part_rate), 's': exp(-part_rate), 'k': 0::DOUBLE},
+                                 list_transform(range(1, 49), lambda i: {'t': i::DOUBLE, 's': 0::DOUBLE, 'k': 0::DOUBLE})),
+          lambda a, b: {'t': a.t * part_rate / b.t, 's': a.s + a.t * part_rate / b.t, 'k': a.k + CASE WHEN u >= a.s THEN 1 ELSE 0 END}).k END) AS n
+      FROM u GROUP BY 1),
+c AS (SELECT d.doc_id, d.source, d.text, unnest(range(1, CAST(n AS BIGINT) + 1)) AS copy FROM d JOIN k USING (doc_id))
+SELECT doc_id, source, CAST(copy AS BIGINT) AS copy,
+       CAST(('0x' || substr(md5('18:0:' || doc_id || '/' || copy), 1, 13)) AS BIGINT) AS place,
+       CAST(length(text) AS BIGINT) AS text_length
+FROM c
+"""
+
+ORACLES: dict[str, str] = {"op3_line_windows": _OP3, "op4_warc_revisits": _OP4, "op5_poisson_mixing": _OP5}
