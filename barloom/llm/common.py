@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
+from ..sources.storage import scratch
 
 #: Bytes of text handled at once inside a task. Numpy temporaries are about 40 times this.
 SLICE_BYTES = 1 << 20
@@ -22,27 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (`spark.checkpoint.dir`).
-
-    Only a plain local session without that setting gets a temporary folder.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not re.fullmatch(r"local(\[[^,\]]*(,\s*\d+)?\])?", context.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = context.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="spark-")
-    return _local_dirs[app]
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, and read it back."""
     spark = df.sparkSession
@@ -51,6 +28,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have finished steps give their disk back before the next one starts.
+
+    Spark deletes a shuffle's files once the driver has collected what refers to
+    it, else at spark.cleaner.periodicGC.interval. Steps that each move as much
+    as the input should not pile up that long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the named text column holds about `limit` bytes a piece.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, materialize, range_hash, scratch, text_buffer, text_slices
+from .common import SPACED, Words, materialize, range_hash, release, scratch, text_buffer, text_slices
 
 WINDOW = 13
 #: A window's fingerprint is the least hash of its runs of GRAM words. Neighbouring
@@ -62,32 +62,41 @@ class FingerprintIndex:
         self.spark, self.path, self.runs = spark, path or scratch(spark, "prints"), list(runs or [])
         self._made = len(self.runs)
 
-    def _read(self) -> DataFrame:
-        return self.spark.read.schema("print long, first_doc long").parquet(*self.runs)
+    def _read(self, *runs: str) -> DataFrame:
+        return self.spark.read.schema("print long, first_doc long, old boolean, repeated boolean").parquet(*(runs or self.runs))
 
     def _write(self, rows: DataFrame) -> str:
         self._made += 1
         place = f"{self.path}/run-{self._made:06d}"
-        rows.select("print", "first_doc").sortWithinPartitions("print").write.option("compression", "zstd").parquet(place)
+        rows.sortWithinPartitions("print").write.option("compression", "zstd").parquet(place)
         return place
 
     def ingest(self, docs: DataFrame) -> DataFrame:
-        """Take in a batch (doc_id, text); give the fingerprints (print) that it repeats, from itself or from the runs."""
+        """Take in a batch (doc_id, text); give the fingerprints (print) that it repeats, from itself or from the runs.
+
+        The new run lists all of the batch's fingerprints and marks those that an
+        older run holds; only the others count when it is merged later.
+        """
         entries = docs.mapInArrow(_entries, "print long, doc_id long")
         fresh = entries.select("print", F.col("doc_id").alias("low"), F.col("doc_id").alias("high"), F.lit(False).alias("old"))
         if self.runs:
-            fresh = fresh.unionByName(self._read().select("print", F.col("first_doc").alias("low"), F.col("first_doc").alias("high"), F.lit(True).alias("old")))
-        # the merge join of the sorted inputs: history and batch meet under their fingerprint
+            held = self._read().where("not old")
+            fresh = fresh.unionByName(held.select("print", F.col("first_doc").alias("low"), F.col("first_doc").alias("high"), F.lit(True).alias("old")))
+        # history and batch meet under their fingerprint, after partial minima and maxima on each side
         merged = fresh.groupBy("print").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc"), F.max("old").alias("old"), F.min("old").alias("only_old"))
-        merged = materialize(merged.where(~F.col("only_old")).select("print", "first_doc", (F.col("first_doc") < F.col("last_doc")).alias("repeated"), "old"), "prints-merged")
-        self.runs.append(self._write(merged.where(~F.col("old"))))
+        place = self._write(merged.where(~F.col("only_old")).select("print", "first_doc", "old", (F.col("first_doc") < F.col("last_doc")).alias("repeated")))
+        del entries, fresh, merged
+        release(self.spark)
+        self.runs.append(place)
+        repeated = self._read(place).where("repeated").select("print")
         if len(self.runs) > FAN_IN:
             self.compact()
-        return merged.where("repeated").select("print")
+        return repeated
 
     def compact(self) -> None:
         """Merge all runs into one, the smallest doc_id of each fingerprint."""
-        self.runs = [self._write(self._read().groupBy("print").agg(F.min("first_doc").alias("first_doc")))]
+        merged = self._read().where("not old").groupBy("print").agg(F.min("first_doc").alias("first_doc"))
+        self.runs = [self._write(merged.select("print", "first_doc", F.lit(False).alias("old"), F.lit(False).alias("repeated")))]
 
 
 class Filter:
@@ -183,9 +192,12 @@ def repeated_windows(docs: DataFrame, index: FingerprintIndex | None = None, bat
     for more in found[1:]:
         prints = prints.unionByName(more)
     shared = spark.sparkContext.broadcast(Filter.build(prints))
-    windows = materialize(docs.mapInArrow(_candidates(shared), "h1 long, h2 int, doc_id long, at int"), "prints-windows")
+    release(spark)
+    # hashing again costs less than keeping the candidates: the scan is cheap, and they may be a third of all windows
+    windows = docs.mapInArrow(_candidates(shared), "h1 long, h2 int, doc_id long, at int")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("h1", "h2", "first_doc")
     first = materialize(first, "prints-first")
+    release(spark)
     return windows.join(first, ["h1", "h2"]).where("doc_id > first_doc").select("doc_id", "at")
 
 
@@ -221,5 +233,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     at = repeated_windows(texts, index, batches)
-    places = at.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
+    places = materialize(at.groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("at")), "prints-removed")
+    del at
+    release(docs.sparkSession)
     return texts.join(places, "doc_id", "left").select("doc_id", "text", "at").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
