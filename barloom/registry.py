@@ -1,4 +1,8 @@
 """All queries of the market-data operators and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from .plans.oracles import ORACLES
+from .plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
