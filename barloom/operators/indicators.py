@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.contracts import typical_price
 from ..functions.market_time import Calendar
-from .recurrence import Recurrence, scan
-from .series import RUN, over_run, rows_before, with_runs
+from .recurrence import Derive, Smooth, scan
+from .series import RUN, SERIES, over_run, rows_before, with_runs
 
 MACD_FAST, MACD_SIGNAL = 12, 9
 #: The default catalogue: indicator name and period.
@@ -17,6 +18,7 @@ CATALOGUE = [
     ("atr", 14), ("rsi", 14), ("adx", 14), ("plus_di", 14), ("minus_di", 14), ("sma", 20), ("ema", 20), ("macd", 26),
     ("macd_signal", 26), ("macd_histogram", 26), ("vwap", 1), ("bb_middle", 20), ("bb_upper", 20), ("bb_lower", 20), ("vwap_rolling", 20),
 ]
+_FAMILY = {"bb_middle": "bb", "bb_upper": "bb", "bb_lower": "bb", "macd_signal": "macd", "macd_histogram": "macd", "plus_di": "di", "minus_di": "di", "adx": "di"}
 
 
 def warmup(name: str, period: int) -> int:
@@ -28,138 +30,161 @@ def warmup(name: str, period: int) -> int:
     return {"adx": 2 * period, "vwap": 1}.get(name, period)
 
 
-def _numbered(bars: DataFrame) -> DataFrame:
-    return with_runs(bars).withColumn("_n", F.row_number().over(over_run()))
-
-
-def _seeded(rows: DataFrame, x: str, first: int, n: int, name: str) -> DataFrame:
-    """Column `name`: at row `first + n - 1` of the run the mean of x over rows first..first+n-1, else NULL."""
-    return rows.withColumn(name, F.when(F.col("_n") == first + n - 1, F.avg(x).over(rows_before(n))))
+def _moves() -> dict[str, Column]:
+    """What a bar adds to the one before it; NULL on the first bar of a run."""
+    w = over_run()
+    close, high, low = (F.lag(c).over(w) for c in ("close", "high", "low"))
+    up, down = F.col("high") - high, low - F.col("low")
+    known = lambda c: F.when(close.isNotNull(), c)
+    return {
+        "_tr": known(F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - close), F.abs(F.col("low") - close))),
+        "_gain": known(F.greatest(F.col("close") - close, F.lit(0.0))),
+        "_loss": known(F.greatest(close - F.col("close"), F.lit(0.0))),
+        "_plus": known(F.when((up > down) & (up > 0), up).otherwise(0.0)),
+        "_minus": known(F.when((down > up) & (down > 0), down).otherwise(0.0)),
+    }
+
+
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """100 a / b; missing where b is missing or zero."""
+    return 100 * np.divide(a, b, out=np.full(len(a), np.nan), where=~np.isnan(b) & (b != 0))
+
+
+def _strength(gain: np.ndarray, loss: np.ndarray) -> np.ndarray:
+    out = _ratio(gain, gain + loss)
+    out[(gain == 0) & (loss == 0)] = 50.0
+    return out
+
+
+def _steps(family: str, n: int) -> tuple[list[Smooth | Derive], set[str]]:
+    """The recurrences of a family, and the moves that they need; columns are named `<indicator>_<n>`."""
+    if family == "ema":
+        return [Smooth(f"ema_{n}", "close", n, 2 / (n + 1))], set()
+    if family == "macd":
+        if n <= MACD_FAST:
+            raise ValueError(f"the slow period must be over {MACD_FAST}")
+        return [
+            Smooth(f"_fast_{n}", "close", MACD_FAST, 2 / (MACD_FAST + 1)),
+            Smooth(f"_slow_{n}", "close", n, 2 / (n + 1)),
+            Derive(f"macd_{n}", (f"_fast_{n}", f"_slow_{n}"), np.subtract),
+            Smooth(f"macd_signal_{n}", f"macd_{n}", MACD_SIGNAL, 2 / (MACD_SIGNAL + 1)),
+            Derive(f"macd_histogram_{n}", (f"macd_{n}", f"macd_signal_{n}"), np.subtract),
+        ], set()
+    if family == "atr":
+        return [Smooth(f"atr_{n}", "_tr", n, 1 / n)], {"_tr"}
+    if family == "rsi":
+        return [Smooth(f"_g_{n}", "_gain", n, 1 / n), Smooth(f"_l_{n}", "_loss", n, 1 / n), Derive(f"rsi_{n}", (f"_g_{n}", f"_l_{n}"), _strength)], {"_gain", "_loss"}
+    return [
+        Smooth(f"_t_{n}", "_tr", n, 1 / n),
+        Smooth(f"_p_{n}", "_plus", n, 1 / n),
+        Smooth(f"_m_{n}", "_minus", n, 1 / n),
+        Derive(f"plus_di_{n}", (f"_p_{n}", f"_t_{n}"), _ratio),
+        Derive(f"minus_di_{n}", (f"_m_{n}", f"_t_{n}"), _ratio),
+        Derive(f"_dx_{n}", (f"plus_di_{n}", f"minus_di_{n}"), lambda p, m: _ratio(np.abs(p - m), p + m)),
+        # each stretch of measured values is smoothed for itself
+        Smooth(f"adx_{n}", f"_dx_{n}", n, 1 / n, reset=True),
+    ], {"_tr", "_plus", "_minus"}
+
+
+def _framed(family: str, n: int, calendar: Calendar | None) -> dict[str, Column]:
+    """Indicators that a frame of rows gives; `_n` numbers the rows of a run."""
+    w, warm = rows_before(n), F.col("_n") >= n
+    if family == "sma":
+        return {f"sma_{n}": F.when(warm, F.avg("close").over(w))}
+    if family == "bb":
+        mean, deviation = F.avg("close").over(w), F.stddev_pop("close").over(w)
+        return {f"bb_middle_{n}": F.when(warm, mean), f"bb_upper_{n}": F.when(warm, mean + 2 * deviation), f"bb_lower_{n}": F.when(warm, mean - 2 * deviation)}
+    if family == "vwap_rolling":
+        price, volume = F.sum(typical_price() * F.col("volume")).over(w), F.sum("volume").over(w)
+        return {f"vwap_rolling_{n}": F.when(warm & (volume > 0), price / volume)}
+    assert calendar is not None
+    session = Window.partitionBy(*RUN, "trade_date").orderBy("bucket_start").rowsBetween(Window.unboundedPreceding, 0)
+    price, volume = F.sum(typical_price() * F.col("volume")).over(session), F.sum("volume").over(session)
+    return {f"vwap_{n}": F.when(F.col("trade_date").isNotNull() & (volume > 0), price / volume)}
+
+
+def wide(bars: DataFrame, families: list[tuple[str, int]], calendar: Calendar | None = None) -> DataFrame:
+    """Bars with run_id and the columns of all families asked: one exchange by series, its windows, and one pass for all recurrences."""
+    rows = with_runs(bars).withColumn("_n", F.row_number().over(over_run()))
+    steps: list[Smooth | Derive] = []
+    needs: set[str] = set()
+    if any(f == "vwap" for f, _ in families):
+        rows = rows.withColumn("trade_date", calendar.trade_date("bucket_start"))
+    for family, n in families:
+        if family in ("sma", "bb", "vwap", "vwap_rolling"):
+            rows = rows.withColumns(_framed(family, n, calendar))
+        else:
+            more, moves = _steps(family, n)
+            steps += more
+            needs |= moves
+    if needs:
+        made = _moves()
+        rows = rows.withColumns({k: made[k] for k in sorted(needs)})
+    if steps:
+        rows = scan(rows, RUN, "bucket_start", steps)
+    return rows.drop("_n", *needs, *[s.name for s in steps if s.name.startswith("_")])
+
+
+def _one(bars: DataFrame, family: str, n: int, columns: dict[str, str], calendar: Calendar | None = None) -> DataFrame:
+    return wide(bars, [(family, n)], calendar).withColumnsRenamed({f"{k}_{n}": v for k, v in columns.items()})
 
 
 def sma(bars: DataFrame, n: int = 20) -> DataFrame:
-    rows = _numbered(bars)
-    return rows.withColumn("value", F.when(F.col("_n") >= n, F.avg("close").over(rows_before(n)))).drop("_n")
+    return _one(bars, "sma", n, {"sma": "value"})
 
 
-def bollinger(bars: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
+def bollinger(bars: DataFrame, n: int = 20) -> DataFrame:
     """Columns middle, upper and lower: the mean and two population deviations around it."""
-    rows = _numbered(bars)
-    mean, deviation = F.avg("close").over(rows_before(n)), F.stddev_pop("close").over(rows_before(n))
-    warm = F.col("_n") >= n
-    return rows.withColumn("middle", F.when(warm, mean)).withColumn("upper", F.when(warm, mean + width * deviation)).withColumn("lower", F.when(warm, mean - width * deviation)).drop("_n")
+    return _one(bars, "bb", n, {"bb_middle": "middle", "bb_upper": "upper", "bb_lower": "lower"})
 
 
 def ema(bars: DataFrame, n: int = 20) -> DataFrame:
-    rows = _seeded(_numbered(bars), "close", 1, n, "_seed")
-    return scan(rows, RUN, "bucket_start", [Recurrence("value", 2 / (n + 1), "close", "_seed")]).drop("_seed", "_n")
+    return _one(bars, "ema", n, {"ema": "value"})
 
 
 def macd(bars: DataFrame, slow: int = 26) -> DataFrame:
     """Columns line, signal and histogram."""
-    if slow <= MACD_FAST:
-        raise ValueError(f"the slow period must be over {MACD_FAST}")
-    rows = _seeded(_seeded(_numbered(bars), "close", 1, MACD_FAST, "_fast"), "close", 1, slow, "_slow")
-    rows = scan(rows, RUN, "bucket_start", [Recurrence("_f", 2 / (MACD_FAST + 1), "close", "_fast"), Recurrence("_s", 2 / (slow + 1), "close", "_slow")])
-    rows = rows.withColumn("line", F.nanvl("_f", F.lit(None)) - F.nanvl("_s", F.lit(None)))
-    rows = _seeded(rows, "line", slow, MACD_SIGNAL, "_seed")
-    rows = scan(rows, RUN, "bucket_start", [Recurrence("signal", 2 / (MACD_SIGNAL + 1), "line", "_seed")])
-    rows = rows.withColumn("signal", F.nanvl("signal", F.lit(None)))
-    return rows.withColumn("histogram", F.col("line") - F.col("signal")).drop("_fast", "_slow", "_f", "_s", "_seed", "_n")
-
-
-def _true_range(rows: DataFrame) -> DataFrame:
-    before = F.lag("close").over(over_run())
-    wide = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
-    return rows.withColumn("_tr", F.when(before.isNotNull(), wide))
+    return _one(bars, "macd", slow, {"macd": "line", "macd_signal": "signal", "macd_histogram": "histogram"})
 
 
 def atr(bars: DataFrame, n: int = 14) -> DataFrame:
     """Column value: Wilder's mean of the true range, first at the bar after n changes."""
-    rows = _seeded(_true_range(_numbered(bars)), "_tr", 2, n, "_seed")
-    rows = scan(rows, RUN, "bucket_start", [Recurrence("value", 1 / n, "_tr", "_seed")])
-    return rows.withColumn("value", F.nanvl("value", F.lit(None))).drop("_tr", "_seed", "_n")
+    return _one(bars, "atr", n, {"atr": "value"})
 
 
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
-    move = F.col("close") - F.lag("close").over(over_run())
-    rows = _numbered(bars).withColumn("_gain", F.greatest(move, F.lit(0.0))).withColumn("_loss", F.greatest(-move, F.lit(0.0)))
-    rows = rows.withColumn("_gain", F.when(F.col("_n") > 1, F.col("_gain"))).withColumn("_loss", F.when(F.col("_n") > 1, F.col("_loss")))
-    rows = _seeded(_seeded(rows, "_gain", 2, n, "_gs"), "_loss", 2, n, "_ls")
-    rows = scan(rows, RUN, "bucket_start", [Recurrence("_g", 1 / n, "_gain", "_gs"), Recurrence("_l", 1 / n, "_loss", "_ls")])
-    g, loss = F.col("_g"), F.col("_l")
-    value = F.when(F.isnan(g), None).when((g == 0) & (loss == 0), 50.0).when(loss == 0, 100.0).otherwise(100 * g / (g + loss))
-    return rows.withColumn("value", value).drop("_gain", "_loss", "_gs", "_ls", "_g", "_l", "_n")
+    return _one(bars, "rsi", n, {"rsi": "value"})
 
 
 def directional(bars: DataFrame, n: int = 14) -> DataFrame:
     """Columns plus_di, minus_di and adx; adx starts anew after each bar whose directional index cannot be measured."""
-    w = over_run()
-    up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
-    rows = _true_range(_numbered(bars))
-    rows = rows.withColumn("_plus", F.when(F.col("_n") > 1, F.when((up > down) & (up > 0), up).otherwise(0.0))).withColumn("_minus", F.when(F.col("_n") > 1, F.when((down > up) & (down > 0), down).otherwise(0.0)))
-    for x, name in (("_tr", "_ts"), ("_plus", "_ps"), ("_minus", "_ms")):
-        rows = _seeded(rows, x, 2, n, name)
-    rows = scan(rows, RUN, "bucket_start", [Recurrence(f"_w{k}", 1 / n, x, s) for k, (x, s) in enumerate((("_tr", "_ts"), ("_plus", "_ps"), ("_minus", "_ms")))])
-    known = ~F.isnan("_w0") & (F.col("_w0") != 0)
-    rows = rows.withColumn("plus_di", F.when(known, 100 * F.col("_w1") / F.col("_w0"))).withColumn("minus_di", F.when(known, 100 * F.col("_w2") / F.col("_w0")))
-    total = F.col("plus_di") + F.col("minus_di")
-    rows = rows.withColumn("_dx", F.when(total != 0, 100 * F.abs(F.col("plus_di") - F.col("minus_di")) / total))
-    # islands of measured values: each starts a smoothing of its own
-    rows = rows.withColumn("_island", F.sum(F.when(F.col("_dx").isNull(), 1).otherwise(0)).over(over_run().rowsBetween(Window.unboundedPreceding, 0)))
-    island = Window.partitionBy(*RUN, "_island").orderBy("bucket_start")
-    rows = rows.withColumn("_k", F.sum(F.when(F.col("_dx").isNotNull(), 1).otherwise(0)).over(island.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_seed", F.when((F.col("_k") == n) & F.col("_dx").isNotNull(), F.avg("_dx").over(island.rowsBetween(-(n - 1), 0))))
-    rows = scan(rows, [*RUN, "_island"], "bucket_start", [Recurrence("adx", 1 / n, "_dx", "_seed")])
-    rows = rows.withColumn("adx", F.nanvl("adx", F.lit(None)))
-    return rows.drop("_tr", "_plus", "_minus", "_ts", "_ps", "_ms", "_w0", "_w1", "_w2", "_dx", "_island", "_k", "_seed", "_n")
+    return _one(bars, "di", n, {"plus_di": "plus_di", "minus_di": "minus_di", "adx": "adx"})
 
 
 def vwap(bars: DataFrame, calendar: Calendar) -> DataFrame:
     """Volume-weighted price since the session's open; NULL outside sessions and while nothing has traded."""
-    rows = with_runs(bars).withColumn("trade_date", calendar.trade_date("bucket_start"))
-    w = Window.partitionBy(*RUN, "trade_date").orderBy("bucket_start").rowsBetween(Window.unboundedPreceding, 0)
-    price = F.sum(typical_price() * F.col("volume")).over(w)
-    volume = F.sum("volume").over(w)
-    return rows.withColumn("value", F.when(F.col("trade_date").isNotNull() & (volume > 0), price / volume))
+    return _one(bars, "vwap", 1, {"vwap": "value"}, calendar)
 
 
 def vwap_rolling(bars: DataFrame, n: int = 20) -> DataFrame:
-    rows = _numbered(bars)
-    price, volume = F.sum(typical_price() * F.col("volume")).over(rows_before(n)), F.sum("volume").over(rows_before(n))
-    return rows.withColumn("value", F.when((F.col("_n") >= n) & (volume > 0), price / volume)).drop("_n")
+    return _one(bars, "vwap_rolling", n, {"vwap_rolling": "value"})
 
 
 def heikin_ashi(bars: DataFrame) -> DataFrame:
     """Columns ha_open, ha_close, body_high and body_low."""
     w = over_run()
-    rows = _numbered(bars).withColumn("ha_close", (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4)
-    rows = rows.withColumn("_x", F.lag("ha_close").over(w)).withColumn("_seed", F.when(F.col("_n") == 1, (F.col("open") + F.col("close")) / 2))
-    rows = scan(rows, RUN, "bucket_start", [Recurrence("ha_open", 0.5, "_x", "_seed")])
-    return rows.withColumn("body_high", F.greatest("ha_open", "ha_close")).withColumn("body_low", F.least("ha_open", "ha_close")).drop("_x", "_seed", "_n")
+    rows = with_runs(bars).withColumn("ha_close", (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4)
+    # the first value is the middle of the first body, then the mean of the last open and close
+    rows = rows.withColumn("_x", F.coalesce(F.lag("ha_close").over(w), (F.col("open") + F.col("close")) / 2))
+    rows = scan(rows, RUN, "bucket_start", [Smooth("ha_open", "_x", 1, 0.5)])
+    return rows.withColumn("body_high", F.greatest("ha_open", "ha_close")).withColumn("body_low", F.least("ha_open", "ha_close")).drop("_x")
 
 
 def catalogue(bars: DataFrame, calendar: Calendar, pairs: list[tuple[str, int]] = CATALOGUE) -> DataFrame:
     """Long form: series keys, bucket_start, indicator, period, value; rows without a value are left out."""
     if len(set(pairs)) != len(pairs):
         raise ValueError("each indicator and period can be listed once")
-    keys = ["venue", "instrument", "resolution_minutes", "bucket_start"]
-    made: dict[tuple[str, int], DataFrame] = {}
-    out = []
-    for name, n in pairs:
-        family = {"bb_middle": "bb", "bb_upper": "bb", "bb_lower": "bb", "macd_signal": "macd", "macd_histogram": "macd", "plus_di": "di", "minus_di": "di", "adx": "di"}.get(name, name)
-        if (family, n) not in made:
-            made[family, n] = {
-                "sma": lambda: sma(bars, n), "ema": lambda: ema(bars, n), "bb": lambda: bollinger(bars, n), "macd": lambda: macd(bars, n), "atr": lambda: atr(bars, n),
-                "rsi": lambda: rsi(bars, n), "di": lambda: directional(bars, n), "vwap": lambda: vwap(bars, calendar), "vwap_rolling": lambda: vwap_rolling(bars, n),
-            }[family]()
-    # one pass for each family, its columns unfolded by stack
-    columns = {"bb": {"bb_middle": "middle", "bb_upper": "upper", "bb_lower": "lower"}, "macd": {"macd": "line", "macd_signal": "signal", "macd_histogram": "histogram"}, "di": {"plus_di": "plus_di", "minus_di": "minus_di", "adx": "adx"}}
-    for (family, n), rows in made.items():
-        parts = columns.get(family, {family: "value"})
-        wanted = [F.struct(F.lit(name).alias("indicator"), F.col(c).alias("value")) for name, c in parts.items() if (name, n) in pairs]
-        out.append(rows.select(*keys, F.lit(n).alias("period"), F.explode(F.array(*wanted)).alias("v")).select(*keys, "v.indicator", "period", "v.value"))
-    both = out[0]
-    for more in out[1:]:
-        both = both.unionByName(more)
-    return both.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    families = list(dict.fromkeys((_FAMILY.get(name, name), n) for name, n in pairs))
+    rows = wide(bars, families, calendar)
+    values = F.array(*[F.struct(F.lit(name).alias("indicator"), F.lit(n).alias("period"), F.col(f"{name}_{n}").alias("value")) for name, n in pairs])
+    return rows.select(*SERIES, "bucket_start", F.explode(values).alias("v")).select(*SERIES, "bucket_start", "v.indicator", "v.period", "v.value").where("value is not null")

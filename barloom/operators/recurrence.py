@@ -1,8 +1,8 @@
-"""Linear recurrences y = (1 - alpha) * y + alpha * x over sorted series, streamed with constant memory."""
+"""Smoothing recurrences over sorted series: any number of them in one pass with constant memory."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,59 +11,110 @@ from pyspark.sql import DataFrame
 
 
 @dataclass(frozen=True)
-class Recurrence:
-    """`name` starts at the first row where `seed` is not null and then follows `x` with weight `alpha`."""
+class Smooth:
+    """`name` is the mean of the first n values of `x`, then y + alpha * (x - y).
+
+    With `reset`, a missing x drops the state and the next n values in a row seed
+    it anew; without, x may be missing at the start of a series only.
+    """
 
     name: str
-    alpha: float
     x: str
-    seed: str
+    n: int
+    alpha: float
+    reset: bool = False
+
+
+@dataclass(frozen=True)
+class Derive:
+    """`name` made from columns that are there already, by a function of arrays."""
+
+    name: str
+    of: tuple[str, ...]
+    make: Callable[..., np.ndarray]
 
 
-def scan(rows: DataFrame, keys: list[str], order: str, wanted: list[Recurrence]) -> DataFrame:
-    """Add one double column for each recurrence.
+class _State:
+    __slots__ = ("count", "total", "y")
+
+    def __init__(self) -> None:
+        self.count, self.total, self.y = 0, 0.0, None
+
+    def step(self, x: np.ndarray, n: int, alpha: float) -> np.ndarray:
+        out = np.full(len(x), np.nan)
+        at = 0
+        if self.y is None:
+            there = np.flatnonzero(~np.isnan(x))
+            need = n - self.count
+            if len(there) < need:
+                self.count += len(there)
+                self.total += float(x[there].sum())
+                return out
+            at = int(there[need - 1])
+            self.y = (self.total + float(x[there[:need]].sum())) / n
+            out[at] = self.y
+            at += 1
+        if at < len(x):
+            # pandas' exponential mean is this recurrence when its first value is the state
+            chain = pd.Series(np.concatenate([[self.y], x[at:]])).ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
+            out[at:] = chain
+            self.y = float(chain[-1])
+        return out
+
+
+def _smooth(s: Smooth, x: np.ndarray, states: dict[str, _State]) -> np.ndarray:
+    if not s.reset:
+        return states.setdefault(s.name, _State()).step(x, s.n, s.alpha)
+    out = np.full(len(x), np.nan)
+    start = 0
+    for gap in [*np.flatnonzero(np.isnan(x)).tolist(), len(x)]:
+        if gap > start:
+            out[start:gap] = states.setdefault(s.name, _State()).step(x[start:gap], s.n, s.alpha)
+        if gap < len(x):
+            states.pop(s.name, None)
+        start = gap + 1
+    return out
+
+
+def scan(rows: DataFrame, keys: list[str], order: str, steps: list[Smooth | Derive]) -> DataFrame:
+    """Add one double column for each step, in order; a step may use the columns of those before it.
 
     `rows` come from a window over `keys` ordered by `order`, so each series lies
-    sorted in one partition. Record batches are walked in turn and the last
-    values of a series are carried into the next batch: memory does not grow
-    with a series. The step inside a batch is pandas' exponential mean, which is
-    this recurrence when its first value is the seed.
+    sorted in one partition. Record batches are walked in turn, and the state of
+    the last series is carried into the next batch: memory does not grow with a
+    series, and all recurrences share one pass.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carried_key: tuple | None = None
-        carried: dict[str, float] = {}
+        last: tuple | None = None
+        states: dict[str, _State] = {}
         for batch in batches:
             if batch.empty:
                 continue
             code = batch.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
             cuts = np.flatnonzero(np.diff(code)) + 1
-            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(batch)]])
-            out = {r.name: np.full(len(batch), np.nan) for r in wanted}
+            bounds = [0, *cuts.tolist(), len(batch)]
             key_values = batch[keys]
-            for s, e in zip(starts, ends, strict=True):
-                key = tuple(key_values.iloc[s])
-                if key != carried_key:
-                    carried_key, carried = key, {}
-                for r in wanted:
-                    x = batch[r.x].to_numpy(float, na_value=np.nan)[s:e]
-                    if r.name in carried:
-                        chain = np.concatenate([[carried[r.name]], x])
-                        got = pd.Series(chain).ewm(alpha=r.alpha, adjust=False).mean().to_numpy()[1:]
-                        out[r.name][s:e] = got
-                    else:
-                        seeds = np.flatnonzero(~np.isnan(batch[r.seed].to_numpy(float, na_value=np.nan)[s:e]))
-                        if not len(seeds):
-                            continue
-                        at = int(seeds[0])
-                        chain = x[at:].copy()
-                        chain[0] = batch[r.seed].to_numpy(float, na_value=np.nan)[s + at]
-                        got = pd.Series(chain).ewm(alpha=r.alpha, adjust=False).mean().to_numpy()
-                        out[r.name][s + at : e] = got
-                    carried[r.name] = float(got[-1])
-            yield batch.assign(**out)
+            columns: dict[str, np.ndarray] = {}
+
+            def column(name: str, batch: pd.DataFrame = batch, columns: dict[str, np.ndarray] = columns) -> np.ndarray:
+                if name not in columns:
+                    columns[name] = batch[name].to_numpy(float, na_value=np.nan)
+                return columns[name]
+
+            # what is carried has to be kept for each step at the start of every series of the batch
+            series = [tuple(key_values.iloc[s]) for s in bounds[:-1]]
+            held = [states if k == 0 and series[0] == last else {} for k in range(len(series))]
+            for step in steps:
+                if isinstance(step, Derive):
+                    columns[step.name] = step.make(*map(column, step.of))
+                else:
+                    x = column(step.x)
+                    columns[step.name] = np.concatenate([_smooth(step, x[s:e], own) for s, e, own in zip(bounds[:-1], bounds[1:], held, strict=True)])
+            last, states = series[-1], held[-1]
+            yield batch.assign(**{s.name: columns[s.name] for s in steps})
 
     schema = rows.schema
-    for r in wanted:
-        schema = schema.add(r.name, "double")
+    for s in steps:
+        schema = schema.add(s.name, "double")
     return rows.sortWithinPartitions(*keys, order).mapInPandas(run, schema)

@@ -35,13 +35,13 @@ def session_bars(bars: DataFrame, windows: DataFrame, calendar: Calendar, now: C
         F.min("low").alias("low"),
         F.max_by("close", "bucket_start").alias("close"),
         F.sum("volume").alias("volume"),
-        F.count_distinct(F.when(F.col("there"), F.coalesce("contract_id", F.lit("?")))).alias("contracts"),
+        (F.min(F.coalesce("contract_id", F.when(F.col("there"), F.lit("?")))) != F.max(F.coalesce("contract_id", F.when(F.col("there"), F.lit("?"))))).alias("mixed"),
         F.max("contract_id").alias("contract_id"),
     )
     reason = (
         F.when(F.col("end_utc") > now, "NotClosed")
         .when(F.col("held") < F.col("expected"), "Incomplete")
-        .when(F.col("contracts") > 1, "SpansRoll")
+        .when(F.col("mixed"), "SpansRoll")
         .when(F.col("contract_id").isNull(), "ProvenanceUnknown")
     )
     got = got.withColumn("absence", reason).withColumn("missing", F.when(F.col("absence") == "Incomplete", F.col("expected") - F.col("held")))

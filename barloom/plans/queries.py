@@ -35,10 +35,6 @@ def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calendars.day_span(samples.trades(spark, sf_dir), "trade_time_utc")
 
 
-def _atr(bars: DataFrame) -> DataFrame:
-    return indicators.atr(bars).select(*series.SERIES, "bucket_start", F.col("value").alias("atr"))
-
-
 # --- scans, sources, sinks ----------------------------------------------------------------------------------------------
 
 
@@ -639,8 +635,9 @@ def _zone_columns(zones):
 
 
 def _level_bars(spark, sf_dir):
-    b = series.newest_segment(series.latest(samples.bars(spark, sf_dir), 300)).drop("run_id")
-    return b, _atr(b)
+    """The newest run of the last 300 bars of each series, and its average range: small, and read by every method."""
+    rows = indicators.atr(series.newest_segment(series.latest(samples.bars(spark, sf_dir), 300)).drop("run_id")).cache()
+    return rows.drop("value", "run_id"), rows.select(*series.SERIES, "bucket_start", F.col("value").alias("atr"))
 
 
 def _zones(spark, sf_dir):
