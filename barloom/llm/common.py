@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,25 +20,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Have Spark delete the shuffle files of what is run inside as soon as it has ended.
+
+    A stored step is read from its table, so nothing needs its shuffles again.
+    Otherwise they stay until the driver happens to collect its garbage, and the
+    steps of an operator pile up on the disks.
+    """
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, and read it back."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Have finished steps give their disk back before the next one starts.
-
-    Spark deletes a shuffle's files once the driver has collected what refers to
-    it, else at spark.cleaner.periodicGC.interval. Steps that each move as much
-    as the input should not pile up that long.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the named text column holds about `limit` bytes a piece.
 

@@ -43,6 +43,11 @@ class Table:
         self.f = frequencies.astype(np.uint64)
         self.start = np.concatenate([[0], np.cumsum(frequencies)[:-1]]).astype(np.uint64)
         self.symbol = np.repeat(np.arange(len(frequencies), dtype=np.uint32), frequencies)
+        #: A slot's place within its symbol.
+        self.rest = (np.arange(len(self.symbol)) - self.start[self.symbol].astype(np.int64)).astype(np.uint64)
+        #: A state from here on has to give up a word first; a symbol that fills the whole table never asks for that.
+        self.bound = np.where(self.f < _FULL, self.f << _ROOM, np.uint64((1 << 64) - 1))
+        self.f = np.maximum(self.f, np.uint64(1))
 
 
 def encode(table: Table, lanes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,18 +56,20 @@ def encode(table: Table, lanes: np.ndarray, lengths: np.ndarray) -> tuple[np.nda
     state = np.full(n, _LOW, np.uint64)
     words = np.zeros((n, steps), np.uint32)
     used = np.zeros(n, np.int64)
+    shortest = int(lengths.min(initial=steps))
+    columns = np.ascontiguousarray(lanes.T)
     for step in range(steps - 1, -1, -1):
-        live = lengths > step
-        symbol = lanes[:, step]
-        f = np.where(live, table.f[symbol], _FULL)
-        # a symbol that fills the whole table never overflows a state, and its bound would not fit in 64 bits
-        over = np.flatnonzero(live & (f < _FULL) & (state >= f << _ROOM))
+        symbol = columns[step]
+        f, bound = table.f[symbol], table.bound[symbol]
+        full = step < shortest
+        over = np.flatnonzero(state >= bound) if full else np.flatnonzero((lengths > step) & (state >= bound))
         if len(over):
             used[over] += 1
             words[over, steps - used[over]] = state[over].astype(np.uint32)
             state[over] >>= _WORD
-        q, r = np.divmod(state, f)
-        state = np.where(live, (q << _SCALE) + r + table.start[symbol], state)
+        # (q << SCALE) + r + start, with r = state - q * f
+        new = state + (state // f) * (_FULL - f) + table.start[symbol]
+        state = new if full else np.where(lengths > step, new, state)
     take = np.arange(steps)[None, :] >= (steps - used)[:, None]
     return words[take], used, state
 
@@ -70,22 +77,24 @@ def encode(table: Table, lanes: np.ndarray, lengths: np.ndarray) -> tuple[np.nda
 def decode(table: Table, words: np.ndarray, used: np.ndarray, state: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The lanes again; cells beyond a lane's length are 0."""
     n, steps = len(lengths), int(lengths.max(initial=0))
-    out = np.zeros((n, steps), np.uint32)
+    out = np.zeros((steps, n), np.uint32)
     at = np.cumsum(used) - used
     state = state.copy()
     padded = np.concatenate([words, np.zeros(1, np.uint32)])
+    shortest = int(lengths.min(initial=0))
     for step in range(steps):
-        live = np.flatnonzero(lengths > step)
+        full = step < shortest
+        live = slice(None) if full else np.flatnonzero(lengths > step)
         x = state[live]
-        slot = x & _MASK
+        slot = (x & _MASK).astype(np.int64)
         symbol = table.symbol[slot]
-        out[live, step] = symbol
-        x = table.f[symbol] * (x >> _SCALE) + slot - table.start[symbol]
-        low = x < _LOW
-        more = live[low]
+        out[step, live] = symbol
+        x = table.f[symbol] * (x >> _SCALE) + table.rest[slot]
+        low = np.flatnonzero(x < _LOW)
+        more = low if full else live[low]
         x[low] = (x[low] << _WORD) | padded[at[more]]
         at[more] += 1
         state[live] = x
     if (state != _LOW).any() or (at != np.cumsum(used)).any():
         raise ValueError("a lane does not end in the state that it began with")
-    return out
+    return np.ascontiguousarray(out.T)

@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import materialize, scratch, text_slices
+from .common import materialize, scratch, shuffles_dropped, text_slices
 
 MAGIC = b"RANSBLK1"
 LANES, STEPS = 1024, 256
 #: A block closes at so many ids; a file has so many blocks at most, about 20 MB unless a document is longer.
 BLOCK_IDS, FILE_BLOCKS = 1 << 19, 32
 #: Chunks of text whose ids a worker remembers.
-MEMORY = 600_000
+MEMORY = 1_000_000
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -48,13 +48,49 @@ def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
+def _byte_characters() -> dict[int, str]:
+    """The printable stand-in of each byte in a byte-level vocabulary: itself, or the next free one from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) if b in own else chr(256 + others.index(b)) for b in range(256)}
+
+
+class _Chunks(dict):
+    """Chunk to ids, as bytes; what is not remembered is encoded on the way."""
+
+    def __init__(self, tokenizer, kind: str):
+        super().__init__()
+        self.tokenizer, self.model, self.characters = tokenizer, tokenizer.model, _byte_characters()
+        self.letter = {"<u2": "H", "<u4": "I"}[kind]
+
+    def __missing__(self, chunk: str) -> bytes:
+        core = chunk.rstrip(".,;:!?")
+        if core != chunk and core and core[-1].isalnum():
+            # letters and digits never share a token with the signs after them
+            out = self[core] + self[chunk[len(core) :]]
+        else:
+            if chunk.isalpha() and (chunk.isascii() or max(chunk) < _LATIN_END):
+                # a run of letters is one word of the model
+                word = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.characters)
+                ids = [t.id for t in self.model.tokenize(word)]
+            else:
+                ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+            out = struct.pack(f"<{len(ids)}{self.letter}", *ids)
+        self[chunk] = out
+        return out
+
+
+_LATIN_END = "\u0250"
+
+
 class ChunkEncoder:
-    """Encodes white-space separated chunks with the tokenizer, and remembers them.
+    """Encodes the white-space separated chunks of texts with the tokenizer, and remembers them.
 
     The tokenizer drops white space and never joins what it separates, so a
-    text's ids are those of its chunks in turn. It also lower-cases, so chunks of
-    plain Latin texts are lowered first and met more often; texts with other
-    characters, or with what might be a special token, are left as they are.
+    text's ids are those of its chunks in turn. It also lower-cases, so plain
+    Latin texts are lowered first and their chunks met more often. Texts with
+    other characters, odd spaces, or what might be a special token go to the
+    tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -66,26 +102,15 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = id_type(self.tokenizer.get_vocab_size())
-        self.known: dict[str, bytes] = {}
-        self.special = re.compile("[^\x00-ɏ]|<\\|")
-        self.spaces = re.compile("[ \t\n\r]+")
+        self.known = _Chunks(self.tokenizer, self.kind)
+        self.other = re.compile(f"[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u024f]|<\\|")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [(x if self.special.search(x) else x.lower()).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
+    def encode(self, text: str) -> bytes:
+        if self.other.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         if len(self.known) > MEMORY:
             self.known.clear()
-        known = self.known
-        # what is not remembered is encoded, each chunk once
-        new = {w for words in split for w in words if w not in known}
-        rest = []
-        for w in new:
-            if w.isascii() and w.isalpha():
-                known[w] = np.array([t.id for t in self.tokenizer.model.tokenize(w.lower())], self.kind).tobytes()
-            else:
-                rest.append(w)
-        for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, self.kind).tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        return b"".join(map(self.known.__getitem__, text.lower().split()))
 
 
 def vocabulary_size(tokenizer: str) -> int:
@@ -103,7 +128,7 @@ def encode_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_
         encoder = _tokenizers[tokenizer]
         end = np.array([end_id], encoder.kind).tobytes()
         for part in text_slices(batches, "text"):
-            ids = [x + end for x in encoder.encode([t or "" for t in part.column("text").to_pylist()])]
+            ids = [encoder.encode(t or "") + end for t in part.column("text").to_pylist()]
             n = np.array([len(x) // len(end) for x in ids], np.int64)
             yield pa.record_batch([part.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
 
@@ -244,7 +269,8 @@ def write_ids(ids: DataFrame, path: str, kind: str = "<u4") -> None:
 
     blocks = placed.repartitionByRange(n, "part").sortWithinPartitions("part", "doc_id", "ids").mapInArrow(run, "block binary")
     # the text writer writes the bytes of a string as they are
-    blocks.select(F.col("block").cast("string")).write.option("maxRecordsPerFile", FILE_BLOCKS).option("lineSep", "\n").text(f"{path}/blocks")
+    with shuffles_dropped(spark):
+        blocks.select(F.col("block").cast("string")).write.option("maxRecordsPerFile", FILE_BLOCKS).option("lineSep", "\n").text(f"{path}/blocks")
 
 
 def read_table(spark: SparkSession, path: str) -> np.ndarray:
