@@ -32,6 +32,11 @@ def at_minute(day: Column, minutes: Column | int) -> Column:
     return from_market(day.cast("timestamp_ntz") + F.make_dt_interval(mins=m))
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, for expressions that name it often. Not compiled: for small tables."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def plus_minutes(instant: Column | str, minutes: Column | int) -> Column:
     m = F.lit(minutes) if isinstance(minutes, int) else minutes
     return col(instant) + F.make_dt_interval(mins=m)
@@ -91,9 +96,11 @@ class Calendar:
 
     def trade_date(self, instant: Column | str) -> Column:
         """Before the close: that day; from the reopening on: the next; NULL in between, and on days without trading."""
-        minute, day = market_minute(instant), market_date(instant)
-        named = F.when(minute < self.close, day).when(minute >= self.open, F.date_add(day, 1))
-        return F.when(self.is_trading_day(named), named)
+        # moved on to midnight, the reopening starts a date; moved from the close, the pause is on the next one already
+        local = to_market(instant)
+        named = F.to_date(local + F.make_dt_interval(mins=F.lit(1440 - self.open)))
+        paused = F.to_date(local + F.make_dt_interval(mins=F.lit(1440 - self.close)))
+        return F.when((named == paused) & self.is_trading_day(named), named)
 
     def ordinary_close(self, day: Column) -> Column:
         return at_minute(day, self.close)

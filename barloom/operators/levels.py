@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.market_time import Calendar, market_date, plus_minutes
+from ..functions.market_time import Calendar, let, market_date, plus_minutes
 from .indicators import heikin_ashi
 from .series import RUN, SERIES, over_run, with_runs
 
@@ -122,15 +122,26 @@ def levels_swing(bars: DataFrame, scales: DataFrame, options: Options = Options(
 
 
 def _dated(bars: DataFrame, scales: DataFrame, calendar: Calendar) -> DataFrame:
-    """Bars with trade date and range, the first bucket of their series, its last bar, and the current trade date."""
-    whole = Window.partitionBy(*KEYS)
+    """Bars with trade date and range, and what their series says: first and last bar, current trade date, the periods before it."""
     rows = bars.join(scales.select(*KEYS, "bucket_start", "atr"), [*KEYS, "bucket_start"], "left").withColumn("trade_date", calendar.trade_date("bucket_start"))
-    return (
-        rows.withColumn("_first", F.min("bucket_start").over(whole))
-        .withColumn("_last", F.max("bucket_start").over(whole))
-        .withColumn("_last_close", F.max_by("close", "bucket_start").over(whole))
-        .withColumn("_current", F.max_by("trade_date", F.when(F.col("trade_date").isNotNull(), F.col("bucket_start"))).over(whole))
+    ends = rows.groupBy(*KEYS).agg(
+        F.min("bucket_start").alias("_first"),
+        F.max("bucket_start").alias("_last"),
+        F.max_by("close", "bucket_start").alias("_last_close"),
+        F.max_by("trade_date", F.when(F.col("trade_date").isNotNull(), F.col("bucket_start"))).alias("_current"),
     )
+    current = F.col("_current")
+    week_days = lambda monday: F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.date_add(monday, k))
+    ends = ends.select(
+        "*",
+        previous_trading_day(current, calendar).alias("_day"),
+        F.date_sub(current, F.weekday(current) + 7).alias("_week"),
+        _session_open(previous_trading_day(current, calendar), calendar).alias("_day_open"),
+        _session_open(F.array_min(F.filter(week_days(F.date_sub(current, F.weekday(current) + 7)), calendar.is_trading_day)), calendar).alias("_week_open"),
+        _session_open(current, calendar).alias("_open"),
+    )
+    # one row a series: its exchange keeps the day arithmetic out of the bars' plan
+    return rows.join(ends, KEYS)
 
 
 def previous_trading_day(day: Column, calendar: Calendar) -> Column:
@@ -141,8 +152,7 @@ def previous_trading_day(day: Column, calendar: Calendar) -> Column:
 
 def _session_open(day: Column, calendar: Calendar) -> Column:
     """The opening of a trade date, NULL if that instant does not belong to it."""
-    open_ = calendar.session_open(day)
-    return F.when(calendar.trade_date(open_) == day, open_)
+    return let(day, lambda d: let(calendar.session_open(d), lambda o: F.when(calendar.trade_date(o) == d, o)))
 
 
 def pivot_lines(formula: str) -> Column:
@@ -168,39 +178,39 @@ def pivot_lines(formula: str) -> Column:
     return F.array(*[F.struct(price.alias("price"), F.lit(names[kind]).cast("string").alias("kind")) for price, kind in lines])
 
 
-def levels_pivot(bars: DataFrame, scales: DataFrame, calendar: Calendar, formula: str, options: Options = Options()) -> DataFrame:
-    """Lines of the trading day before the current one, if the series begins by that day's opening and holds two bars of it."""
-    rows = _dated(bars, scales, calendar).withColumn("_day", previous_trading_day(F.col("_current"), calendar)).where("trade_date = _day")
-    rows = rows.where(F.col("_first") <= _session_open(F.col("_day"), calendar))
+def pivot_zones(bars: DataFrame, scales: DataFrame, calendar: Calendar, formulas: tuple[str, ...], options: Options = Options()) -> DataFrame:
+    """Lines of the trading day before the current one, for each formula (column method).
+
+    The series has to begin by that day's opening and hold two bars of it.
+    """
+    rows = _dated(bars, scales, calendar).where("trade_date = _day and _first <= _day_open")
     period = rows.groupBy(*KEYS, "_day", "_last_close").agg(
         F.min_by("open", "bucket_start").alias("o"), F.max("high").alias("h"), F.min("low").alias("l"), F.max_by("close", "bucket_start").alias("c"),
         F.max_by(F.struct("atr"), "bucket_start").alias("s"), F.max("bucket_start").alias("formed_at"), F.count("*").alias("n"),
     ).where("n >= 2").withColumn("atr", F.col("s.atr")).where("atr > 0").withColumn("significance", (F.col("h") - F.col("l")) / F.col("atr")).where(F.col("significance") >= options.min_significance)
-    lines = period.withColumn("x", F.explode(pivot_lines(formula)))
+    sets = F.explode(F.array(*[F.struct(F.lit(f"pivot-{f}").alias("method"), pivot_lines(f).alias("lines")) for f in formulas]))
+    lines = period.withColumn("m", sets).withColumn("x", F.explode("m.lines"))
     half = F.col("atr") * options.atr_multiple / 2
     kind = F.coalesce("x.kind", F.when(F.col("x.price") > F.col("_last_close"), "Resistance").otherwise("Support"))
-    lines = lines.select(*KEYS, (F.col("x.price") - half).alias("bottom"), (F.col("x.price") + half).alias("top"), kind.alias("kind"), "formed_at", F.lit(1).cast("long").alias("touches"), "significance", F.col("_day").cast("string").alias("period"))
-    return finish(lines, bars, options)
+    return lines.select(*KEYS, (F.col("x.price") - half).alias("bottom"), (F.col("x.price") + half).alias("top"), kind.alias("kind"), "formed_at", F.lit(1).cast("long").alias("touches"), "significance", F.col("_day").cast("string").alias("period"), "m.method")
+
+
+def levels_pivot(bars: DataFrame, scales: DataFrame, calendar: Calendar, formula: str, options: Options = Options()) -> DataFrame:
+    return finish(pivot_zones(bars, scales, calendar, (formula,), options).drop("method"), bars, options)
 
 
 def session_lines(bars: DataFrame, scales: DataFrame, calendar: Calendar, options: Options = Options()) -> DataFrame:
     """The lines of prior day, prior week, overnight and initial balance, each if the series begins by its opening."""
     rows = _dated(bars, scales, calendar)
-    current = F.col("_current")
-    monday = F.date_sub(current, F.weekday(current))
-    week = F.date_sub(monday, 7)
-    week_days = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.date_add(week, k))
-    week_open = _session_open(F.array_min(F.filter(week_days, calendar.is_trading_day)), calendar)
-    day = previous_trading_day(current, calendar)
-    opened = _session_open(current, calendar)
-    balance_end = plus_minutes(opened, 60)
-    today = (F.col("trade_date") == current) & (F.col("_first") <= opened)
-    local, last_local = market_date("bucket_start"), market_date("_last")
+    current, week = F.col("_current"), F.col("_week")
+    today = (F.col("trade_date") == current) & (F.col("_first") <= F.col("_open"))
+    balance_end = plus_minutes("_open", 60)
+    period = lambda name, with_close: F.struct(name.alias("period"), F.lit(with_close).alias("with_close"))
     member = F.array(
-        F.when((F.col("trade_date") == day) & (F.col("_first") <= _session_open(day, calendar)), F.struct(day.cast("string").alias("period"), F.lit(True).alias("with_close"))),
-        F.when((F.col("trade_date") >= week) & (F.col("trade_date") <= F.date_add(week, 6)) & (F.col("_first") <= week_open), F.struct(F.concat(F.lit("week:"), week.cast("string")).alias("period"), F.lit(True).alias("with_close"))),
-        F.when(today & (last_local >= current) & (local < current), F.struct(F.lit("overnight").alias("period"), F.lit(False).alias("with_close"))),
-        F.when(today & (F.col("_last") >= balance_end) & (F.col("resolution_minutes") <= 60) & (F.col("bucket_start") >= opened) & (F.col("bucket_start") < balance_end), F.struct(F.lit("initial-balance").alias("period"), F.lit(False).alias("with_close"))),
+        F.when((F.col("trade_date") == F.col("_day")) & (F.col("_first") <= F.col("_day_open")), period(F.col("_day").cast("string"), True)),
+        F.when((F.col("trade_date") >= week) & (F.col("trade_date") <= F.date_add(week, 6)) & (F.col("_first") <= F.col("_week_open")), period(F.concat(F.lit("week:"), week.cast("string")), True)),
+        F.when(today & (market_date("_last") >= current) & (market_date("bucket_start") < current), period(F.lit("overnight"), False)),
+        F.when(today & (F.col("_last") >= balance_end) & (F.col("resolution_minutes") <= 60) & (F.col("bucket_start") >= F.col("_open")) & (F.col("bucket_start") < balance_end), period(F.lit("initial-balance"), False)),
     )
     rows = rows.withColumn("x", F.explode(F.filter(member, lambda m: m.isNotNull()))).select(*rows.columns, "x.period", "x.with_close")
     # the first bar that reaches an extreme gives the line its time and its scale
@@ -223,24 +233,40 @@ def levels_session(bars: DataFrame, scales: DataFrame, calendar: Calendar, optio
     return finish(session_lines(bars, scales, calendar, options), bars, options)
 
 
-def levels_volume(bars: DataFrame, scales: DataFrame, ladder: DataFrame, area: DataFrame, kind: str, options: Options = Options()) -> DataFrame:
-    """Zones at the point of control (poc), the value area's edges (vah, val) or all other prices (traded).
+VOLUME_KINDS = ("poc", "vah", "val", "traded")
+
+
+def volume_zones(bars: DataFrame, scales: DataFrame, ladder: DataFrame, area: DataFrame, kinds: tuple[str, ...], options: Options = Options()) -> DataFrame:
+    """Zones at the point of control (poc), the value area's edges (vah, val) or all other prices (traded); column method.
 
     ladder: venue, instrument, price, volume; area: venue, instrument, poc, vah,
     val, total_volume, levels. The scale is the newest positive range.
     """
     scale = scales.where("atr > 0").groupBy(*KEYS).agg(F.max_by("atr", "bucket_start").alias("atr"), F.max("bucket_start").alias("formed_at"))
-    rows = ladder.join(area, ["venue", "instrument"]).join(scale, ["venue", "instrument"])
-    if kind == "traded":
-        rows = rows.where((F.col("price") != F.col("poc")) & (F.col("price") != F.col("vah")) & (F.col("price") != F.col("val")))
-    else:
-        rows = rows.where(F.col("price") == F.col(kind))
+    price = F.col("price")
+    is_kind = {k: price == F.col(k) for k in ("poc", "vah", "val")}
+    is_kind["traded"] = ~(is_kind["poc"] | is_kind["vah"] | is_kind["val"])
+    seeds = {"vah": "Resistance", "val": "Support"}
+    found = [F.when(is_kind[k], F.struct(F.lit(f"volume-{k}").alias("method"), F.lit(seeds.get(k, "Unknown")).alias("kind"), F.lit(None if k == "traded" else k).cast("string").alias("period"))) for k in kinds]
+    rows = ladder.join(area, ["venue", "instrument"]).join(scale, ["venue", "instrument"]).withColumn("m", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())))
     significance = F.when(F.col("total_volume") == 0, 0.0).otherwise(F.col("volume") * F.col("levels") / F.col("total_volume"))
     half = F.col("atr") * options.atr_multiple / 2
-    seed = {"vah": "Resistance", "val": "Support"}.get(kind, "Unknown")
-    lines = rows.withColumn("significance", significance).where(F.col("significance") >= options.min_significance)
-    lines = lines.select(*KEYS, (F.col("price") - half).alias("bottom"), (F.col("price") + half).alias("top"), F.lit(seed).alias("kind"), "formed_at", F.lit(1).cast("long").alias("touches"), "significance", F.lit(None if kind == "traded" else kind).cast("string").alias("period"))
-    return finish(lines, bars, options)
+    rows = rows.withColumn("significance", significance).where(F.col("significance") >= options.min_significance)
+    return rows.select(*KEYS, (price - half).alias("bottom"), (price + half).alias("top"), "m.kind", "formed_at", F.lit(1).cast("long").alias("touches"), "significance", "m.period", "m.method")
+
+
+def levels_volume(bars: DataFrame, scales: DataFrame, ladder: DataFrame, area: DataFrame, kind: str, options: Options = Options()) -> DataFrame:
+    return finish(volume_zones(bars, scales, ladder, area, (kind,), options).drop("method"), bars, options)
+
+
+def level_set(bars: DataFrame, scales: DataFrame, calendar: Calendar, ladder: DataFrame, area: DataFrame, options: Options = Options()) -> DataFrame:
+    """Zones of all methods, with columns method and family: the lines of all are merged and capped together, method by method."""
+    lines = zones_from_pivots(swing_pivots(bars, options), scales, options).withColumn("method", F.lit("swing"))
+    lines = lines.unionByName(session_lines(bars, scales, calendar, options).withColumn("method", F.lit("session")))
+    lines = lines.unionByName(pivot_zones(bars, scales, calendar, FORMULAS, options))
+    lines = lines.unionByName(volume_zones(bars, scales, ladder, area, VOLUME_KINDS, options))
+    zones = finish(lines, bars, options, [*KEYS, "method"])
+    return zones.withColumn("family", F.element_at(F.split("method", "-"), 1))
 
 
 def confluence(zones: DataFrame, weights: dict[str, float] | None = None, family_discount: bool = True) -> DataFrame:

@@ -715,20 +715,9 @@ for _kind in ("poc", "vah", "val", "traded"):
     _volume(_kind)
 
 
-def _level_set(spark, sf_dir, bars=None):
-    """Zones of all methods, each with its name and family."""
-    b, scale = bars or _level_bars(spark, sf_dir)
-    ladder, area = _profile(spark, sf_dir)
-    found = {("swing", "swing"): levels.levels_swing(b, scale, SMALL), ("session", "session"): levels.levels_session(b, scale, CAL, SMALL)}
-    for formula in levels.FORMULAS:
-        found[f"pivot-{formula}", "pivot"] = levels.levels_pivot(b, scale, CAL, formula, SMALL)
-    for kind in ("poc", "vah", "val", "traded"):
-        found[f"volume-{kind}", "volume"] = levels.levels_volume(b, scale, ladder, area, kind, SMALL)
-    named = [z.select(*levels.KEYS, *levels.ZONE).withColumn("method", F.lit(m)).withColumn("family", F.lit(f)) for (m, f), z in found.items()]
-    out = named[0]
-    for z in named[1:]:
-        out = out.unionByName(z)
-    return out
+def _level_set(spark, sf_dir):
+    b, scale = _level_bars(spark, sf_dir)
+    return levels.level_set(b, scale, CAL, *_profile(spark, sf_dir), SMALL)
 
 
 @query
