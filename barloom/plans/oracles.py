@@ -522,3 +522,68 @@ SELECT query_id, rank, owner_id, round(s, 6) AS similarity FROM (SELECT *, row_n
 ORACLES |= {name: indicator(name) for name in INDICATORS}
 ORACLES |= {f"levels_pivot_{f}": with_(LEVEL_BARS, PERIOD, pivot(f, "pl")) + ZONE_OUT + "pl" for f in PIVOT_LINES}
 ORACLES |= {f"levels_volume_{k}": with_(LEVEL_BARS, PROFILE, volume_levels(k, "vl")) + ZONE_OUT + "vl" for k in ("poc", "vah", "val", "traded")}
+
+_FILE_ROWS = with_(TRADES) + "SELECT instrument, contract_id, CAST(trade_time_utc AS DATE) AS day, trade_time_utc, sequence, price, size, direction, recorded_at FROM trades WHERE trade_time_utc < TIMESTAMP '2024-01-31'"
+QUOTES = f"""qe AS (SELECT contract_id, trade_time_utc, sequence, event_type <> 'purchase' AS book, struct_pack(bid := CASE WHEN event_type <> 'purchase' THEN price - 0.25 ELSE 0.0::DOUBLE END, ask := CASE WHEN event_type <> 'purchase' THEN price + 0.25 ELSE 0.0::DOUBLE END,
+    last := CASE WHEN event_type = 'purchase' THEN price ELSE 0.0::DOUBLE END, volume := CASE WHEN event_type = 'purchase' THEN size ELSE 0 END, last_at := CASE WHEN event_type = 'purchase' THEN trade_time_utc END, volume_at := CASE WHEN event_type = 'purchase' THEN trade_time_utc END,
+    quote_time_utc := CASE WHEN event_type <> 'purchase' THEN trade_time_utc END, received_at := trade_time_utc, trade_date := {trade_date('trade_time_utc')}, book := event_type <> 'purchase') AS q FROM trades WHERE event_type IN ('view', 'click', 'purchase')),
+qs AS (SELECT contract_id, list(q ORDER BY trade_time_utc, sequence) AS l FROM qe SEMI JOIN (SELECT contract_id FROM qe WHERE book) USING (contract_id) WHERE trade_time_utc >= (SELECT min(trade_time_utc) FROM qe b WHERE b.book AND b.contract_id = qe.contract_id) GROUP BY 1)"""
+
+
+def _carry(value: str, zero: str) -> str:
+    at = f"{value}_at"
+    taken = f"b.{value} <> 0 AND NOT coalesce(b.{at} < a.{at}, false)"
+    kept = f"a.{value} <> 0 AND a.{at} IS NOT NULL AND a.trade_date IS NOT DISTINCT FROM b.trade_date AND abs(epoch(b.received_at) - epoch(a.{at})) <= 1800"
+    return f"{value} := CASE WHEN {taken} THEN b.{value} WHEN {kept} THEN a.{value} ELSE {zero} END, {at} := CASE WHEN {taken} THEN b.{at} WHEN {kept} THEN a.{at} END"
+
+
+def _fold() -> str:
+    last, volume = _carry("last", "0.0::DOUBLE").split(", last_at := "), _carry("volume", "0").split(", volume_at := ")
+    return f"list_reduce(l, lambda a, b: struct_pack(bid := CASE WHEN b.book THEN b.bid ELSE a.bid END, ask := CASE WHEN b.book THEN b.ask ELSE a.ask END, {last[0]}, {volume[0]}, last_at := {last[1]}, volume_at := {volume[1]}, quote_time_utc := greatest(a.quote_time_utc, b.quote_time_utc), received_at := b.received_at, trade_date := b.trade_date, book := true))"
+
+
+LATEST = f"lq AS (SELECT contract_id, {', '.join('r.' + c + ' AS ' + c for c in ('bid', 'ask', 'last', 'volume', 'last_at', 'volume_at', 'quote_time_utc', 'received_at', 'trade_date'))} FROM (SELECT contract_id, {_fold()} AS r FROM qs))"
+_LATEST = with_(TRADES, QUOTES, LATEST) + "SELECT * FROM lq"
+SLICES = f"""{TENURE}, gp AS (SELECT instrument, front, tenure_start, s AS range_start, e AS range_end FROM tn, (VALUES (TIMESTAMP '2023-12-05 03:00:00', TIMESTAMP '2024-01-05'), (TIMESTAMP '2024-01-15', TIMESTAMP '2024-01-18 06:00:00')) t(s, e)),
+ed AS (SELECT instrument, front, range_start, least(range_end, tenure_start) AS e0, unnest(generate_series(date_trunc('day', range_start), date_trunc('day', least(range_end, tenure_start)) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS d0 FROM gp WHERE range_start < tenure_start),
+ee AS (SELECT *, CAST(d0 AS DATE) AS d FROM ed),
+ds AS (SELECT *, greatest(range_start, {session_open('d')}) AS s, least(e0, {at_minute('d', 1020)}) AS e FROM ee),
+cn AS (SELECT d, list(c || lpad(CAST(y % 100 AS VARCHAR), 2, '0') ORDER BY y * 12 + m)[1:2] AS x, min(y * 12 + m) AS nearest FROM (SELECT DISTINCT d FROM ds), (VALUES ('H', 3), ('M', 6), ('U', 9), ('Z', 12)) t(c, m), (SELECT unnest(range(2020, 2030)) AS y) WHERE y * 12 + m >= year(d) * 12 + month(d) GROUP BY d),
+ct AS (SELECT instrument, front, range_start, nearest, min(s) AS slice_start, max(e) AS slice_end, any_value(x) AS x FROM ds JOIN cn USING (d) WHERE s < e GROUP BY ALL),
+li AS (SELECT DISTINCT instrument, contract_id, right(contract_id, 3) AS expiry FROM trades),
+wl AS (SELECT ct.*, unnest(x) AS expiry FROM ct),
+sl AS (SELECT instrument, front, slice_start, slice_end, coalesce(string_agg(contract_id, ',' ORDER BY contract_id), any_value(front)) AS candidates, coalesce(string_agg(expiry, ',' ORDER BY expiry) FILTER (WHERE contract_id IS NULL), '') AS unresolved, CASE WHEN count(contract_id) = 0 THEN 2 WHEN count(contract_id) < count(*) THEN 1 ELSE 0 END AS rank
+  FROM wl LEFT JOIN li USING (instrument, expiry) GROUP BY instrument, front, slice_start, slice_end
+  UNION ALL SELECT instrument, front, greatest(range_start, tenure_start), range_end, front, '', 0 FROM gp WHERE range_end > tenure_start)"""
+SLICES = SLICES.replace("any_value(front)", "front")
+RESELECT = f"""vs AS (SELECT instrument, trade_date, contract_id, CAST(sum(volume) AS BIGINT) AS volume FROM dated GROUP BY ALL),
+ch AS (SELECT instrument, trade_date, contract_id AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY instrument, trade_date ORDER BY volume DESC, {RANK} NULLS LAST, contract_id) AS r FROM vs) WHERE r = 1),
+wn AS (SELECT d.* FROM dated d JOIN ch c ON d.instrument = c.instrument AND d.trade_date = c.trade_date AND d.contract_id = c.chosen),
+rv AS (SELECT w.instrument, count(*) AS n FROM wn w LEFT JOIN bars b ON b.instrument = w.instrument AND b.bucket_start = w.bucket_start WHERE b.instrument IS NULL OR b.open <> w.open OR b.high <> w.high OR b.low <> w.low OR b.close <> w.close OR b.volume <> w.volume OR b.contract_id IS DISTINCT FROM w.contract_id GROUP BY 1),
+sd AS (SELECT b.*, chosen, x.trade_date FROM (SELECT *, coalesce({trade_date('bucket_start')}, CAST(bucket_start AS DATE)) AS trade_date FROM bars) x JOIN ch USING (instrument, trade_date) JOIN bars b ON b.instrument = x.instrument AND b.bucket_start = x.bucket_start),
+rm AS (SELECT * FROM sd WHERE contract_id IS DISTINCT FROM chosen AND NOT EXISTS (SELECT 1 FROM wn w WHERE w.instrument = sd.instrument AND w.bucket_start = sd.bucket_start)),
+cd AS (SELECT DISTINCT m.* FROM memo m JOIN ch ON m.instrument = ch.instrument AND m.range_start < {ordinary_close('trade_date')} AND m.range_end > {session_open('trade_date')})"""
+_RESELECT = (
+    with_(UNKNOWN, GAP_BASE.replace(GAPPY + ", ", "").replace("FROM bars", "FROM gbars"), MEMO, BY_CONTRACT, DATED, RESELECT).replace("days AS (", bars("gbars", where="WHERE " + HOUR + " % 97 <> 0") + ", days AS (", 1)
+    + """SELECT i.instrument, (SELECT count(*) FROM ch WHERE ch.instrument = i.instrument) AS dates, coalesce((SELECT n FROM rv WHERE rv.instrument = i.instrument), 0) AS revised,
+  (SELECT count(*) FROM rm WHERE rm.instrument = i.instrument) AS removed, (SELECT count(*) FROM rm WHERE rm.instrument = i.instrument AND contract_id IS NULL) AS unattributed,
+  (SELECT count(DISTINCT trade_date) FROM sd WHERE sd.instrument = i.instrument AND contract_id IS DISTINCT FROM chosen) AS dates_changed, (SELECT count(*) FROM cd WHERE cd.instrument = i.instrument) AS coverage_dropped FROM (SELECT DISTINCT instrument FROM trades) i"""
+)
+ORACLES |= {
+    "tape_read_csv": _FILE_ROWS,
+    "tape_read_parquet": _FILE_ROWS,
+    "latest_quote": _LATEST,
+    "latest_quote_stream": _LATEST,
+    "latest_quote_upsert": _LATEST,
+    "candidate_slices": with_(UNKNOWN, SLICES) + "SELECT instrument, slice_start, slice_end, candidates, unresolved FROM sl",
+    "history_selection": with_(UNKNOWN, SLICES) + "SELECT instrument, CAST(max(rank) AS BIGINT) AS rank, array_to_string(list_sort(list_distinct(flatten(list(CASE WHEN unresolved = '' THEN [] ELSE string_split(unresolved, ',') END)))), ',') AS unresolved, count(*) AS slices FROM sl GROUP BY 1",
+    "reselect_bars": _RESELECT,
+    "bucket_overhang": with_(BARS, DAYS, SESSIONS, f"st AS (SELECT m, unnest(generate_series(open_utc, ordinary_close - INTERVAL 1 MINUTE, to_minutes(m))) AS t FROM sess, (VALUES (30), (60), (240)) v(m))", f"gr AS (SELECT m, bool_or(NOT coalesce({trade_date('t')} IS NOT NULL AND t + to_minutes(m) <= {ordinary_close(trade_date('t'))}, false)) AS o FROM st GROUP BY 1)", f"ow AS (SELECT instrument, bool_or(NOT {expected('bucket_start', 60)}) AS o FROM bars GROUP BY 1)")
+    + "SELECT m AS resolution_minutes, instrument, gr.o OR coalesce(ow.o, false) AS overhangs FROM gr LEFT JOIN ow ON m = 60",
+    "series_guard": with_(UNKNOWN, "ar AS (SELECT *, CASE WHEN n % 50 = 0 THEN 2 * (n + 2) + 1 ELSE 2 * n END AS arrival FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY bucket_start) AS n FROM bars))", "pr AS (SELECT *, row_number() OVER w AS k, lag(bucket_start) OVER w AS pb, lag(contract_id) OVER w AS pc FROM ar WINDOW w AS (PARTITION BY instrument ORDER BY arrival))")
+    + "SELECT instrument, arrival, bucket_start, 'not_ascending' AS violation FROM pr WHERE k > 1 AND bucket_start <= pb UNION ALL SELECT instrument, arrival, bucket_start, 'contract_change' FROM pr WHERE k > 1 AND contract_id IS DISTINCT FROM pc",
+    "quote_read": with_(TRADES, QUOTES, LATEST, VOLUMES, FRONT, "mx AS (SELECT max(trade_time_utc) AS t FROM trades WHERE event_type IN ('view', 'click', 'purchase'))", f"md AS (SELECT t, {trade_date('t')} AS d FROM mx)")
+    + """SELECT instrument, f.active AS contract_id, CASE WHEN f.active IS NULL THEN 'unknown_symbol' WHEN received_at IS NULL THEN 'missing' ELSE 'ok' END AS status, nullif(bid, 0) AS bid, nullif(ask, 0) AS ask,
+  CASE WHEN last <> 0 AND abs(trunc(epoch(t) - epoch(last_at))) <= 1800 AND trade_date IS NOT DISTINCT FROM d THEN last END AS last, CASE WHEN volume <> 0 AND abs(trunc(epoch(t) - epoch(volume_at))) <= 1800 AND trade_date IS NOT DISTINCT FROM d THEN volume END AS volume,
+  quote_time_utc, received_at, trunc(epoch(t) - epoch(received_at)) > 15 AS stale FROM front f LEFT JOIN lq ON lq.contract_id = f.active, md""",
+}
