@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, materialize, range_hash, release, scratch, text_buffer, text_slices
+from .common import SPACED, Words, materialize, range_hash, scratch, shuffles_dropped, text_buffer, text_slices
 
 WINDOW = 13
 #: A window's fingerprint is the least hash of its runs of GRAM words. Neighbouring
@@ -68,7 +68,8 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         self._made += 1
         place = f"{self.path}/run-{self._made:06d}"
-        rows.sortWithinPartitions("print").write.option("compression", "zstd").parquet(place)
+        with shuffles_dropped(self.spark):
+            rows.sortWithinPartitions("print").write.option("compression", "zstd").parquet(place)
         return place
 
     def ingest(self, docs: DataFrame) -> DataFrame:
@@ -85,8 +86,6 @@ class FingerprintIndex:
         # history and batch meet under their fingerprint, after partial minima and maxima on each side
         merged = fresh.groupBy("print").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc"), F.max("old").alias("old"), F.min("old").alias("only_old"))
         place = self._write(merged.where(~F.col("only_old")).select("print", "first_doc", "old", (F.col("first_doc") < F.col("last_doc")).alias("repeated")))
-        del entries, fresh, merged
-        release(self.spark)
         self.runs.append(place)
         repeated = self._read(place).where("repeated").select("print")
         if len(self.runs) > FAN_IN:
@@ -192,12 +191,10 @@ def repeated_windows(docs: DataFrame, index: FingerprintIndex | None = None, bat
     for more in found[1:]:
         prints = prints.unionByName(more)
     shared = spark.sparkContext.broadcast(Filter.build(prints))
-    release(spark)
     # hashing again costs less than keeping the candidates: the scan is cheap, and they may be a third of all windows
     windows = docs.mapInArrow(_candidates(shared), "h1 long, h2 int, doc_id long, at int")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("h1", "h2", "first_doc")
     first = materialize(first, "prints-first")
-    release(spark)
     return windows.join(first, ["h1", "h2"]).where("doc_id > first_doc").select("doc_id", "at")
 
 
@@ -234,6 +231,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     at = repeated_windows(texts, index, batches)
     places = materialize(at.groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("at")), "prints-removed")
-    del at
-    release(docs.sparkSession)
     return texts.join(places, "doc_id", "left").select("doc_id", "text", "at").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
