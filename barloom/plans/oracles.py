@@ -587,3 +587,13 @@ ORACLES |= {
   CASE WHEN last <> 0 AND abs(trunc(epoch(t) - epoch(last_at))) <= 1800 AND trade_date IS NOT DISTINCT FROM d THEN last END AS last, CASE WHEN volume <> 0 AND abs(trunc(epoch(t) - epoch(volume_at))) <= 1800 AND trade_date IS NOT DISTINCT FROM d THEN volume END AS volume,
   quote_time_utc, received_at, trunc(epoch(t) - epoch(received_at)) > 15 AS stale FROM front f LEFT JOIN lq ON lq.contract_id = f.active, md""",
 }
+
+_NOW = "TIMESTAMP '2024-01-24 18:00:00'"
+ORACLES |= {
+    "market_snapshot": with_(LEVEL_BARS, PIVOTS, ZONES, finished("zones", "sw"), DAYS, SESSIONS, runs("bars", "whole"), "la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY bucket_start DESC) AS r, CASE WHEN rn >= 20 THEN avg(close) OVER (PARTITION BY instrument, run_id ORDER BY bucket_start ROWS 19 PRECEDING) END AS sma FROM whole) WHERE r = 1)", f"se AS (SELECT la.*, {trade_date('bucket_start')} AS td FROM la)")
+    + """SELECT instrument, bucket_start, close, volume, coalesce(bucket_start < s.close_utc, false) AS is_open, CASE WHEN bucket_start < s.close_utc THEN td END AS trade_date, (SELECT min(open_utc) FROM sess n WHERE n.open_utc > bucket_start) AS next_open_utc,
+  CAST(15 AS BIGINT) AS indicators, round(sma, 6) AS sma, (SELECT count(*) FROM sw WHERE sw.instrument = se.instrument) AS levels FROM se LEFT JOIN sess s ON s.trade_date = td""",
+    "recorder_health": with_(TRADES, COVERAGE, DAYS, SESSIONS, f"tk AS (SELECT instrument, contract_id, max(trade_time_utc) AS last_tick FROM trades WHERE trade_time_utc >= TIMESTAMP '2024-01-20' AND trade_time_utc < {_NOW} GROUP BY ALL)", f"w AS (SELECT instrument, contract_id, open_utc AS a, least(close_utc, {_NOW}) AS b FROM tk, sess WHERE open_utc <= {_NOW} AND close_utc > {_NOW})", "pts AS (SELECT w.*, greatest(range_start, a) AS s, least(range_end, b) AS e FROM w JOIN cov c ON c.instrument = w.instrument AND c.contract_id = w.contract_id AND range_start < b AND range_end > a UNION ALL SELECT *, b, b FROM w)", "pv AS (SELECT *, coalesce(max(e) OVER (PARTITION BY instrument, contract_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a) AS p FROM pts)", "gp AS (SELECT instrument, contract_id, count(*) AS gaps, CAST(sum(trunc(epoch(s) - epoch(p))) AS BIGINT) AS gap_seconds FROM pv WHERE p < s GROUP BY ALL)")
+    + f"""SELECT instrument, contract_id, CASE WHEN instrument = 'ES' THEN 'listening' ELSE 'stopped' END AS state, last_tick, CAST(trunc(epoch({_NOW}) - epoch(last_tick)) AS BIGINT) AS tick_age_seconds, coalesce(gaps, 0) AS gaps, coalesce(gap_seconds, 0) AS gap_seconds,
+  CASE WHEN instrument <> 'ES' THEN 'unavailable' WHEN coalesce(gaps, 0) > 0 THEN 'degraded' ELSE 'ok' END AS overall FROM tk LEFT JOIN gp USING (instrument, contract_id)""",
+}
