@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 KEYS = ["venue", "instrument", "resolution_minutes"]
 
@@ -23,16 +24,22 @@ def latest_values(values: DataFrame, bars: DataFrame, as_of: Column) -> DataFram
 def values_asof(asks: DataFrame, values: DataFrame, bars: DataFrame, lookback_days: int = 14) -> DataFrame:
     """Backward as-of join: for each ask (ask_id, venue, instrument, resolution_minutes, indicator, period, as_of_utc) its newest value.
 
-    An ask and a value meet under the value's UTC day: the ask is spread over
-    the days of the look-back, so the join has an equality key and no series
-    comes to one task whole. An ask without a value has no row.
+    An ask and a value meet under a UTC day, so the join has an equality key and
+    no series comes to one task whole. A day holds its own values and the last
+    one of the days before, carried on for at most the look-back; so an ask is
+    compared with one day's values and not with all of them. An ask without a
+    value has no row.
     """
-    held = indicator_series(values, bars).join(bars.select(*KEYS, "bucket_start", "contract_id"), [*KEYS, "bucket_start"]).withColumn("_day", F.to_date("bucket_start"))
-    day = F.to_date("as_of_utc")
-    spread = asks.withColumn("_day", F.explode(F.sequence(F.date_sub(day, lookback_days), day)))
-    # the newest value of a day is enough, but for the day of the ask itself
-    hit = spread.join(held, [*KEYS, "indicator", "period", "_day"]).where(F.col("bucket_start") <= F.col("as_of_utc"))
-    best = hit.groupBy("ask_id").agg(F.max(F.struct("bucket_start", "value", "contract_id")).alias("x"))
+    key = [*KEYS, "indicator", "period"]
+    held = values.join(bars.select(*KEYS, "bucket_start", "contract_id"), [*KEYS, "bucket_start"])
+    own = held.select(*key, F.to_date("bucket_start").alias("_day"), F.struct("bucket_start", "value", "contract_id").alias("x"))
+    last = own.groupBy(*key, "_day").agg(F.max("x").alias("x"))
+    after = F.lead("_day").over(Window.partitionBy(*key).orderBy("_day"))
+    until = F.least(F.coalesce(after, F.date_add("_day", lookback_days)), F.date_add("_day", lookback_days))
+    carried = last.withColumn("_until", until).select(*key, F.explode(F.sequence(F.date_add("_day", 1), F.col("_until"))).alias("_day"), "x")
+    days = own.unionByName(carried)
+    hit = asks.withColumn("_day", F.to_date("as_of_utc")).join(days, [*key, "_day"]).where(F.col("x.bucket_start") <= F.col("as_of_utc"))
+    best = hit.groupBy("ask_id").agg(F.max("x").alias("x"))
     return asks.join(best, "ask_id").select(*asks.columns, "x.bucket_start", "x.value", "x.contract_id")
 
 

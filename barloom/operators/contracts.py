@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.contracts import MONTH_CODES, expiry_rank, has_product
 from ..functions.market_time import Calendar, at_minute
-from .series import SERIES, contract_segments, with_runs
+from .series import SERIES, contract_segments
 
 
 def candidates(dates: DataFrame, cycle: str = "HMUZ", depth: int = 2) -> DataFrame:
@@ -85,6 +85,3 @@ def history_selection(slices: DataFrame) -> DataFrame:
     """The worst rank over the slices of an instrument, and the expiries that no listed contract resolves."""
     return slices.groupBy("venue", "instrument").agg(F.max("rank").alias("rank"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("unresolved")))).alias("unresolved"), F.count("*").alias("slices"))
 
-
-def runs(bars: DataFrame) -> DataFrame:
-    return with_runs(bars)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.market_time import align_down, market_date, plus_minutes
+from ..functions.market_time import align_down, plus_minutes
 
 SERIES = ["venue", "instrument", "resolution_minutes"]
 ROLL = "2024-01-16 22:00:00"
@@ -148,6 +148,3 @@ def instruments(spark: SparkSession) -> DataFrame:
     rows = [("ES", "EP", 0.25, 50.0), ("NQ", "ENQ", 0.25, 20.0), ("MES", "MES", 0.25, 5.0), ("MNQ", "MNQ", 0.25, 2.0)]
     return spark.createDataFrame(rows, "symbol string, product_code string, tick_size double, point_value double")
 
-
-def day_of(instant: str):
-    return market_date(instant)
