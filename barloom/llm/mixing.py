@@ -45,8 +45,9 @@ def source_rates(docs: DataFrame, source: str, text: str, alpha: float = ALPHA)
     """
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.coalesce(F.length(text), F.lit(0)).cast("double")).alias("chars"))
     sizes = sizes.where("chars > 0")
-    totals = sizes.agg(F.sum("chars").alias("all_chars"), F.sum(F.pow("chars", F.lit(alpha))).alias("all_weight"))
-    return sizes.crossJoin(F.broadcast(totals)).select("source", (F.pow("chars", F.lit(alpha)) / F.col("all_weight") * F.col("all_chars") / F.col("chars")).alias("rate"))
+    whole = sizes.agg(F.sum("chars").alias("chars"), F.sum(F.pow("chars", F.lit(alpha))).alias("weight")).first()
+    share = F.pow("chars", F.lit(alpha)) / F.lit(whole["weight"] or 1.0)
+    return sizes.select("source", (share * F.lit(whole["chars"] or 0.0) / F.col("chars")).alias("rate"))
 
 
 def replicate(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", rates: DataFrame | None = None, alpha: float = ALPHA, seed: int = SEED, partitions: int | None = None) -> DataFrame:
