@@ -38,7 +38,7 @@ LANES, STEPS = 1024, 256
 #: A block closes at so many ids; a file has so many blocks at most, about 20 MB unless a document is longer.
 BLOCK_IDS, FILE_BLOCKS = 1 << 19, 32
 #: Chunks of text whose ids a worker remembers.
-MEMORY = 1_000_000
+MEMORY = 650_000
 
 _tokenizers: dict[str, tuple] = {}
 
