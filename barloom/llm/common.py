@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,34 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Have Spark delete the shuffle files of what is run inside as soon as it has ended.
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder, and read it back.
 
     A stored step is read from its table, so nothing needs its shuffles again.
-    Otherwise they stay until the driver happens to collect its garbage, and the
-    steps of an operator pile up on the disks.
+    From the first such step on the session deletes the shuffle files of a query
+    when it has ended; else they stay until the driver happens to
+    collect its garbage, and the steps of an operator pile up on the disks.
     """
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEANUP, before)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder, and read it back."""
     spark = df.sparkSession
+    spark.conf.set(_CLEANUP, "true")
     path = scratch(spark, name)
-    with shuffles_dropped(spark):
-        df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the named text column holds about `limit` bytes a piece.
 
@@ -133,7 +122,14 @@ class Words:
         self.row = np.searchsorted(start, offsets)
 
     def hashes(self) -> np.ndarray:
-        return range_hash(self.raw, self.start, self.end)
+        """A hash of each word; computed over a piece of the bytes at a time, which gives the same values with less memory."""
+        out, first = np.empty(len(self.start), np.uint64), 0
+        while first < len(out):
+            last = max(first + 1, int(np.searchsorted(self.end, self.start[first] + SLICE_BYTES, side="right")))
+            base = self.start[first]
+            out[first:last] = range_hash(self.raw[base : self.end[last - 1]], self.start[first:last] - base, self.end[first:last] - base)
+            first = last
+        return out
 
 
 def byte_table(separators: bytes) -> np.ndarray:

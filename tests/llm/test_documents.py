@@ -4,6 +4,7 @@ import random
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,22 +69,43 @@ def test_tokens_of_hard_texts_come_back(spark, hard):
 
 def test_tokens_of_repeated_null_and_no_documents(spark):
     schema = "doc_id long, text string"
-    twice = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (0, None)], schema)
+    least = -(1 << 63)
+    twice = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (0, None), (least, "c")], schema)
     got = token_output.read_documents(spark, token_output.token_archive(twice, tokenizer_path(), END_ID)).orderBy("start").collect()
-    assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in got] == [(None, 0, 2), (0, 2, 1), (1, 3, 2), (1, 5, 2)]
+    assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in got] == [(None, 0, 2), (least, 2, 2), (0, 4, 1), (1, 5, 2), (1, 7, 2)]
+    hot = [(7, f"w{k}") for k in range(300)] + [(None, f"x{k} y") for k in range(300)] + [(k, "z z z") for k in range(100)]
+    got = token_output.read_documents(spark, token_output.token_archive(spark.createDataFrame(hot, schema), tokenizer_path(), END_ID)).orderBy("start").collect()
+    assert len(got) == 700 and [r["doc_id"] is None for r in got] == [True] * 300 + [False] * 400
+    assert all(a["start"] + a["n_tokens"] == b["start"] and (a["doc_id"] or 0) <= b["doc_id"] for a, b in zip(got, got[1:]) if b["doc_id"] is not None)
     empty = spark.createDataFrame([], schema)
     assert token_output.read_documents(spark, token_output.token_archive(empty, tokenizer_path(), END_ID)).count() == 0
 
 
+def test_chunks_are_encoded_as_the_tokenizer_does():
+    import public_tokenizers
+
+    r = random.Random(4)
+    texts = ["".join(r.choice("aZé.,|'stİ \n9<\u0301日") for _ in range(r.randrange(0, 30))) for _ in range(3000)]
+    long = " ".join(r.choice(["ab", "cdé", "don't", "x|y", "|"]) for _ in range(700_000))
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        encoder = token_output.ChunkEncoder(public_tokenizers.path(name))
+        assert encoder.by_chunk == (name == "word_bpe_49k.json")
+        assert [len(x) for x in encoder.encode([long[:200_000], ""])][1] == 0
+        for got, text in zip(encoder.encode(texts), texts, strict=True):
+            assert np.frombuffer(got, encoder.kind).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+        if encoder.by_chunk:
+            assert np.frombuffer(encoder.encode([long])[0], encoder.kind).tolist() == encoder.tokenizer.encode(long, add_special_tokens=False).ids
+
+
 def test_a_damaged_block_is_noticed():
     import numpy as np
 
     from barloom.llm import rans
 
     table = rans.Table(rans.scaled(np.array([5, 0, 1, 100])))
-    block = token_output.pack(7, 0, 0, [1, 2], [np.array([0, 3, 3], "<u4"), np.array([2], "<u4")], table)
-    first, docs, sizes, ids = token_output.unpack(block, table)
-    assert (first, docs.tolist(), sizes.tolist(), ids.tolist()) == (7, [1, 2], [3, 1], [0, 3, 3, 2])
+    block = token_output.pack(7, 0, [1, 2], [np.array([0, 3, 3], "<u4"), np.array([2], "<u4")], table)
+    first, unnamed, docs, sizes, ids = token_output.unpack(block, table)
+    assert (first, unnamed, docs.tolist(), sizes.tolist(), ids.tolist()) == (7, 0, [1, 2], [3, 1], [0, 3, 3, 2])
     with pytest.raises(ValueError):
         token_output.unpack(block[:100] + bytes([block[100] ^ 1]) + block[101:], table)
 
