@@ -132,4 +132,15 @@ SELECT doc_id, source, CAST(copy AS BIGINT) AS copy,
 FROM c
 """
 
-ORACLES: dict[str, str] = {"op3_line_windows": _OP3, "op4_warc_revisits": _OP4, "op5_poisson_mixing": _OP5}
+_OP7 = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM t),
+s AS (SELECT doc_id, i, sha256(array_to_string(list_slice(w, i, i + 12), ' ')) AS h FROM x),
+f AS (SELECT h, min(doc_id) AS first_doc FROM s GROUP BY 1),
+g AS (SELECT doc_id, list(DISTINCT i + j) AS gone FROM (SELECT s.doc_id, s.i, unnest(range(13)) AS j FROM s JOIN f USING (h) WHERE f.first_doc < s.doc_id) GROUP BY 1)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda v, k: NOT list_contains(gone, k)) END, ' ')) AS kept_sha256
+FROM t LEFT JOIN g USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op7_fingerprint_index": _OP7, "op3_line_windows": _OP3, "op4_warc_revisits": _OP4, "op5_poisson_mixing": _OP5}

@@ -6,7 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
@@ -100,18 +100,51 @@ def test_substrings_of_hard_texts(spark, batches):
 
 
 def test_an_index_takes_in_later_batches(spark):
-    passage = " ".join(f"p{k}" for k in range(20))
-    first = spark.createDataFrame([(1, passage), (2, "short text")], "doc_id long, text string")
-    index = fingerprint_index.FingerprintIndex(spark)
-    assert index.ingest(first).count() == 0
-    again = fingerprint_index.FingerprintIndex(spark, index.path, index.runs)
-    for k in range(6):
-        assert again.ingest(spark.createDataFrame([(10 + k, f"new {k} {passage}")], "doc_id long, text string")).count() > 0
-    assert len(again.runs) <= fingerprint_index.FAN_IN
+    """Calls one after another, with the index opened again each time, give what one call and brute force give."""
+    r = random.Random(7)
+    passages = [" ".join(f"p{k}x{n}" for k in range(20)) for n in range(6)]
+    texts = [" ".join([f"a{k} b{k}", *r.sample(passages, r.randrange(0, 3)), f"c{k}"]) for k in range(60)] + [passages[0]] * 3
+    docs = documents(spark, texts)
+    want = sorted(brute.op7(list(enumerate(texts))))
+    path, runs, got = None, [], []
+    for low in range(0, len(texts), 21):
+        index = fingerprint_index.FingerprintIndex(spark, path, runs)
+        batch = docs.where(f"doc_id >= {low} and doc_id < {low + 21}")
+        done = fingerprint_index.remove_repeats(batch, index=index, history=docs.where(f"doc_id < {low}"), batches=1)
+        got += [(x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in done.collect()]
+        path, runs = index.path, index.runs
+        assert len(runs) <= fingerprint_index.FAN_IN
+    assert sorted(got) == want
+    with pytest.raises(ValueError):
+        fingerprint_index.remove_repeats(docs, index=fingerprint_index.FingerprintIndex(spark, path, runs))
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert fingerprint_index.remove_repeats(empty).count() == 0
 
 
+def test_history_is_not_shuffled_again(spark):
+    docs = documents(spark, hard_texts())
+    index = fingerprint_index.FingerprintIndex(spark)
+    index.ingest(docs.select("doc_id", "text"))
+    run = index._read(index.runs[0][0])
+    plan = docs.groupBy(F.col("doc_id").alias("print")).count().join(run.hint("merge"), "print", "left")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and plan.split("== Physical Plan ==")[1].count("Exchange") == 1
+
+
+@pytest.mark.parametrize("bytes_", [64, 32 << 20])
+def test_a_full_filter_changes_nothing(spark, monkeypatch, bytes_):
+    monkeypatch.setattr(fingerprint_index, "FILTER_BYTES", bytes_)
+    prints = spark.range(200_000).select(F.xxhash64("id").alias("print"))
+    made = fingerprint_index.Filter.build(prints)
+    assert made.bits.nbytes == max(64 * 64, min(bytes_, 250_000) // 64 * 64)
+    held = np.array([r["print"] for r in prints.limit(5000).collect()]).view(np.uint64)
+    assert made.holds(held).all()
+    if bytes_ > 64:
+        assert made.holds(np.random.default_rng(0).integers(0, 1 << 63, 20_000).astype(np.uint64)).mean() < 0.05
+    texts = hard_texts()
+    got = fingerprint_index.remove_repeats(documents(spark, texts))
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == sorted(brute.op7(list(enumerate(texts))))
+
+
 def vectors(seed=1):
     r = np.random.default_rng(seed)
     rows, label = [], 0
