@@ -52,15 +52,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def position_sets(size: int) -> list[tuple[int, ...]]:
-    """Sets of `size` byte positions such that any five of the eight positions contain one of them.
+def position_sets() -> list[tuple[int, ...]]:
+    """Fourteen sets of four byte positions such that any five of the eight positions contain one of them.
 
-    3: of any five positions, three lie in the same half, so the triples of each half do.
-    5: all fives.
+    The two halves, and a pair of each half from pairings that go together: five
+    positions of which three lie in one half hold a pair of each of its three
+    pairings, one of them with the pair in the other half.
     """
-    if size == 3:
-        return [c for half in (range(4), range(4, 8)) for c in combinations(half, 3)]
-    return list(combinations(range(8), SHARED_BYTES))
+    pairings = [((0, 1), (2, 3)), ((0, 2), (1, 3)), ((0, 3), (1, 2))]
+    mixed = [(*one, *(4 + k for k in two)) for pairs in pairings for one in pairs for two in pairs]
+    return [(0, 1, 2, 3), (4, 5, 6, 7), *mixed]
 
 
 def _mask(positions: tuple[int, ...]) -> int:
@@ -91,23 +92,49 @@ def spanning_forest(fps: np.ndarray, limit: int = 4096) -> tuple[np.ndarray, np.
     A search from member to member compares each only with those not yet
     reached. A list over `limit` is cut first: if all its members agree in k
     positions, a matching pair agrees in 5 - k of the others, so it meets in one
-    of the parts that those positions make.
+    of the parts that those positions make. A part over `limit` that agrees in
+    five positions looks up each member's neighbours in place of comparing.
     """
-    if len(fps) > limit:
-        differ = int(np.bitwise_or.reduce(fps ^ fps[0]))
-        free = [p for p in range(8) if differ >> (8 * p) & 0xFF]
-        more = SHARED_BYTES - (8 - len(free))
-        if more > 0:
-            found = []
-            for positions in combinations(free, more):
-                key = fps & np.uint64(_mask(positions))
-                order = np.argsort(key, kind="stable")
-                parts = np.split(order, np.flatnonzero(np.diff(key[order])) + 1)
-                found += [(x, *_search(fps[x])) for x in parts if len(x) > 1]
-            if found:
-                return np.concatenate([x[i] for x, i, _ in found]), np.concatenate([x[j] for x, _, j in found])
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return _search(fps)
+    if len(fps) <= limit:
+        return _search(fps)
+    differ = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    free = [p for p in range(8) if differ >> (8 * p) & 0xFF]
+    more = SHARED_BYTES - (8 - len(free))
+    if more <= 0:
+        return _look_up(fps, differ)
+    found = []
+    for positions in combinations(free, more):
+        key = fps & np.uint64(_mask(positions))
+        order = np.argsort(key, kind="stable")
+        parts = np.split(order, np.flatnonzero(np.diff(key[order])) + 1)
+        found += [(x, *spanning_forest(fps[x], limit)) for x in parts if len(x) > 1]
+    if found:
+        return np.concatenate([x[i] for x, i, _ in found]), np.concatenate([x[j] for x, _, j in found])
+    return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+def _look_up(fps: np.ndarray, differ: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for members that differ in at most three bytes: each flip of up to MAX_BITS of the differing bits is looked up.
+
+    2,324 flips at most, so the time grows with the members and not with their
+    pairs. What is found is folded into one label a member.
+    """
+    order = np.argsort(fps)
+    ordered, root = fps[order], np.arange(len(fps))
+    bits = [b for b in range(64) if differ >> b & 1]
+    for n in range(1, MAX_BITS + 1):
+        for flip in combinations(bits, n):
+            other = ordered ^ np.uint64(sum(1 << b for b in flip))
+            at = np.minimum(np.searchsorted(ordered, other), len(ordered) - 1)
+            one = np.flatnonzero((ordered[at] == other) & (root != root[at]))
+            while len(one):  # hook the larger root under the smaller and follow to the roots
+                a, b = root[one], root[at[one]]
+                np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+                while (root[root] != root).any():
+                    root = root[root]
+                one = one[root[one] != root[at[one]]]
+    member = np.flatnonzero(root != np.arange(len(root)))
+    return order[member], order[root[member]]
 
 
 def _search(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,29 +156,31 @@ def _search(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _list_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (part, key): each run is a posting list."""
-    held: tuple[np.ndarray, ...] | None = None
+    """Rows come sorted by (part, key): each run is a posting list, which may go on over many batches."""
+    held: list[tuple[np.ndarray, ...]] = []
     for batch in _with_end(batches):
         if batch is not None:
-            cols = tuple(batch.column(k).to_numpy() for k in range(4))
-            cols = cols if held is None else tuple(np.concatenate(p) for p in zip(held, cols, strict=True))
+            cols = tuple(batch.column(k).to_numpy() for k in range(3))
+            change = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
+            goes_on = held and held[-1][0][-1] == cols[0][0] and held[-1][1][-1] == cols[1][0]
+            if goes_on and not len(change):
+                held.append(cols)
+                continue
+            # the last list may go on in the next batch
+            last = int(change[-1]) if len(change) else 0
+            done, held = [*held, tuple(c[:last] for c in cols)], [tuple(c[last:] for c in cols)]
         else:
-            if held is None:
-                return
-            cols = held
-        part, key, fp, node = cols
-        change = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1])) + 1
-        starts = np.concatenate([[0], change])
-        ends = np.concatenate([change, [len(part)]])
-        if batch is not None:  # the last list may go on in the next batch
-            held = tuple(c[starts[-1] :] for c in cols)
-            starts, ends = starts[:-1], ends[:-1]
+            done = held
+        if not done:
+            continue
+        part, key, fp = (np.concatenate(c) for c in zip(*done, strict=True))
+        edge = np.concatenate([[0], np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1])) + 1, [len(part)]])
         a, b = [], []
-        for k in np.flatnonzero(ends - starts > 1):
-            s, e = starts[k], ends[k]
+        for k in np.flatnonzero(np.diff(edge) > 1):
+            s, e = edge[k], edge[k + 1]
             i, j = spanning_forest(fp[s:e].view(np.uint64))
-            a.append(node[s:e][i])
-            b.append(node[s:e][j])
+            a.append(fp[s:e][i])
+            b.append(fp[s:e][j])
         if a:
             yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
@@ -163,21 +192,19 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def links(nodes: DataFrame, positions: int | None = None) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of `nodes` (fp, node; fp unique) within MAX_BITS bits.
+def links(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of the distinct fingerprints `nodes` (fp) within MAX_BITS bits.
 
     A posting list for one byte at one position would hold a 256th of all
     fingerprints, and the pairs in it would grow with the square of the corpus.
-    So the index takes sets of positions: any five shared bytes contain one of
-    the sets, so no pair that reaches the count is missed. In its list a pair's
-    shared bytes are counted, pairs under five are dropped, and the rest are
-    verified by their bits. Three positions (8 lists a fingerprint) serve while
-    2**22 fingerprints make short lists; beyond, five positions (56 lists).
+    So the index takes sets of four positions, 32 bits: any five shared bytes
+    contain one of the fourteen sets, so no pair that reaches the count is
+    missed. In its list a pair's shared bytes are counted, pairs under five are
+    dropped, and the rest are verified by their bits. A list comes to one task,
+    16 bytes for each of its different fingerprints.
     """
-    if positions is None:
-        positions = 3 if nodes.count() <= 1 << 22 else 5
-    keys = [F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(_mask(c)))).alias("key")) for k, c in enumerate(position_sets(positions))]
-    rows = nodes.select(F.explode(F.array(*keys)).alias("p"), "fp", "node").select("p.part", "p.key", "fp", "node")
+    keys = [F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(_mask(c)))).alias("key")) for k, c in enumerate(position_sets())]
+    rows = nodes.select(F.explode(F.array(*keys)).alias("p"), "fp").select("p.part", "p.key", "fp")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "part", "key").sortWithinPartitions("part", "key", "fp")
     return rows.mapInArrow(_list_edges, "a long, b long")
@@ -188,10 +215,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts have fingerprint zero and link like any other; equal
     fingerprints are one node, so groups of copies cost one index entry; rows
-    with the same doc_id are kept; an empty table gives an empty result.
+    with the same doc_id are kept and linked by their own texts; a null doc_id is
+    no smallest one, and is null itself only in a component without ids; an
+    empty table gives an empty result. Texts are handled whole; a task needs
+    about 30 times the bytes of its longest one.
     """
     marked = materialize(fingerprints(docs, id_col, text_col), "simhash-fp")
-    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    groups = connected_components(links(nodes), "simhash")
-    named = nodes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(materialize(named, "simhash-named"), "fp").select("doc_id", "fp", "component_id")
+    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    groups = connected_components(links(nodes.select("fp")), "simhash")
+    named = materialize(nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "simhash-named")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_fp = materialize(named.join(least, "component").select("fp", "component_id"), "simhash-classes")
+    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")

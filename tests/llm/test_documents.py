@@ -162,10 +162,15 @@ def test_simhash_of_hard_texts(spark, hard):
     assert simhash.near_duplicates(hard.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("positions", [3, 5])
-def test_every_pair_within_three_bits_is_joined(spark, positions):
-    import numpy as np
+def test_any_five_positions_hold_one_of_the_sets():
+    from itertools import combinations
+
+    sets = simhash.position_sets()
+    assert len(set(sets)) == 14 and all(len(x) == 4 for x in sets)
+    assert all(any(set(x) <= set(five) for x in sets) for five in combinations(range(8), 5))
+
 
+def test_every_pair_within_three_bits_is_joined(spark):
     r = random.Random(5)
     fps = {r.getrandbits(64) for _ in range(60)}
     for f in list(fps)[:30]:  # chains of one to four flips
@@ -173,17 +178,24 @@ def test_every_pair_within_three_bits_is_joined(spark, positions):
             for b in r.sample(range(64), r.randrange(1, 5)):
                 f ^= 1 << b
             fps.add(f)
-    fps = sorted(fps)
-    signed = [(x - (1 << 64) if x >> 63 else x, k) for k, x in enumerate(fps)]
-    edges = simhash.links(spark.createDataFrame(signed, "fp long, node long"), positions).collect()
-    want = brute.components(range(len(fps)), [(i, j) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 3])
-    assert brute.components(range(len(fps)), [tuple(e) for e in edges]) == want
+    fps = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    edges = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long")).collect()
+    near = [(x, y) for x in fps for y in fps if x < y and bin((x ^ y) & (1 << 64) - 1).count("1") <= 3]
+    assert brute.components(fps, [tuple(e) for e in edges]) == brute.components(fps, near)
     base = np.uint64(r.getrandbits(64))
-    dense = np.unique(base ^ np.array([sum(1 << (24 + b) for b in r.sample(range(40), r.randrange(0, 5))) for _ in range(300)], np.uint64))
-    for limit in (10, 10_000):
-        i, j = simhash.spanning_forest(dense, limit)
+    wide = np.unique(base ^ np.array([sum(1 << (24 + b) for b in r.sample(range(40), r.randrange(0, 5))) for _ in range(300)], np.uint64))
+    close = np.unique(base ^ np.array([sum(1 << (8 + b) for b in r.sample(range(24), r.randrange(0, 9))) for _ in range(400)], np.uint64))
+    for dense in (wide, close):  # members that agree in three and in five positions
         pairs = [(a, b) for a in range(len(dense)) for b in range(a) if bin(int(dense[a] ^ dense[b])).count("1") <= 3]
-        assert brute.components(range(len(dense)), list(zip(i.tolist(), j.tolist(), strict=True))) == brute.components(range(len(dense)), pairs)
+        for limit in (10, 10_000):
+            i, j = simhash.spanning_forest(dense, limit)
+            assert brute.components(range(len(dense)), list(zip(i.tolist(), j.tolist(), strict=True))) == brute.components(range(len(dense)), pairs)
+
+
+def test_simhash_of_repeated_and_missing_ids(spark):
+    rows_ = [(1, "a b c d"), (1, "x y z u v w"), (None, "a b c d"), (2, "x y z u v w"), (None, "only me here")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string"))
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got.collect()) == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 1)]
 
 
 def test_language_accuracy_on_held_out_documents(spark):
