@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, lowered, text_buffer, text_slices
+from .common import ALNUM, Words, lowered, materialize, text_buffer, text_slices
 from .fm_index import FMIndex
 
 WINDOW = 13
 #: A shard's index closes at so many symbols, or so many documents.
 SHARD_SYMBOLS, SHARD_DOCS = 1 << 21, 1 << 17
-#: Windows that are sent to the tasks at once, in bytes of their text; more are searched in further passes.
+#: Windows that are searched at once, in bytes of their text; more are searched in further passes over the indexes.
 BLOCK_BYTES = 16 << 20
+#: Leading bits of a word's hash that tell whether any window may hold the word: a bit map of 2**22 bits for every benchmark.
+KNOWN_BITS = 22
 
-_RESULT = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+_INDEX = "shard long, ids array<long>, hashes array<long>, n_words array<long>, index binary"
+_FOUND = "shard long, row int, spans array<struct<start:long,end:long>>, windows array<long>"
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -33,169 +39,180 @@ def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-class Phrases:
-    """A block of windows as symbols: vocabulary by word hash, patterns, and the items of each."""
-
-    def __init__(self, windows: list[str], items: list[list[str]]):
-        raw = np.frombuffer(" ".join(windows).encode(), np.uint8)
-        words = Words(raw, np.array([0, len(raw)]), ALNUM)
-        self.vocabulary, symbol = np.unique(words.hashes(), return_inverse=True)
-        self.lengths = np.array([w.count(" ") + 1 for w in windows], np.int64)
-        ends = np.cumsum(self.lengths)
-        self.patterns = np.zeros((len(windows), int(self.lengths.max())), np.int64)
-        for k, (end, n) in enumerate(zip(ends, self.lengths, strict=True)):
-            self.patterns[k, :n] = symbol[end - n : end] + 1
-        self.items = items
-        self.shortest = int(self.lengths.min())
-        self.known = np.zeros(1 << 16, bool)
-        self.known[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
-
-    def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        """1.. for words of the vocabulary, 0 for all others."""
-        out = np.zeros(len(hashes), np.int64)
-        maybe = np.flatnonzero(self.known[(hashes >> np.uint64(48)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes[maybe]), len(self.vocabulary) - 1)
-        hit = self.vocabulary[at] == hashes[maybe]
-        out[maybe[hit]] = at[hit] + 1
-        return out
+def _word_hashes(texts: pa.Array) -> tuple[Words, np.ndarray]:
+    raw, offsets = text_buffer(texts)
+    words = Words(lowered(raw), offsets, ALNUM)
+    return words, words.hashes()
+
+
+def _known_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The leading bits of all words of the windows."""
+    for part in text_slices(batches, "window"):
+        yield pa.record_batch([pa.array(np.unique(_word_hashes(part.column("window"))[1] >> np.uint64(64 - KNOWN_BITS)).astype(np.int64))], names=["lead"])
 
 
 class Shard:
-    """Documents of a task. Words that no window holds end a run; runs shorter than every window are left out."""
+    """Documents of a task. Words that no window can hold end a run; runs shorter than every window are left out."""
 
-    def __init__(self, phrases: Phrases):
-        self.phrases = phrases
+    def __init__(self, known: np.ndarray, shortest: int):
+        self.known, self.shortest = known, shortest
         self.ids: list[pa.Array] = []
+        self.hashes: list[pa.Array] = []
         self.n_words: list[np.ndarray] = []
         self.runs: list[tuple[np.ndarray, ...]] = []
         self.docs = self.size = 0
 
-    def add(self, ids: pa.Array, raw: np.ndarray, offsets: np.ndarray) -> None:
-        words = Words(lowered(raw), offsets, ALNUM)
-        symbols = self.phrases.symbols(words.hashes())
+    def add(self, ids: pa.Array, hashes: pa.Array, texts: pa.Array) -> None:
+        words, symbols = _word_hashes(texts)
         counts = np.diff(words.row)
         inside = np.zeros(len(symbols) + 2, np.int8)
-        inside[1:-1] = symbols > 0
-        doc = np.repeat(np.arange(len(counts)), counts)
+        inside[1:-1] = self.known[(symbols >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)]
         edge = np.diff(inside)
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         cuts = np.unique(words.row[1:-1])
         cuts = cuts[(cuts > 0) & (cuts < len(symbols))]
         cuts = cuts[(inside[cuts] == 1) & (inside[cuts + 1] == 1)]
         start, end = np.sort(np.concatenate([start, cuts])), np.sort(np.concatenate([end, cuts]))
-        kept = end - start >= self.phrases.shortest
-        start, end = start[kept], end[kept]
-        length = end - start
-        at = np.repeat(start - np.concatenate([[0], np.cumsum(length + 1)[:-1]]), length + 1) + np.arange(int((length + 1).sum()))
-        run = symbols[np.minimum(at, len(symbols) - 1)] if len(at) else np.zeros(0, np.int64)
-        run[np.cumsum(length + 1) - 1] = 0
-        self.runs.append((run, length, doc[start] + self.docs, start - words.row[doc[start]]))
+        kept = end - start >= self.shortest
+        start, length = start[kept], (end - start)[kept]
+        doc = np.searchsorted(words.row, start, side="right") - 1
+        at = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        self.runs.append((symbols[at], length, doc + self.docs, start - words.row[doc]))
         self.ids.append(ids)
+        self.hashes.append(hashes)
         self.n_words.append(counts)
         self.docs += len(counts)
-        self.size += len(run)
-
-    def result(self) -> pa.RecordBatch:
-        n_words = np.concatenate(self.n_words).astype(np.int64)
-        spans: list[list[dict[str, int]]] = [[] for _ in n_words]
-        found: list[list[str]] = [[] for _ in n_words]
-        text, length, doc, first = (np.concatenate(x) for x in zip(*self.runs, strict=True))
-        if len(text):
-            index = FMIndex(text, len(self.phrases.vocabulary))
-            low, high = index.search(self.phrases.patterns, self.phrases.lengths)
-            hits = np.flatnonzero(high > low)
-            n = (high - low)[hits]
-            which = np.repeat(hits, n)
-            rows = np.repeat(low[hits] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-            place = index.locate(rows)
-            run = np.searchsorted(np.cumsum(length + 1), place, side="right")
-            run_start = np.cumsum(length + 1) - (length + 1)
-            # removal spans: the union of all occurrences, run by run
-            cover = np.zeros(len(text) + 1, np.int64)
-            np.add.at(cover, place, 1)
-            np.add.at(cover, place + self.phrases.lengths[which], -1)
-            covered = np.concatenate([[0], (np.cumsum(cover) > 0).astype(np.int8)])
-            edge = np.diff(covered)
-            s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            in_run = np.searchsorted(np.cumsum(length + 1), s, side="right")
-            for a, b, r in zip(s.tolist(), e.tolist(), in_run.tolist(), strict=True):
-                at = int(first[r] - run_start[r])
-                spans[doc[r]].append({"start": a + at, "end": b + at})
-            pairs = np.unique(np.stack([doc[run], which], axis=1), axis=0)
-            for d, w in pairs.tolist():
-                found[d].extend(self.phrases.items[w])
-        return pa.record_batch(
-            [
-                pa.concat_arrays(self.ids),
-                pa.array(n_words),
-                pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                pa.array([sorted(set(x)) for x in found], pa.list_(pa.string())),
-            ],
-            names=["doc_id", "n_words", "spans", "items"],
-        )
-
+        self.size += len(at)
+
+    def record(self, number: int) -> pa.RecordBatch:
+        """The shard's documents and its index: alphabet, FM-index of the runs, their lengths, documents and first words."""
+        symbols, length, doc, first = (np.concatenate(x) for x in zip(*self.runs, strict=True))
+        index = None
+        if len(symbols):
+            alphabet, coded = np.unique(symbols, return_inverse=True)
+            text = np.zeros(len(symbols) + len(length), np.int64)  # a 0 ends each run
+            text[np.arange(len(symbols)) + np.repeat(np.arange(len(length)), length)] = coded + 1
+            index = pickle.dumps((alphabet, FMIndex(text, len(alphabet)), length, doc, first))
+        lists = [pa.array([x], pa.list_(pa.int64())) for x in (pa.concat_arrays(self.ids), pa.concat_arrays(self.hashes), np.concatenate(self.n_words).astype(np.int64))]
+        return pa.record_batch([pa.array([number]), *lists, pa.array([index], pa.binary())], names=["shard", "ids", "hashes", "n_words", "index"])
+
+
+def build_indexes(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A stored table of FM-indexes, one row a shard, in which any block of `windows` (window) can be searched.
+
+    Only runs of words that may occur in a window are indexed, which loses no
+    occurrence. What is sent to the tasks for that is a bit map of fixed size.
+    """
+    known = np.zeros(1 << KNOWN_BITS, bool)
+    leads = windows.select("window").mapInArrow(_known_words, "lead long").distinct()
+    known[[r["lead"] for r in leads.toLocalIterator()]] = True
+    shortest = windows.agg(F.min(F.size(F.split("window", " "))).alias("n")).first()["n"] or WINDOW
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(known))
 
-def _search(phrases: Phrases):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(phrases)
+        held = np.unpackbits(shared.value).astype(bool)
+        number = TaskContext.get().partitionId() << 32
+        shard = Shard(held, shortest)
         for part in text_slices(batches, "text"):
-            shard.add(part.column("doc_id"), *text_buffer(part.column("text")))
+            shard.add(part.column("doc_id"), part.column("hash"), part.column("text"))
             if shard.size >= SHARD_SYMBOLS or shard.docs >= SHARD_DOCS:
-                yield shard.result()
-                shard = Shard(phrases)
+                yield shard.record(number)
+                number, shard = number + 1, Shard(held, shortest)
         if shard.docs:
-            yield shard.result()
+            yield shard.record(number)
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
+    return materialize(texts.mapInArrow(run, _INDEX), "fm-indexes")
+
+
+class Phrases:
+    """A block of windows: the hashes of their words, padded, their lengths and keys."""
+
+    def __init__(self, windows: list[str], keys: list[int]):
+        words, hashes = _word_hashes(pa.array(windows, pa.string()))
+        self.keys = np.array(keys, np.int64)
+        self.lengths = np.diff(words.row)
+        self.patterns = np.zeros((len(windows), int(self.lengths.max())), np.uint64)
+        self.patterns[np.arange(self.patterns.shape[1])[None, :] < self.lengths[:, None]] = hashes
+
+
+def _search(phrases: Phrases):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, held in zip(batch.column("shard").to_pylist(), batch.column("index"), strict=True):
+                if not held.is_valid:
+                    continue
+                alphabet, index, length, doc, first = pickle.loads(held.as_py())
+                coded = np.minimum(np.searchsorted(alphabet, phrases.patterns), len(alphabet) - 1)
+                missing = (alphabet[coded] != phrases.patterns) & (np.arange(coded.shape[1])[None, :] < phrases.lengths[:, None])
+                there = np.flatnonzero(~missing.any(axis=1))
+                lengths = phrases.lengths[there]
+                low, high = index.search(coded[there] + 1, lengths)
+                hits = np.flatnonzero(high > low)
+                if not len(hits):
+                    continue
+                n = (high - low)[hits]
+                which = np.repeat(hits, n)
+                place = index.locate(np.repeat(low[hits] - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
+                ends = np.cumsum(length + 1)
+                # removal spans: the union of all occurrences, run by run
+                cover = np.zeros(int(ends[-1]) + 1, np.int64)
+                np.add.at(cover, place, 1)
+                np.add.at(cover, place + lengths[which], -1)
+                edge = np.diff(np.concatenate([[0], (np.cumsum(cover) > 0).astype(np.int8)]))
+                s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+                run_ = np.searchsorted(ends, s, side="right")
+                at = first[run_] - (ends - length - 1)[run_]
+                pairs = np.unique(np.stack([doc[np.searchsorted(ends, place, side="right")], there[which]], axis=1), axis=0)
+                rows, starts = np.unique(pairs[:, 0], return_index=True)
+                spans = pa.StructArray.from_arrays([pa.array(s + at), pa.array(e + at)], ["start", "end"])
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(doc[run_], rows), len(s)), pa.int32()), spans),
+                    pa.ListArray.from_arrays(pa.array(np.append(starts, len(pairs)), pa.int32()), pa.array(phrases.keys[pairs[:, 1]])),
+                ]
+                yield pa.record_batch([pa.array([number] * len(rows), pa.int64()), pa.array(rows, pa.int32()), *lists], names=["shard", "row", "spans", "windows"])
 
     return run
 
 
-def _count_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in text_slices(batches, "text"):
-        raw, offsets = text_buffer(part.column("text"))
-        n = np.diff(Words(lowered(raw), offsets, ALNUM).row)
-        empty = [[]] * len(n)
-        yield pa.record_batch([part.column("doc_id"), pa.array(n), pa.array(empty, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(empty, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+#: Sorted spans, joined where they overlap or touch.
+_UNION = """aggregate(array_sort(s), cast(array() as array<struct<start:bigint,end:bigint>>), (acc, x) ->
+    if(size(acc) > 0 and element_at(acc, -1).end >= x.start,
+       concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end)))),
+       concat(acc, array(x))))"""
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, n_words, spans (word positions covered by benchmark windows, merged), items.
-
-    The windows go to the tasks in blocks of about `block_bytes`, one pass over
-    the documents for each block, so what is broadcast is bounded however large
-    the benchmark is. Null texts have no words; null or empty items have no
-    window; repeated documents are judged alike. With more than one block the
-    results of a doc_id are merged, so doc_id should then be unique.
+    """One row per document: doc_id, text_hash (xxhash64), n_words, spans (word positions covered by benchmark windows, merged), items.
+
+    The documents are indexed once. The windows are searched in blocks of about
+    `block_bytes`, so what is sent to the tasks is bounded however large the
+    benchmark is; what they find is put together by shard and row, so documents
+    without an id or with the same one are each judged by their own text. Items
+    are joined to the windows found, so a window may belong to any number of
+    them. Null texts have no words; null or empty items have no window. Texts are
+    handled whole; a task needs about 25 times the bytes of its longest one.
     """
-    pairs = item_windows(items, item_id, item_text)
-    size = pairs.agg(F.sum(F.octet_length("window")).alias("n")).first().n or 0
+    pairs = materialize(item_windows(items, item_id, item_text).withColumn("key", F.xxhash64("window")), "fm-windows")
+    indexes = build_indexes(docs, pairs, doc_id, doc_text)
+    size = pairs.agg(F.sum(F.octet_length("window")).alias("n")).first()["n"] or 0
     blocks = -(-int(size) // block_bytes)
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text"))
-    if not blocks:
-        return texts.mapInArrow(_count_only, _RESULT)
     found = []
     for block in range(blocks):
-        rows = pairs.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items")).collect()
+        rows = pairs.where(F.pmod("key", F.lit(blocks)) == block).groupBy("key").agg(F.min("window").alias("window")).collect()
         if rows:
-            phrases = Phrases([r.window for r in rows], [r["items"] for r in rows])
-            found.append(texts.mapInArrow(_search(phrases), _RESULT))
-    if len(found) == 1:
-        return found[0]
-    both = found[0]
-    for other in found[1:]:
-        both = both.unionByName(other)
-    merged = both.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    # sorted spans, joined where they overlap or touch
-    union = F.expr(
-        """aggregate(s, cast(array() as array<struct<start:bigint,end:bigint>>), (acc, x) ->
-             if(size(acc) > 0 and element_at(acc, -1).end >= x.start,
-                concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end)))),
-                concat(acc, array(x))))"""
-    )
-    return merged.select("doc_id", "n_words", union.alias("spans"), "items")
+            found.append(indexes.select("shard", "index").mapInArrow(_search(Phrases([r["window"] for r in rows], [r["key"] for r in rows])), _FOUND))
+    listed = indexes.select("shard", F.posexplode(F.arrays_zip("ids", "hashes", "n_words")).alias("row", "d"))
+    listed = listed.select("shard", "row", F.col("d.ids").alias("doc_id"), F.col("d.hashes").alias("text_hash"), F.col("d.n_words").alias("n_words"))
+    none, no_item = F.array().cast("array<struct<start:bigint,end:bigint>>"), F.array().cast("array<string>")
+    if not found:
+        return listed.select("doc_id", "text_hash", "n_words", none.alias("spans"), no_item.alias("items"))
+    hits = materialize(reduce(DataFrame.unionByName, found), "fm-hits")
+    spans = hits.groupBy("shard", "row").agg(F.flatten(F.collect_list("spans")).alias("s")).select("shard", "row", F.expr(_UNION).alias("spans"))
+    named = hits.select("shard", "row", F.explode("windows").alias("key")).join(pairs.select("key", "item"), "key")
+    named = named.groupBy("shard", "row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    judged = materialize(spans.join(named, ["shard", "row"]), "fm-judged")
+    return listed.join(judged, ["shard", "row"], "left").select("doc_id", "text_hash", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", no_item).alias("items"))
 
 
 def is_contaminated(n_hit, n_words):

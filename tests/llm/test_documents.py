@@ -133,7 +133,7 @@ def test_decontamination_matches_on_the_small_table(spark, small_dir, small):
     assert rows(QUERIES["op2_fm_decontamination"](spark, small_dir)) == sorted(brute.op2(small, items), key=repr)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 600])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 40_000])
 def test_decontamination_of_hard_texts(spark, hard, block_bytes):
     items = [(1, " ".join(f"w{k}" for k in range(40))), (2, "one"), (3, None), (4, "..."), (5, "alpha beta"), (6, hard_texts()[10]), (7, "w3 w4 w5")]
     table = spark.createDataFrame(items, "item_id long, text string")
@@ -145,6 +145,20 @@ def test_decontamination_of_hard_texts(spark, hard, block_bytes):
     assert {(d, n, h, hashlib.sha256(i.encode()).hexdigest()) for d, n, h, i in got} == {w[:3] + (w[4],) for w in want}
 
 
+def test_decontamination_judges_each_row_at_any_block_size(spark):
+    """Repeated and missing ids, in one block and in many."""
+    passage = " ".join(f"w{k}" for k in range(30))
+    docs = [(1, passage), (1, "x y"), (None, passage + " end"), (None, None), (2, "so " + passage)]
+    items = spark.createDataFrame([(k, " ".join(f"w{n}" for n in range(k, k + 14))) for k in range(8)] + [(99, "q r s")], "item_id long, text string")
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = []
+    for block_bytes in (1 << 24, 300):
+        found = decontamination.contamination(table, items, block_bytes=block_bytes)
+        got.append(sorted((str(r["doc_id"]), r["n_words"], [(s["start"], s["end"]) for s in r["spans"]], r["items"]) for r in found.collect()))
+    ids = [str(k) for k in range(8)]
+    assert got[0] == got[1] == sorted([("1", 30, [(0, 21)], ids), ("1", 2, [], []), ("None", 31, [(0, 21)], ids), ("None", 0, [], []), ("2", 31, [(1, 22)], ids)])
+
+
 def test_decontamination_without_items_or_documents(spark, hard):
     none = spark.createDataFrame([], "item_id long, text string")
     assert all(not r["spans"] for r in decontamination.contamination(hard, none).collect())
