@@ -143,4 +143,15 @@ SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0)
 FROM t LEFT JOIN g USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op7_fingerprint_index": _OP7, "op3_line_windows": _OP3, "op4_warc_revisits": _OP4, "op5_poisson_mixing": _OP5}
+_OP8 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND list_bool_and(list_transform(e, lambda x: coalesce(isfinite(x), false)))
+      AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(vec_id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, p.b FROM r JOIN p ON p.a = r.c)
+SELECT r.vec_id, CAST(any_value(coalesce(n, 0)) AS BIGINT) AS n_links, min(c) AS component_id, min(c) = r.vec_id AS kept
+FROM r LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY 1) k ON k.a = r.vec_id GROUP BY r.vec_id
+"""
+
+ORACLES: dict[str, str] = {"op8_product_quantisation": _OP8, "op7_fingerprint_index": _OP7, "op3_line_windows": _OP3, "op4_warc_revisits": _OP4, "op5_poisson_mixing": _OP5}

@@ -16,7 +16,7 @@ from barloom.llm import fingerprint_index, line_windows, pii_crf, product_quanti
 from barloom.llm.components import connected_components  # noqa: E402
 from barloom.llm.queries import ORACLES, QUERIES  # noqa: E402
 
-TABLES = "documents pages".split()
+TABLES = "documents pages embeddings".split()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -174,6 +174,31 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
     assert product_quantisation.near_duplicates(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("level", [1024, 3])
+def test_embeddings_of_any_length_link(spark, monkeypatch, level):
+    """Very small and large vectors, repeated and missing ids, and cells on two levels."""
+    monkeypatch.setattr(product_quantisation, "LIST_SIZE", 20)
+    monkeypatch.setattr(product_quantisation, "LEVEL", level)
+    r = np.random.default_rng(3)
+    rows, centres = [], r.normal(size=(40, 16))
+    for k in range(200):
+        rows.append((k, (centres[k % 40] + 0.1 * r.normal(size=16)) * 10.0 ** int(r.choice([-200, 0, 0, 0, 200])), int(k % 40 % 3)))
+    data = [(k, [float(x) for x in e], lab) for k, e, lab in rows]
+    unit = [(k, (e / np.abs(e).max()).tolist(), lab) for k, e, lab in rows]
+    schema = "vec_id long, embedding array<double>, label int"
+    got = sorted(tuple(x) for x in product_quantisation.near_duplicates(spark.createDataFrame(data, schema), reach=1.0).collect())
+    assert got == brute.op8(unit) and sum(x[1] for x in got) > 300
+    twice = [(7, data[0][1], 0), (7, data[1][1], 1), (8, data[1][1], 1), (None, data[0][1], 0)]
+    got = product_quantisation.near_duplicates(spark.createDataFrame(twice, schema)).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in got) == [(0, 1, 7), (7, 1, 7), (7, 1, 7), (8, 1, 7)]
+
+
+def test_embedding_recall_on_the_table(spark, small_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{small_dir}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
+    got = QUERIES["op8_product_quantisation"](spark, small_dir).collect()
+    assert sorted(tuple(r) for r in got) == brute.op8(rows)
+
+
 def test_embedding_recall_at_the_usual_reach(spark, monkeypatch):
     monkeypatch.setattr(product_quantisation, "LIST_SIZE", 20)
     r = np.random.default_rng(4)
