@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,159 +10,147 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_buffer, text_slices
+from .common import SLICE_BYTES, text_buffer, text_slices
 
-#: Symbols: a-z (A-Z folded), white space, digits, other ASCII, the commonest bytes from 0x80 on, and the rest of those.
-CLASSES = 48
-_SPACE, _DIGIT, _OTHER, _FIRST_HIGH = 26, 27, 28, 29
-#: The longest context, in bytes, by the number of languages: a model is a table of CLASSES ** (order + 1) code lengths a language.
-ORDER_FEW, ORDER_MANY, FEW = 3, 2, 16
+#: The longest context, in bytes.
+ORDER = 3
+#: Training texts of a language, and bytes of them, at most about this; with many languages the bytes are fewer, at least LEAST_BYTES.
+DOCS_PER_LANGUAGE, BYTES_PER_LANGUAGE, ALL_BYTES, LEAST_BYTES = 3000, 8 << 20, 256 << 20, 1 << 18
 #: Code lengths are kept to 1/1024 bit.
 _UNIT = 1024
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+class Tree:
+    """Frozen counts of one language: every context of up to ORDER bytes of the sample with the bytes that followed it.
+
+    `grams[o]` are the distinct (context of o bytes, byte) as numbers, sorted, and
+    `counts[o]` how often each came. A context's node has three sums that a code
+    length needs: observations, distinct bytes, and how often the bytes that this
+    context has seen came after the context that is one byte shorter.
+    """
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        self.grams, self.counts = [grams.astype(np.int64)], [counts.astype(np.int64)]
+        for o in range(ORDER - 1, -1, -1):
+            short, inverse = np.unique(self.grams[0] & ((1 << 8 * (o + 1)) - 1), return_inverse=True)
+            self.grams.insert(0, short)
+            self.counts.insert(0, np.bincount(inverse, weights=self.counts[0], minlength=len(short)).astype(np.int64))
+        self.nodes, self.sums = [], []
+        for o in range(ORDER + 1):
+            node, at = np.unique(self.grams[o] >> 8, return_inverse=True)
+            below = self._count(o - 1, self.grams[o] & ((1 << 8 * o) - 1)) if o else np.zeros(len(at), np.int64)
+            columns = [np.bincount(at, weights=w, minlength=len(node)) for w in (self.counts[o], np.ones(len(at)), below)]
+            self.nodes.append(node)
+            self.sums.append(np.stack([*columns], axis=1).astype(np.float64) if len(node) else np.zeros((0, 3)))
+
+    def _count(self, o: int, gram: np.ndarray) -> np.ndarray:
+        return _at(self.grams[o], self.counts[o], gram)
+
+    def code_lengths(self, gram: np.ndarray) -> np.ndarray:
+        """-log2 P(byte | context) of sorted distinct grams, each a context of ORDER bytes and a byte.
+
+        At a context with n observations of q distinct bytes, a seen byte costs
+        count / (n + q) and the escape q / (n + q). After an escape the bytes of
+        the longer context are excluded, and a context with no other bytes costs
+        nothing. Below the empty context all bytes that are left are alike.
+        """
+        p, done = np.ones(len(gram)), np.zeros(len(gram), bool)
+        distinct = np.zeros(len(gram))
+        shared = np.zeros(len(gram))
+        for o in range(ORDER, -1, -1):
+            live = np.flatnonzero(~done)
+            here = gram[live] & ((1 << 8 * (o + 1)) - 1)
+            node = _at(self.nodes[o], self.sums[o], here >> 8)
+            n, q = node[:, 0] - shared[live], node[:, 1] - distinct[live]
+            count = self._count(o, here)
+            whole = np.maximum(n + q, 1)
+            p[live] *= np.where(count > 0, count / whole, np.where(q > 0, q / whole, 1.0))
+            done[live] = count > 0
+            shared[live], distinct[live] = node[:, 2], node[:, 1]
+        rest = ~done
+        p[rest] /= np.maximum(256 - distinct[rest], 1)
+        return -np.log2(p)
+
+
+def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of each wanted key, or zeros."""
+    if not len(keys):
+        return np.zeros((len(wanted), *values.shape[1:]), values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    return np.where(hit.reshape(-1, *[1] * (values.ndim - 1)), values[at], 0)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Frozen counts: for each language the distinct (context, byte) grams of the training sample and how often each came."""
+    """The languages and their frozen trees."""
 
     languages: list[str]
-    classes: np.ndarray
-    order: int
-    grams: list[np.ndarray]
-    counts: list[np.ndarray]
-
-    def key(self) -> str:
-        h = hashlib.sha256(self.classes.tobytes())
-        for part in (*self.grams, *self.counts):
-            h.update(part.tobytes())
-        return h.hexdigest()
-
-
-def byte_classes(histogram: np.ndarray) -> np.ndarray:
-    out = np.full(256, _OTHER, np.uint8)
-    for k in range(26):
-        out[ord("a") + k] = out[ord("A") + k] = k
-    out[list(b" \t\n\x0b\x0c\r")] = _SPACE
-    out[ord("0") : ord("9") + 1] = _DIGIT
-    out[128:] = CLASSES - 1
-    own = CLASSES - 1 - _FIRST_HIGH
-    common = sorted((b for b in range(128, 256) if histogram[b]), key=lambda b: (-histogram[b], b))[:own]
-    for k, b in enumerate(common):
-        out[b] = _FIRST_HIGH + k
-    return out
+    trees: list[Tree]
 
 
-def _grams(raw: np.ndarray, offsets: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
-    """For each byte its context of `order` symbols and itself as one number; a text begins after white space."""
+def _grams(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each byte its context of ORDER bytes and itself as one number; a text begins after spaces."""
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    at = np.arange(len(raw)) + order * (row + 1)
-    padded = np.full(len(raw) + order * len(offsets), _SPACE, np.int32)
-    padded[at] = classes[raw]
-    gram = padded[: len(padded) - order].copy()
-    for k in range(1, order + 1):
-        gram *= CLASSES
-        gram += padded[k : len(padded) - order + k]
-    return gram[at - order]
+    at = np.arange(len(raw)) + ORDER * (row + 1)
+    padded = np.full(len(raw) + ORDER * len(offsets), ord(" "), np.uint32)
+    padded[at] = raw
+    gram = padded[: len(padded) - ORDER].copy()
+    for k in range(1, ORDER + 1):
+        gram <<= np.uint32(8)
+        gram |= padded[k : len(padded) - ORDER + k]
+    return gram[at - ORDER]
 
 
-def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", docs_per_language: int = 3000, max_languages: int = 64, seed: int = 9) -> Model:
-    """Fit on a bounded sample: about `docs_per_language` whole labelled texts of each language, chosen by a hash of the key.
+def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE, bytes_per_language: int = BYTES_PER_LANGUAGE, seed: int = 9) -> Model:
+    """Fit on a bounded sample of whole labelled texts of each language, chosen by a hash of the key.
 
-    Only texts and their labels are learned from. If there are more than
-    `max_languages` labels, the most frequent are learned.
+    Only texts and their labels are learned from, and every label is learned.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    found = labelled.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    found = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("bytes")).collect()
     languages = sorted(r["lang"] for r in found)
-    order = ORDER_FEW if len(languages) <= FEW else ORDER_MANY
     if not languages:
-        return Model([], byte_classes(np.zeros(256)), order, [], [])
-    share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1.0, docs_per_language / r["count"]))])
+        return Model([], [])
+    most = max(LEAST_BYTES, min(bytes_per_language, ALL_BYTES // len(languages)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, docs_per_language / r["n"], most / max(1, r["bytes"]))) for r in found], "_lang string, _share double")
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(draw < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-
-    def bytes_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
-        for part in text_slices(batches, "text"):
-            total += np.bincount(text_buffer(part.column("text"))[0], minlength=256)
-        yield pa.record_batch([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
-
-    histogram = np.zeros(256, np.int64)
-    for r in sample.mapInArrow(bytes_seen, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        histogram[r["byte"]] = r["n"]
-    classes = byte_classes(histogram)
+    texts = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), draw.alias("draw"))
+    # one row a language
+    sample = texts.join(F.broadcast(shares), texts["lang"] == shares["_lang"]).where("draw < _share").select("lang", "text")
 
     def grams_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
             labels = np.array(part.column("lang").to_pylist(), object)
             for name in set(labels):
                 mine = part.filter(pa.array(labels == name))
-                gram, n = np.unique(_grams(*text_buffer(mine.column("text")), classes, order), return_counts=True)
+                gram, n = np.unique(_grams(*text_buffer(mine.column("text"))), return_counts=True)
                 yield pa.record_batch([pa.array([name] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    seen = sample.mapInArrow(grams_seen, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    parts = [seen[seen["lang"] == x].sort_values("gram") for x in languages]
-    return Model(languages, classes, order, [p["gram"].to_numpy(np.int32) for p in parts], [p["n"].to_numpy(np.int64) for p in parts])
-
-
-def code_lengths(gram: np.ndarray, count: np.ndarray, order: int) -> np.ndarray:
-    """-log2 P(byte | context) of every gram under one language's context tree.
-
-    At a context node with n observations of q distinct bytes a seen byte costs
-    count / (n + q) and the escape q / (n + q); after an escape the bytes of the
-    longer context are excluded. Below the root all remaining bytes are alike.
-    """
-    k = CLASSES
-    full = np.zeros(k ** (order + 1), np.float64)
-    full[gram] = count
-    levels = [full.reshape(-1, k)]
-    for _ in range(order):
-        levels.append(levels[-1].reshape(k, -1, k).sum(axis=0) if levels[-1].shape[0] > 1 else levels[-1])
-    out = np.empty((k**order, k), np.float32)
-    step = k ** max(order - 1, 0)
-    for start in range(0, k**order, step):  # contexts that begin with one symbol
-        context = np.arange(start, start + step)
-        left = np.ones((step, k), bool)
-        escape, p = np.ones((step, 1)), np.zeros((step, k))
-        for level in levels:
-            n = level[context % level.shape[0]] * left
-            total, distinct = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-            whole = np.maximum(total + distinct, 1)
-            p += escape * n / whole
-            escape = np.where(distinct > 0, escape * distinct / whole, escape)
-            left &= n == 0
-        rest = left.sum(1, keepdims=True)
-        p += np.where(left, escape / np.maximum(rest, 1), 0)
-        out[start : start + step] = -np.log2(p)
-    return out.reshape(-1)
-
-
-_tables: dict[str, np.ndarray] = {}
-
-
-def _table(model: Model) -> np.ndarray:
-    """Code lengths of all languages side by side, made once in each worker process."""
-    key = model.key()
-    if key not in _tables:
-        _tables.clear()
-        made = np.empty((CLASSES ** (model.order + 1), len(model.languages)), np.uint16)
-        for k, (gram, count) in enumerate(zip(model.grams, model.counts, strict=True)):
-            made[:, k] = np.minimum(np.rint(code_lengths(gram, count, model.order) * _UNIT), 65535)
-        _tables[key] = made
-    return _tables[key]
+    counted = sample.mapInArrow(grams_seen, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    seen = counted.toPandas()
+    by_language = dict(iter(seen.sort_values("gram").groupby("lang")))
+    none = seen.iloc[:0]
+    return Model(languages, [Tree(p["gram"].to_numpy(np.int64), p["n"].to_numpy(np.int64)) for p in (by_language.get(x, none) for x in languages)])
 
 
 def total_lengths(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Bits of each whole text under each language."""
-    table = _table(model)
-    sizes = np.diff(offsets)
-    out = np.zeros((len(sizes), len(model.languages)))
-    filled = np.flatnonzero(sizes)
-    if len(filled):
-        each = table[_grams(raw, offsets, model.classes, model.order)]
-        out[filled] = np.add.reduceat(each, offsets[filled], axis=0, dtype=np.uint64) / _UNIT
+    """Bits of each whole text under each language. Texts are added up a piece at a time, so only a piece's grams are held."""
+    out = np.zeros((len(offsets) - 1, len(model.trees)))
+    whole = SLICE_BYTES
+    for start in range(0, len(raw), whole):
+        end = min(start + whole, len(raw))
+        first, last = np.searchsorted(offsets, start, side="right") - 1, np.searchsorted(offsets, end, side="left")
+        cuts = np.clip(offsets[first : last + 1], start, end)
+        # a text that goes on keeps the bytes before the piece as its context
+        back = max(int(offsets[first]), start - ORDER)
+        gram = _grams(raw[back:end], np.concatenate([[0], cuts[1:] - back]))[start - back :]
+        distinct, place = np.unique(gram, return_inverse=True)
+        rows = np.flatnonzero(np.diff(cuts))
+        for k, tree in enumerate(model.trees):
+            each = np.rint(tree.code_lengths(distinct.astype(np.int64)) * _UNIT)[place]
+            out[first + rows, k] += np.add.reduceat(each, cuts[rows] - start) / _UNIT
     return out
 
 
@@ -173,7 +159,7 @@ def _has_letter(column: pa.Array, raw: np.ndarray, offsets: np.ndarray) -> np.nd
     running = np.concatenate([[0], np.cumsum(ascii_letter)])
     out = running[offsets[1:]] > running[offsets[:-1]]
     for k in np.flatnonzero(~out):
-        out[k] = _LETTER.search(column[int(k)].as_py() or "") is not None
+        out[k] = any(map(str.isalpha, column[int(k)].as_py() or ""))
     return out
 
 
@@ -182,7 +168,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     score is that language's share when each code length L counts as 2 ** -L.
     Ties go to the first language by name. A null text, or one without a
-    letter, gives `und` and 0, as does a model without languages.
+    letter (`str.isalpha`), gives `und` and 0, as does a model without languages.
+    Texts are handled whole, a piece at a time: a task needs the bytes of its
+    longest one about four times.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

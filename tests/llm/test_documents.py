@@ -233,39 +233,70 @@ def test_language_of_hard_texts(spark, hard):
     assert {r["lang_pred"] for r in language_id.predict(hard, none).collect()} == {"und"}
 
 
-def test_code_lengths_are_those_of_a_plain_tree():
-    """One context at a time: escapes with exclusion, as the docstring says."""
+def test_query_gives_the_code_lengths_of_plain_trees(spark):
+    """The predictions of whole texts against trees in dictionaries, one context at a time: escapes with exclusion."""
+    r = random.Random(8)
+    words = {"xx": ["ab", "ba", "aab", "é"], "yy": ["ab", "cc", "cab", "ñ"], "zz": ["b", "ab a", "\u0430"]}
+    rows_ = [(k, None if k % 29 == 7 else " ".join(r.choice(words[lang]) for _ in range(r.randrange(0, 12))), lang) for k in range(90) for lang in [r.choice(list(words))]]
+    rows_ += [(200, "²½①", "xx"), (201, "A", "yy"), (202, "\x00\xff q", None), (203, "ab", None)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in language_id.identify(docs).select("row.doc_id", "held_out", "lang_pred", "score").collect()}
+    import zlib
+
+    trees = {}
+    for doc, text, lang in rows_:
+        if text is not None and lang is not None and zlib.crc32(str(doc).encode()) % 5:
+            data = b"   " + text.encode()
+            for i in range(3, len(data)):
+                for o in range(4):
+                    node = trees.setdefault(lang, {}).setdefault(data[i - o : i], {})
+                    node[data[i]] = node.get(data[i], 0) + 1
+    for doc, text, _ in rows_:
+        assert got[doc]["held_out"] == (zlib.crc32(str(doc).encode()) % 5 == 0)
+        if text is None or not any(map(str.isalpha, text)):
+            assert (got[doc]["lang_pred"], got[doc]["score"]) == ("und", 0)
+            continue
+        data = b"   " + text.encode()
+        bits = {lang: sum(plain_bits(tree, data[i - 3 : i], data[i]) for i in range(3, len(data))) for lang, tree in trees.items()}
+        best = min(bits.values())
+        assert bits[got[doc]["lang_pred"]] <= best + 0.1
+        assert abs(got[doc]["score"] - 1 / sum(2 ** (best - b) for b in bits.values())) < 0.02
+
+
+def plain_bits(tree, context, byte):
     import math
 
-    import numpy as np
-
-    k, order = language_id.CLASSES, 2
-    r = random.Random(8)
-    grams = {}
-    for _ in range(400):
-        g = tuple(r.choice([0, 0, 0, 1, 1, 2, 3, 40]) for _ in range(order + 1))
-        grams[g] = grams.get(g, 0) + 1
-    flat = sorted((a * k * k + b * k + c, n) for (a, b, c), n in grams.items())
-    got = language_id.code_lengths(np.array([g for g, _ in flat]), np.array([n for _, n in flat]), order)
-    for context in ((0, 1), (40, 2), (7, 0), (7, 7)):
-        for symbol in (0, 1, 3, 40, 9):
-            left, p, found = set(range(k)), 1.0, False
-            for start in range(order + 1):
-                n = {}
-                for g, c in grams.items():
-                    if g[start:order] == context[start:] and g[order] in left:
-                        n[g[order]] = n.get(g[order], 0) + c
-                total, q = sum(n.values()), len(n)
-                if symbol in n:
-                    p, found = p * n[symbol] / (total + q), True
-                    break
-                if q:
-                    p *= q / (total + q)
-                left -= set(n)
-            if not found:
-                p /= len(left)
-            at = context[0] * k * k + context[1] * k + symbol
-            assert math.isclose(got[at], -math.log2(p), rel_tol=1e-5), (context, symbol)
+    p, excluded = 1.0, set()
+    for o in range(3, -1, -1):
+        node = {b: n for b, n in tree.get(context[3 - o :], {}).items() if b not in excluded}
+        total, q = sum(node.values()), len(node)
+        if byte in node:
+            return -math.log2(p * node[byte] / (total + q))
+        if q:
+            p *= q / (total + q)
+        excluded |= set(node)
+    return -math.log2(p / (256 - len(excluded)))
+
+
+def test_every_label_is_learned_and_ties_go_by_name(spark):
+    rows_ = [(k, f"{chr(0x4e00 + k % 150)}{chr(0x5e00 + k % 150)}", f"l{k % 150:03d}") for k in range(900)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    found = language_id.identify(docs).select("row.lang", "lang_pred").collect()
+    assert all(x["lang"] == x["lang_pred"] for x in found)
+    same = spark.createDataFrame([(k, "same words", x) for k, x in enumerate(["b", "a", "c"] * 20)], "doc_id long, text string, lang string")
+    model = language_id.train(same.where("doc_id < 3"))
+    assert {x["lang_pred"] for x in language_id.predict(same, model).collect()} == {"a"}
+
+
+def test_a_long_text_is_added_up_piece_by_piece(monkeypatch):
+    tree = language_id.Tree(*np.unique(language_id._grams(np.frombuffer(b"the cat and the dog", np.uint8), np.array([0, 19])), return_counts=True))
+    raw = np.frombuffer(b"the dog and a cat, the end of it" * 9, np.uint8)
+    offsets = np.array([0, 0, 5, 90, 90, 91, len(raw)])
+    model = language_id.Model(["x"], [tree])
+    whole = language_id.total_lengths(model, raw, offsets)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(language_id, "SLICE_BYTES", size)
+        assert np.allclose(language_id.total_lengths(model, raw, offsets), whole)
 
 
 def test_poisson_draws(spark, hard):
