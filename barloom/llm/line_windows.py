@@ -23,31 +23,29 @@ def line_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of `docs` plus `_n_lines`, `_n_removed` and `_kept` (the text without its removed lines).
+    """(row, n_lines, n_removed, kept): row holds all columns of `docs`, kept is the text without its removed lines.
 
     A window is three consecutive lines, split at newlines only; its first
     occurrence is the one with the smallest (doc_id, line). The lines of every
     later occurrence go; overlapping windows are merged. Windows are judged on
     the input. A text under three lines is left as it is; a null text has no
     lines and stays null; an empty text is one empty line. Rows that share a
-    doc_id count as one place: they keep or lose the same lines.
+    doc_id count as one place: they keep or lose the same lines. A null doc_id
+    comes before all others, and such a row loses nothing. An empty table gives
+    an empty result. Texts are handled whole, as one array of lines.
     """
-    windows = line_windows(docs, id_col, text_col)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    windows = line_windows(packed, "doc_id", "text")
     # partial minima first, so a window that a third of the corpus holds is one row a task
     repeated = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     repeated = materialize(repeated, "line-windows")
     later = windows.join(repeated, ["h1", "h2"]).where(F.struct("doc_id", "pos") > F.col("first"))
-    gone = later.groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
-    joined = docs.join(gone, docs[id_col] == gone["_doc"], "left").withColumn("_lines", _lines(text_col))
+    gone = later.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    joined = packed.join(gone, "doc_id", "left").select("row", "text", "gone", _lines("text").alias("lines"))
     # between one removed window and the next stand the lines that are kept
-    before = F.concat(F.array(F.lit(-WINDOW)), F.coalesce("_gone", F.array().cast("array<int>")))
-    after = F.concat(F.coalesce("_gone", F.array().cast("array<int>")), F.array(F.size("_lines")))
-    kept = F.flatten(F.zip_with(before, after, lambda a, b: F.slice(F.col("_lines"), a + WINDOW + 1, F.greatest(b - a - WINDOW, F.lit(0)))))
-    kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(kept)
-    cut = joined.select(*[docs[c] for c in docs.columns], F.size("_lines").cast("long").alias("_n_lines"), kept.alias("_kept"))
-    return cut.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        "_n_lines",
-        (F.col("_n_lines") - F.size("_kept")).alias("_n_removed"),
-        F.when(F.col(f"`{text_col}`").isNotNull(), F.array_join("_kept", "\n")).alias("_kept"),
-    )
+    before = F.concat(F.array(F.lit(-WINDOW)), F.coalesce("gone", F.array().cast("array<int>")))
+    after = F.concat(F.coalesce("gone", F.array().cast("array<int>")), F.array(F.size("lines")))
+    kept = F.flatten(F.zip_with(before, after, lambda a, b: F.slice(F.col("lines"), a + WINDOW + 1, F.greatest(b - a - WINDOW, F.lit(0)))))
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept)
+    cut = joined.select("row", "text", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
+    return cut.select("row", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_removed"), F.when(F.col("text").isNotNull(), F.array_join("kept", "\n")).alias("kept"))

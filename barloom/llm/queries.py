@@ -39,8 +39,7 @@ def op2_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_windows.dedup_lines(table(spark, sf_dir, "documents"))
-    kept = F.sha2(F.coalesce("_kept", F.lit("")).cast("binary"), 256).alias("kept_sha256")
-    return cut.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), kept)
+    return cut.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

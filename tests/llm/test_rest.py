@@ -54,10 +54,13 @@ def test_line_windows_of_hard_texts(spark):
     texts = [None, "", "a", "a\nb", "a\nb\nc", "a\nb\nc", "x\na\nb\nc\ny", "a\na\na\na\na\na", "\n\n\n\n", "a\r\nb\r\nc\r\n", "ab\nc\nd", "a\nbc\nd"]
     texts += ["\n".join(r.choice("pqr") for _ in range(r.randrange(1, 15))) for _ in range(40)]
     texts += ["\n".join(f"l{k}" for k in range(2000))] * 2
-    cut = line_windows.dedup_lines(documents(spark, texts))
-    assert cut.columns[:8] == ["doc_id", "text", "lang", "source", "score", "row", "copy", "n_words"]
-    assert sorted((r["doc_id"], r["_n_lines"], r["_n_removed"], r["_kept"]) for r in cut.collect()) == brute_lines(texts)
+    clashing = documents(spark, texts).selectExpr("*", "1 AS lines", "2 AS gone", "3 AS n_lines", "4 AS kept", "5 AS `a.b`", "6 AS h1")
+    cut = line_windows.dedup_lines(clashing)
+    assert cut.select("row.*").columns == clashing.columns
+    assert sorted((r["row"]["doc_id"], r["n_lines"], r["n_removed"], r["kept"]) for r in cut.collect()) == brute_lines(texts)
     assert line_windows.dedup_lines(documents(spark, [])).count() == 0
+    shared = spark.createDataFrame([(None, "a\nb\nc"), (1, "a\nb\nc"), (1, "d\na\nb\nc"), (2, "x\na\nb\nc")], "doc_id long, text string")
+    assert sorted((str(r["row"]["doc_id"]), r["kept"]) for r in line_windows.dedup_lines(shared).collect()) == [("1", ""), ("1", ""), ("2", "x"), ("None", "a\nb\nc")]
 
 
 def test_line_windows_plan_has_no_python(spark, small_dir):
@@ -69,11 +72,26 @@ def test_warc_of_hard_pages(spark):
     big = "<p>é</p>" * 400
     rows = [(1, None, None), (2, "http://a/ b\r\nX: y", ""), (3, "u3", big), (4, "u4", big), (9, "u9", big), (5, "u5", "WARC/1.1\r\n\r\n\r\n\r\nWARC/1.1\r\n" * 99), (6, "u6", "x" * 999), (7, "u7", "x" * 999), (8, "u8", "y" * 300_000), (10, "u10", "y" * 300_000), (11, None, "\x00\n")]
     pages = spark.createDataFrame([(p, u, h, "clash", 1) for p, u, h in rows], "page_id long, url string, html string, digest string, n int")
-    path = warc.write_archives(pages, records_per_file=3, date="2024-01-01T00:00:00Z")
+    path = warc.write_archives(pages, file_bytes=300, date="2024-01-01T00:00:00Z")
     got = sorted(tuple(r) for r in warc.read_archives(spark, path).collect())
     assert got == brute.op4([(p, h) for p, _, h in rows])
-    raw = [r["content"] for r in spark.read.format("binaryFile").load(path).select("content").collect()]
-    assert sum(x.count(b"") >= 0 for x in raw) >= 3
+    files = spark.read.format("binaryFile").load(path).collect()
+    assert len(files) > 3 and all(f["path"].endswith(".warc.gz") for f in files)
+    import gzip
+    import zlib
+
+    ids = []
+    for f in files:
+        raw = bytes(f["content"])
+        assert gzip.decompress(raw).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+        while raw:  # each record from its own place in the file
+            one = zlib.decompressobj(31)
+            record = one.decompress(raw)
+            raw = one.unused_data
+            if record:
+                assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
+                ids.append(record.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0])
+    assert len(set(ids)) == len(ids) == len(rows) + len(files)
     none = warc.read_archives(spark, warc.write_archives(pages.limit(0)))
     assert none.count() == 0
 
@@ -83,6 +101,9 @@ def test_warc_keeps_repeated_pages(spark):
     pages = spark.createDataFrame([(1, "u", big), (2, "v", big), (2, "v", big)], "page_id long, url string, html string")
     got = sorted((r["page_id"], r["record_type"]) for r in warc.read_archives(spark, warc.write_archives(pages)).collect())
     assert got == [(1, "revisit"), (2, "response"), (2, "response")]
+    nameless = spark.createDataFrame([(None, "u", big), (None, None, big), (3, "w", big)], "page_id long, url string, html string")
+    got = [(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, warc.write_archives(nameless)).collect()]
+    assert sorted(got, key=repr) == [(3, "response", None), (None, "revisit", 3), (None, "revisit", 3)]
 
 
 def test_substrings_match_on_the_small_table(spark, small_dir):
