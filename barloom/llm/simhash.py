@@ -41,15 +41,15 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for each row: fp holds the 64 bits in a long. Null texts count as empty."""
+    """(doc_id, text_hash, fp) for each row: fp holds the 64 bits in a long. Null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
             texts = part.column("text").cast(pa.binary()).to_pylist()
             fps = np.array([fingerprint(t or b"") for t in texts], np.uint64).view(np.int64)
-            yield pa.record_batch([part.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.record_batch([part.column("doc_id"), part.column("text_hash"), pa.array(fps)], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def position_sets() -> list[tuple[int, ...]]:
@@ -211,7 +211,10 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, fp (long), component_id (smallest doc_id reachable by links of at most 3 bits).
+    """One row per input row: doc_id, text_hash (xxhash64), fp (long), component_id (smallest doc_id reachable by links of at most 3 bits), kept.
+
+    Of each component the text with the smallest doc_id is kept; of several texts
+    with that id (or without any id), the one with the smallest hash.
 
     Null and empty texts have fingerprint zero and link like any other; equal
     fingerprints are one node, so groups of copies cost one index entry; rows
@@ -221,9 +224,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     about 30 times the bytes of its longest one.
     """
     marked = materialize(fingerprints(docs, id_col, text_col), "simhash-fp")
-    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    first = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "text_hash")  # missing ids come last
+    nodes = materialize(marked.groupBy("fp").agg(F.min(first).alias("least")), "simhash-nodes")
     groups = connected_components(links(nodes.select("fp")), "simhash")
     named = materialize(nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "simhash-named")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = materialize(named.join(least, "component").select("fp", "component_id"), "simhash-classes")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    least = named.groupBy("component").agg(F.min("least").alias("least"))
+    by_fp = materialize(named.select("fp", "component").join(least, "component").select("fp", "least"), "simhash-classes")
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    return marked.join(by_fp, "fp").select("doc_id", "text_hash", "fp", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))
