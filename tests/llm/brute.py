@@ -58,6 +58,33 @@ def op2(docs, items, window=13):
     return out
 
 
+def op5(docs, seed, alpha):
+    """Copies of each document, by its source's rate; rates are drawn in parts of at most 8."""
+    chars = defaultdict(float)
+    for _, source, text in docs:
+        chars[source] += len(text or "")
+    total = sum(chars.values())
+    weight = sum(c**alpha for c in chars.values() if c)
+    out = {}
+    for doc, source, _ in docs:
+        n = 1
+        if chars[source]:
+            rate = chars[source] ** alpha / weight * total / chars[source]
+            parts, n = max(1, math.ceil(rate / 8)), 0
+            for part in range(1, parts + 1):
+                u = int(hashlib.md5(f"{seed}:{part}:{doc}".encode()).hexdigest()[:13], 16) / 2**52
+                term = whole = math.exp(-rate / parts)
+                k = 0
+                while u >= whole and k < 48:
+                    k += 1
+                    term *= rate / parts / k
+                    whole += term
+                n += k
+        if n:
+            out[doc] = n
+    return out
+
+
 def fingerprint(text):
     w = SPACED.findall((text or "").translate(ASCII_LOWER))
     shingles = [" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []

@@ -398,12 +398,14 @@ def test_every_document_of_the_table_is_judged(spark, small_dir):
 def test_pipeline_stages(spark, small_dir):
     import corpus_pipeline
 
+    from barloom.llm import mixing
     from barloom.llm.queries import END_ID, tokenizer_path
 
     docs = spark.read.parquet(f"{small_dir}/documents.parquet")
     columns = docs.columns
     kept = corpus_pipeline.language(spark, docs, small_dir).cache()
-    assert kept.columns == columns and kept.count() >= 0.97 * docs.count()
+    want = {d for d, x in plain_language([(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]).items() if x > corpus_pipeline.LEAST_SCORE}
+    assert kept.columns == columns and {r["doc_id"] for r in kept.collect()} == want and len(want) >= 0.97 * docs.count()
     unique = corpus_pipeline.near_duplicates(spark, kept, small_dir).cache()
     group = {d: c for d, _, c in brute.op6([(r["doc_id"], r["text"]) for r in kept.collect()])}
     assert {r["doc_id"] for r in unique.collect()} == set(group.values())
@@ -413,6 +415,8 @@ def test_pipeline_stages(spark, small_dir):
     assert {r["doc_id"] for r in clean.collect()} == {d for d, bad in judged.items() if not bad}
     mixed = corpus_pipeline.mix(spark, clean, small_dir).cache()
     assert mixed.columns == columns
+    got = {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert got == brute.op5([(r["doc_id"], r["source"], r["text"]) for r in clean.collect()], mixing.SEED, mixing.ALPHA)
     out = corpus_pipeline.write_tokens(spark, mixed, small_dir)
     from tokenizers import Tokenizer
 
@@ -420,3 +424,68 @@ def test_pipeline_stages(spark, small_dir):
     assert sorted(tuple(r) for r in out.collect()) == want
     whole = corpus_pipeline.run(spark, small_dir)
     assert sorted(tuple(r) for r in whole.collect()) == want
+
+
+def plain_language(docs):
+    """Each document's score as the language stage sees it, from trees in dictionaries; the whole table fits the sample."""
+    import zlib
+    from math import log2
+
+    trees, scores = {}, {}
+    for doc, text, lang in docs:
+        if text is not None and lang is not None and zlib.crc32(str(doc).encode()) % 5:
+            data = b"   " + text.encode()
+            for i in range(3, len(data)):
+                for o in range(4):
+                    node = trees.setdefault(lang, {}).setdefault(data[i - o : i], {})
+                    node[data[i]] = node.get(data[i], 0) + 1
+    for doc, text, _ in docs:
+        if not any(map(str.isalpha, text or "")):
+            scores[doc] = 0.0
+            continue
+        data, bits = b"   " + text.encode(), {}
+        for lang, tree in trees.items():
+            known = {}
+            for i in range(3, len(data)):
+                at = data[i - 3 : i + 1]
+                if at not in known:
+                    p, excluded = 1.0, set()
+                    for o in range(3, -1, -1):
+                        node = {b: n for b, n in tree.get(at[3 - o : 3], {}).items() if b not in excluded}
+                        total, q = sum(node.values()), len(node)
+                        if at[3] in node:
+                            p *= node[at[3]] / (total + q)
+                            break
+                        p *= q / (total + q) if q else 1
+                        excluded |= set(node)
+                    else:
+                        p /= 256 - len(excluded)
+                    known[at] = -log2(p)
+                bits[lang] = bits.get(lang, 0) + known[at]
+        best = min(bits.values())
+        scores[doc] = 1 / sum(2 ** max(best - b, -1000) for b in bits.values())
+    return scores
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null, repeated and shared ids, empty texts, clashing and dotted columns, and no rows at all."""
+    import corpus_pipeline
+
+    words = "the quick brown fox jumps over the lazy dog while seven sleepy cats watch from a warm old wall"
+    rows_ = [(1, words, "en", "a"), (1, words, "en", "a"), (1, "el perro come pan y bebe agua fresca en la casa grande", "es", "b"), (None, words, "en", "a"), (None, None, None, None)]
+    rows_ += [(2, "", "en", "a"), (3, words, "en", None), (None, "one two three four five six", "en", "a"), (9, " ".join(f"q{k}x" for k in range(20)), "en", "a")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string").selectExpr("*", "7 AS `a.b`", "'x' AS row", "1 AS kept", "2 AS hash", "3 AS id")
+    item = " ".join(f"q{k}x" for k in range(13))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, f"file://{tmp_path}")
+        assert out.columns == docs.columns, name
+        got = sorted((str(r["doc_id"]), (r["text"] or "")[:3]) for r in out.collect())
+        if name == "near_duplicates":
+            assert got == [("1", "el "), ("1", "the"), ("1", "the"), ("2", ""), ("9", "q0x"), ("None", "one")]
+        if name == "decontaminate":
+            assert len(got) == len(rows_) - 1 and "9" not in dict(got)
+        assert stage(spark, docs.limit(0), f"file://{tmp_path}").count() == 0
+    assert corpus_pipeline.write_tokens(spark, docs, "").count() == len(rows_)
+
+
