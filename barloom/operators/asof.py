@@ -21,22 +21,23 @@ def latest_values(values: DataFrame, bars: DataFrame, as_of: Column) -> DataFram
     return newest.select(*KEYS, "indicator", "period", "x.bucket_start", "x.value", "x.contract_id")
 
 
-def values_asof(asks: DataFrame, values: DataFrame, bars: DataFrame, lookback_days: int = 14) -> DataFrame:
+def values_asof(asks: DataFrame, values: DataFrame, bars: DataFrame) -> DataFrame:
     """Backward as-of join: for each ask (ask_id, venue, instrument, resolution_minutes, indicator, period, as_of_utc) its newest value.
 
     An ask and a value meet under a UTC day, so the join has an equality key and
     no series comes to one task whole. A day holds its own values and the last
-    one of the days before, carried on for at most the look-back; so an ask is
-    compared with one day's values and not with all of them. An ask without a
-    value has no row.
+    one of the days before, which is carried to the day of the next value, or of
+    the last ask; so an ask is compared with one day's values and not with all of
+    them, however old its value is. An ask without a value has no row.
     """
     key = [*KEYS, "indicator", "period"]
     held = values.join(bars.select(*KEYS, "bucket_start", "contract_id"), [*KEYS, "bucket_start"])
     own = held.select(*key, F.to_date("bucket_start").alias("_day"), F.struct("bucket_start", "value", "contract_id").alias("x"))
     last = own.groupBy(*key, "_day").agg(F.max("x").alias("x"))
     after = F.lead("_day").over(Window.partitionBy(*key).orderBy("_day"))
-    until = F.least(F.coalesce(after, F.date_add("_day", lookback_days)), F.date_add("_day", lookback_days))
-    carried = last.withColumn("_until", until).select(*key, F.explode(F.sequence(F.date_add("_day", 1), F.col("_until"))).alias("_day"), "x")
+    final = asks.groupBy(*key).agg(F.max(F.to_date("as_of_utc")).alias("_final"))
+    spans = last.withColumn("_after", after).join(final, key).withColumn("_until", F.least("_after", "_final")).where("_until > _day")
+    carried = spans.select(*key, F.explode(F.sequence(F.date_add("_day", 1), F.col("_until"))).alias("_day"), "x")
     days = own.unionByName(carried)
     hit = asks.withColumn("_day", F.to_date("as_of_utc")).join(days, [*key, "_day"]).where(F.col("x.bucket_start") <= F.col("as_of_utc"))
     best = hit.groupBy("ask_id").agg(F.max("x").alias("x"))

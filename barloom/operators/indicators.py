@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -180,11 +182,24 @@ def heikin_ashi(bars: DataFrame) -> DataFrame:
     return rows.withColumn("body_high", F.greatest("ha_open", "ha_close")).withColumn("body_low", F.least("ha_open", "ha_close")).drop("_x")
 
 
-def catalogue(bars: DataFrame, calendar: Calendar, pairs: list[tuple[str, int]] = CATALOGUE) -> DataFrame:
-    """Long form: series keys, bucket_start, indicator, period, value; rows without a value are left out."""
-    if len(set(pairs)) != len(pairs):
+Indicator = Callable[[DataFrame, int], DataFrame]
+
+
+def catalogue(bars: DataFrame, calendar: Calendar, pairs: list[tuple[str, int]] = CATALOGUE, extra: dict[tuple[str, int], Indicator] | None = None) -> DataFrame:
+    """Long form: series keys, bucket_start, indicator, period, value; rows without a value are left out.
+
+    `extra` adds a caller's own indicators under their name and period: functions
+    of the bars with run_id (an indicator starts anew in each run) and the period
+    that give the series keys, bucket_start and value.
+    """
+    named = [*pairs, *(extra or {})]
+    if len(set(named)) != len(named):
         raise ValueError("each indicator and period can be listed once")
     families = list(dict.fromkeys((_FAMILY.get(name, name), n) for name, n in pairs))
     rows = wide(bars, families, calendar)
     values = F.array(*[F.struct(F.lit(name).alias("indicator"), F.lit(n).alias("period"), F.col(f"{name}_{n}").alias("value")) for name, n in pairs])
-    return rows.select(*SERIES, "bucket_start", F.explode(values).alias("v")).select(*SERIES, "bucket_start", "v.indicator", "v.period", "v.value").where("value is not null")
+    made = rows.select(*SERIES, "bucket_start", F.explode(values).alias("v")).select(*SERIES, "bucket_start", "v.indicator", "v.period", "v.value")
+    for (name, n), make in (extra or {}).items():
+        own = make(with_runs(bars), n).select(*SERIES, "bucket_start", F.lit(name).alias("indicator"), F.lit(n).alias("period"), F.col("value").cast("double").alias("value"))
+        made = made.unionByName(own)
+    return made.where("value is not null")

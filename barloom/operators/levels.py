@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -259,12 +260,22 @@ def levels_volume(bars: DataFrame, scales: DataFrame, ladder: DataFrame, area: D
     return finish(volume_zones(bars, scales, ladder, area, (kind,), options).drop("method"), bars, options)
 
 
-def level_set(bars: DataFrame, scales: DataFrame, calendar: Calendar, ladder: DataFrame, area: DataFrame, options: Options = Options()) -> DataFrame:
-    """Zones of all methods, with columns method and family: the lines of all are merged and capped together, method by method."""
+LevelMethod = Callable[[DataFrame, DataFrame, Options], DataFrame]
+
+
+def level_set(bars: DataFrame, scales: DataFrame, calendar: Calendar, ladder: DataFrame, area: DataFrame, options: Options = Options(), extra: dict[str, LevelMethod] | None = None) -> DataFrame:
+    """Zones of all methods, with columns method and family: the lines of all are merged and capped together, method by method.
+
+    `extra` adds a caller's own methods by name: functions of bars, scales and
+    options that give lines (keys and the columns of ZONE). The part of a name
+    before its first hyphen is its family.
+    """
     lines = zones_from_pivots(swing_pivots(bars, options), scales, options).withColumn("method", F.lit("swing"))
     lines = lines.unionByName(session_lines(bars, scales, calendar, options).withColumn("method", F.lit("session")))
     lines = lines.unionByName(pivot_zones(bars, scales, calendar, FORMULAS, options))
     lines = lines.unionByName(volume_zones(bars, scales, ladder, area, VOLUME_KINDS, options))
+    for name, make in (extra or {}).items():
+        lines = lines.unionByName(make(bars, scales, options).select(*KEYS, *ZONE, F.lit(name).alias("method")))
     zones = finish(lines, bars, options, [*KEYS, "method"])
     return zones.withColumn("family", F.element_at(F.split("method", "-"), 1))
 

@@ -15,7 +15,8 @@ class Smooth:
     """`name` is the mean of the first n values of `x`, then y + alpha * (x - y).
 
     With `reset`, a missing x drops the state and the next n values in a row seed
-    it anew; without, x may be missing at the start of a series only.
+    it anew; without, missing values before the seed is full are passed over, and
+    the first one after it ends the series: nothing is carried over a hole.
     """
 
     name: str
@@ -35,10 +36,10 @@ class Derive:
 
 
 class _State:
-    __slots__ = ("count", "total", "y")
+    __slots__ = ("count", "total", "y", "ended")
 
     def __init__(self) -> None:
-        self.count, self.total, self.y = 0, 0.0, None
+        self.count, self.total, self.y, self.ended = 0, 0.0, None, False
 
     def step(self, x: np.ndarray, n: int, alpha: float) -> np.ndarray:
         out = np.full(len(x), np.nan)
@@ -54,10 +55,13 @@ class _State:
             self.y = (self.total + float(x[there[:need]].sum())) / n
             out[at] = self.y
             at += 1
+        holes = np.flatnonzero(np.isnan(x[at:]))
+        if len(holes) or self.ended:
+            self.ended, x = True, x[: 0 if self.ended else at + int(holes[0])]
         if at < len(x):
             # pandas' exponential mean is this recurrence when its first value is the state
             chain = pd.Series(np.concatenate([[self.y], x[at:]])).ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
-            out[at:] = chain
+            out[at : at + len(chain)] = chain
             self.y = float(chain[-1])
         return out
 

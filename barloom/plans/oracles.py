@@ -269,12 +269,13 @@ WHOLE_SELECT = _bars_select()
 
 # --- levels -------------------------------------------------------------------------------------------------------------
 
-#: The bars that levels are sought on: the newest run of the last 300 bars, with their average range.
+HEIKIN = f"hc AS (SELECT *, (open + high + low + close) / 4 AS ha_close FROM runs), hl AS (SELECT {RUN}, list(ha_close ORDER BY rn) AS xs, first((open + close) / 2 ORDER BY rn) AS seed FROM hc GROUP BY ALL), ho AS (SELECT hc.*, list_reduce(list_prepend(seed, xs[1:rn - 1]), lambda a, b: (a + b) / 2) AS ha_open FROM hc JOIN hl USING ({RUN}))"
+
+#: The bars that levels are sought on: the newest run, with their average range.
 LEVEL_BARS = ", ".join(
     [
         BARS,
-        "last300 AS (SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY bucket_start DESC) AS r FROM bars) WHERE r <= 300)",
-        runs("last300", "seg"),
+        runs("bars", "seg"),
         "lb AS (SELECT instrument, bucket_start, open, high, low, close, volume, contract_id FROM seg WHERE run_id = (SELECT max(run_id) FROM seg s WHERE s.instrument = seg.instrument))",
         runs("lb", "runs"),
         RANGES,
@@ -282,6 +283,7 @@ LEVEL_BARS = ", ".join(
         "lc AS (SELECT instrument, last(close ORDER BY bucket_start) AS last_close FROM lb GROUP BY 1)",
     ]
 )
+SNAPSHOT_BARS = LEVEL_BARS.replace("FROM bars WINDOW w AS (PARTITION BY instrument ORDER BY bucket_start)),\nseg_1", "FROM (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY bucket_start DESC) <= 500) WINDOW w AS (PARTITION BY instrument ORDER BY bucket_start)),\nseg_1")
 PIVOTS = """pv_0 AS (SELECT *, greatest(max(high) OVER (PARTITION BY instrument ORDER BY bucket_start ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), max(high) OVER (PARTITION BY instrument ORDER BY bucket_start ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)) AS oh,
   least(min(low) OVER (PARTITION BY instrument ORDER BY bucket_start ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), min(low) OVER (PARTITION BY instrument ORDER BY bucket_start ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)) AS ol, count(*) OVER (PARTITION BY instrument) AS n FROM scaled),
 pv AS (SELECT instrument, bucket_start, atr, CASE WHEN high > oh THEN high ELSE low END AS price, CASE WHEN high > oh THEN 'Resistance' ELSE 'Support' END AS kind, CASE WHEN high > oh THEN high - oh ELSE ol - low END AS prominence
@@ -430,7 +432,7 @@ ORACLES: dict[str, str] = {
     "bar_gap_ranges": with_(GAP_BASE) + "SELECT instrument, count(*) AS ranges, CAST(sum(buckets) AS BIGINT) AS buckets, min(range_start) AS first_start, max(range_end) AS last_end FROM gaps GROUP BY 1",
     "indicator_series": with_(AVERAGES) + "SELECT instrument, bucket_start, round(value, 6) AS value FROM held SEMI JOIN bars USING (instrument, bucket_start) WHERE indicator = 'sma'",
     "indicator_asof": with_(AVERAGES, "ok AS (SELECT h.*, b.contract_id FROM held h JOIN bars b USING (instrument, bucket_start))", "ask AS (SELECT sequence AS ask_id, instrument, CASE WHEN sequence % 2 = 0 THEN 'sma' ELSE 'vwap_rolling' END AS indicator, trade_time_utc AS t FROM trades)")
-    + "SELECT ask_id, ask.instrument, ask.indicator, bucket_start, round(value, 6) AS value, contract_id FROM ask ASOF JOIN ok ON ask.instrument = ok.instrument AND ask.indicator = ok.indicator AND ask.t >= ok.bucket_start WHERE CAST(bucket_start AS DATE) >= CAST(t AS DATE) - INTERVAL 14 DAY",
+    + "SELECT ask_id, ask.instrument, ask.indicator, bucket_start, round(value, 6) AS value, contract_id FROM ask ASOF JOIN ok ON ask.instrument = ok.instrument AND ask.indicator = ok.indicator AND ask.t >= ok.bucket_start",
     "indicator_latest": with_(AVERAGES) + "SELECT instrument, indicator, period, bucket_start, round(value, 6) AS value, contract_id FROM (SELECT h.*, b.contract_id, row_number() OVER (PARTITION BY instrument, indicator ORDER BY bucket_start DESC) AS r FROM held h JOIN bars b USING (instrument, bucket_start) WHERE bucket_start <= TIMESTAMP '2024-01-25 12:00:00') WHERE r = 1",
     "session_bars": with_(TRADES, DAYS, WINDOWS, session_bars(GAPPY_SELECT, "2024-01-29 12:00:00"))
     + """SELECT instrument, session, trade_date, expected, CASE WHEN absence IS NULL THEN open END AS open, CASE WHEN absence IS NULL THEN high END AS high, CASE WHEN absence IS NULL THEN low END AS low, CASE WHEN absence IS NULL THEN close END AS close,
@@ -469,7 +471,14 @@ ORACLES: dict[str, str] = {
     "historical_contract": with_(TRADES, BY_CONTRACT, DATED, f"st AS (SELECT instrument, td AS trade_date, max(contract_id) AS stored FROM (SELECT *, {trade_date('bucket_start')} AS td FROM byc) WHERE td IS NOT NULL AND day(td) % 4 = 0 GROUP BY ALL)", "vs AS (SELECT instrument, trade_date, contract_id, CAST(sum(volume) AS BIGINT) AS volume FROM dated GROUP BY ALL)")
     + f"SELECT instrument, trade_date, contract_id, volume, offered FROM (SELECT vs.*, count(*) OVER (PARTITION BY instrument, trade_date) AS offered, row_number() OVER (PARTITION BY instrument, trade_date ORDER BY coalesce(contract_id = stored, false) DESC, volume DESC, {RANK} NULLS LAST, contract_id) AS r FROM vs LEFT JOIN st USING (instrument, trade_date)) WHERE r = 1",
     "last_tick": with_(TRADES) + "SELECT instrument, contract_id, max(trade_time_utc) AS last_tick, count(*) AS prints FROM trades WHERE trade_time_utc >= TIMESTAMP '2024-01-05' AND trade_time_utc < TIMESTAMP '2024-01-20' GROUP BY ALL",
-    "contract_coverage": """SELECT * FROM (VALUES ('ES', 60, 2::BIGINT, 2::BIGINT, 'SpansRoll'), ('NQ', 60, 4::BIGINT, 2::BIGINT, 'SpansRoll'), ('ES', 61, 3::BIGINT, 1::BIGINT, 'Unknown'), ('NQ', 61, 3::BIGINT, 1::BIGINT, 'Unknown'), ('ES', 62, 1::BIGINT, 1::BIGINT, 'SingleContract'), ('NQ', 62, 1::BIGINT, 1::BIGINT, 'SingleContract')) t(instrument, resolution_minutes, runs, contracts, span)""",
+    "contract_coverage": with_(
+        TRADES,
+        bars("known"),
+        bars("odd", contract=UNKNOWN_CONTRACT),
+        "mix AS (SELECT instrument, 60 AS m, bucket_start, contract_id FROM known WHERE instrument = 'ES' UNION ALL SELECT instrument, 60, bucket_start, contract_id FROM odd WHERE instrument = 'NQ' UNION ALL SELECT instrument, 61, bucket_start, contract_id FROM odd WHERE bucket_start < TIMESTAMP '2024-01-12' UNION ALL SELECT instrument, 62, bucket_start, contract_id FROM known WHERE bucket_start < TIMESTAMP '2024-01-12')",
+        "st AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND lag(contract_id) OVER w IS DISTINCT FROM contract_id THEN 1 ELSE 0 END AS step FROM mix WINDOW w AS (PARTITION BY instrument, m ORDER BY bucket_start))",
+    )
+    + "SELECT instrument, m AS resolution_minutes, CAST(1 + sum(step) AS BIGINT) AS runs, count(DISTINCT contract_id) AS contracts, CASE WHEN count(DISTINCT contract_id) >= 2 THEN 'SpansRoll' WHEN count(*) > count(contract_id) OR sum(step) > 0 THEN 'Unknown' ELSE 'SingleContract' END AS span FROM st GROUP BY ALL",
     "available_range": with_(GAPPY) + "SELECT instrument, 60 AS resolution_minutes, min(bucket_start) AS first_bucket, max(bucket_start) AS last_bucket, count(*) AS bars FROM bars WHERE bucket_start >= TIMESTAMP '2024-01-09 05:00:00' GROUP BY 1",
     "tie_days": with_(TRADES, BY_CONTRACT, DATED, "vs AS (SELECT instrument, trade_date, contract_id, count(*) AS volume FROM dated GROUP BY ALL)")
     + "SELECT instrument, trade_date, count(*) AS leaders, max(volume) AS volume FROM (SELECT *, max(volume) OVER (PARTITION BY instrument, trade_date) AS top FROM vs) WHERE volume = top GROUP BY ALL HAVING count(*) > 1",
@@ -478,7 +487,7 @@ ORACLES: dict[str, str] = {
     "contract_segments": with_(UNKNOWN, runs()) + "SELECT instrument, run_id, contract_id, min(bucket_start) AS first_bucket, max(bucket_start) AS last_bucket, count(*) AS bars FROM runs GROUP BY ALL",
     "newest_segment": with_(BARS, runs()) + f"SELECT {BAR} FROM runs WHERE run_id = (SELECT max(run_id) FROM runs r WHERE r.instrument = runs.instrument)",
     "indicator_catalogue": with_(BARS, runs(), CATALOGUE) + "SELECT instrument, bucket_start, indicator, CAST(period AS BIGINT) AS period, round(value, 6) AS value FROM cat",
-    "heikin_ashi": with_(BARS, runs(), f"hc AS (SELECT *, (open + high + low + close) / 4 AS ha_close FROM runs), hl AS (SELECT {RUN}, list(ha_close ORDER BY rn) AS xs, first((open + close) / 2 ORDER BY rn) AS seed FROM hc GROUP BY ALL), ho AS (SELECT hc.*, list_reduce(list_prepend(seed, xs[1:rn - 1]), lambda a, b: (a + b) / 2) AS ha_open FROM hc JOIN hl USING ({RUN}))")
+    "heikin_ashi": with_(BARS, runs(), HEIKIN)
     + "SELECT instrument, bucket_start, round(ha_open, 6) AS ha_open, round(ha_close, 6) AS ha_close, round(greatest(ha_open, ha_close), 6) AS body_high, round(least(ha_open, ha_close), 6) AS body_low FROM ho",
     "swing_pivots": with_(BARS, runs(), "scaled AS (SELECT *, 1.0 AS atr FROM runs)", PIVOTS.replace("PARTITION BY instrument", f"PARTITION BY {RUN}")) + "SELECT instrument, bucket_start, price, kind, prominence FROM pv",
     "tenure_start": with_(UNKNOWN, TENURE) + "SELECT instrument, front, tenure_start FROM tn",
@@ -487,6 +496,14 @@ ORACLES: dict[str, str] = {
     "zone_width_cap": with_(LEVEL_BARS, PIVOTS, ZONES) + ZONE_OUT + "zones WHERE (top - bottom) * 100 <= 60.0 * (top + bottom) / 2",
     "relabel_zones": with_(LEVEL_BARS, PIVOTS, ZONES, "rl AS (SELECT z.* REPLACE (CASE WHEN top < last_close THEN 'Support' WHEN bottom > last_close THEN 'Resistance' ELSE kind END AS kind) FROM zones z JOIN lc USING (instrument))") + ZONE_OUT + "rl",
     "zone_level_cap": with_(LEVEL_BARS, PIVOTS, ZONES) + ZONE_OUT + "(SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY significance DESC, touches DESC, bottom, top, formed_at, kind) AS r FROM zones) WHERE r <= 12",
+    "levels_swing_default": with_(LEVEL_BARS, HEIKIN.replace("FROM runs)", "FROM scaled)") + ", hb AS (SELECT * REPLACE (round(greatest(ha_open, ha_close), 8) AS high, round(least(ha_open, ha_close), 8) AS low) FROM ho)",
+        PIVOTS.replace("FROM scaled", "FROM hb").replace("5 PRECEDING", "20 PRECEDING").replace("3 FOLLOWING", "15 FOLLOWING").replace("rn > 5", "rn > 20").replace("n - 3", "n - 15"), ZONES.replace(">= 0.1", ">= 0.0")) + ZONE_OUT + "zones",
+    "level_extension": with_(LEVEL_BARS) + "SELECT instrument, 'round-number' AS method, 'round' AS family, CASE WHEN p - 0.25 > c THEN 'Resistance' ELSE 'Support' END AS kind, p - 0.25 AS bottom, p + 0.25 AS top, CAST(1 AS BIGINT) AS touches FROM (SELECT instrument, last_close AS c, CAST(ceil(last_close) AS DOUBLE) AS p FROM lc)",
+    "indicator_extension": with_(UNKNOWN, runs()) + f"""SELECT instrument, bucket_start, 'range_mean' AS indicator, CAST(10 AS BIGINT) AS period, round(v, 6) AS value FROM (SELECT *, avg(high - low) OVER (PARTITION BY {RUN} ORDER BY bucket_start ROWS 9 PRECEDING) AS v FROM runs) WHERE rn >= 10
+  UNION ALL SELECT instrument, bucket_start, 'sma', 20, round(v, 6) FROM (SELECT *, avg(close) OVER (PARTITION BY {RUN} ORDER BY bucket_start ROWS 19 PRECEDING) AS v FROM runs) WHERE rn >= 20""",
+    "seeded_mean": with_(UNKNOWN, runs(), f"hx AS (SELECT *, min(CASE WHEN day(bucket_start) % 5 = 0 AND hour(bucket_start) = 13 AND rn > 7 THEN rn END) OVER (PARTITION BY {RUN}) AS stop FROM runs)", smoothed("hx", "e", "close", 3, 5, "2.0 / 6")) + "SELECT instrument, bucket_start, round(y, 6) AS value FROM e WHERE y IS NOT NULL AND (stop IS NULL OR rn < stop)",
+    "coverage_export": with_(TRADES, COVERAGE) + "SELECT instrument, contract_id, CAST(range_start AS DATE) AS day, range_start, range_end, range_end AS recorded_at FROM cov WHERE year(range_end) < 9999 AND range_start < TIMESTAMP '2024-01-31'",
+    "footprint_export": with_(TRADES, FOOTPRINT) + "SELECT instrument, CAST(bucket_start AS DATE) AS day, bucket_start, price, buy_volume, sell_volume, bucket_start + INTERVAL 60 MINUTE AS recorded_at FROM fp WHERE bucket_start < TIMESTAMP '2024-01-31'",
     "levels_swing": with_(LEVEL_BARS, PIVOTS, ZONES, finished("zones", "sw")) + ZONE_OUT + "sw",
     "levels_session": with_(LEVEL_BARS, PERIOD, SESSION_LEVELS) + ZONE_OUT + "ses",
     "level_set": with_(LEVEL_SET) + "SELECT instrument, method, kind, round(bottom, 6) AS bottom, round(top, 6) AS top, round(significance, 6) AS significance, touches FROM lset",
@@ -494,11 +511,11 @@ ORACLES: dict[str, str] = {
     + "SELECT instrument, score, methods FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY score DESC, g) AS r FROM sc2) WHERE r = 1",
     "last_closed_sessions": with_(DAYS, WINDOWS) + "SELECT session, trade_date, start_utc, end_utc FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY trade_date DESC) AS r FROM wins WHERE end_utc <= TIMESTAMP '2024-01-25 12:00:00') WHERE r <= 5",
     "front_month_order": with_(TRADES, "c AS (SELECT instrument, contract_id, max(size) % 2 = 0 AS active FROM trades GROUP BY ALL)", "u AS (SELECT * FROM c UNION ALL SELECT instrument, contract_id || '?', false FROM c)") + f"SELECT instrument, contract_id, active, row_number() OVER (PARTITION BY instrument ORDER BY active DESC, {RANK} NULLS LAST, contract_id) AS position FROM u",
-    "notes_semantic_topk": """WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0 AND vec_id < 500),
+    "notes_semantic_topk": """WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0),
 p AS (SELECT query_id, vec_id AS owner_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) AS s FROM q, embeddings)
 SELECT query_id, rank, owner_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, owner_id) AS rank FROM p) WHERE rank <= 5""",
     "notes_text_search": "SELECT doc_id AS id, lang AS kind, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS recorded_at FROM documents WHERE text ILIKE '%the%' ORDER BY doc_id DESC LIMIT 20",
-    "series_discovery": "SELECT * FROM (VALUES ('SIM', 'ES', 60::BIGINT), ('SIM', 'NQ', 60::BIGINT), ('SIM', 'ES-old', 60::BIGINT), ('SIM', 'NQ-old', 60::BIGINT)) t(venue, instrument, resolution_minutes)",
+    "series_discovery": with_(AVERAGES) + "SELECT DISTINCT 'SIM' AS venue, instrument, CAST(60 AS BIGINT) AS resolution_minutes FROM (SELECT instrument FROM bars UNION ALL SELECT instrument FROM held UNION ALL SELECT instrument || '-old' FROM held WHERE indicator = 'sma')",
     "bars_dedupe": with_(BARS) + f"SELECT {BAR} FROM bars",
     "indicator_project": with_(ALL_VALUES) + f"SELECT {VALUE.replace('round(value', 'round(m.value')}, CASE WHEN s.value IS NULL THEN 'insert' ELSE 'update' END AS change FROM made m LEFT JOIN stored s USING (instrument, bucket_start, indicator, period) WHERE s.value IS NULL OR abs(m.value - s.value) > 5e-9",
     "indicator_reconcile": with_(ALL_VALUES) + f"SELECT {VALUE}, CASE WHEN NOT EXISTS (SELECT 1 FROM bars b WHERE b.instrument = x.instrument AND b.bucket_start = x.bucket_start) THEN 'orphaned' WHEN period = 99 THEN 'retired' ELSE 'unjustified' END AS reason FROM (SELECT * FROM stored ANTI JOIN made USING (instrument, bucket_start, indicator, period)) x",
@@ -590,7 +607,7 @@ ORACLES |= {
 
 _NOW = "TIMESTAMP '2024-01-24 18:00:00'"
 ORACLES |= {
-    "market_snapshot": with_(LEVEL_BARS, PIVOTS, ZONES, finished("zones", "sw"), DAYS, SESSIONS, runs("bars", "whole"), "la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY bucket_start DESC) AS r, CASE WHEN rn >= 20 THEN avg(close) OVER (PARTITION BY instrument, run_id ORDER BY bucket_start ROWS 19 PRECEDING) END AS sma FROM whole) WHERE r = 1)", f"se AS (SELECT la.*, {trade_date('bucket_start')} AS td FROM la)")
+    "market_snapshot": with_(SNAPSHOT_BARS, PIVOTS, ZONES, finished("zones", "sw"), DAYS, SESSIONS, runs("bars", "whole"), "la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY bucket_start DESC) AS r, CASE WHEN rn >= 20 THEN avg(close) OVER (PARTITION BY instrument, run_id ORDER BY bucket_start ROWS 19 PRECEDING) END AS sma FROM whole) WHERE r = 1)", f"se AS (SELECT la.*, {trade_date('bucket_start')} AS td FROM la)")
     + """SELECT instrument, bucket_start, close, volume, coalesce(bucket_start < s.close_utc, false) AS is_open, CASE WHEN bucket_start < s.close_utc THEN td END AS trade_date, (SELECT min(open_utc) FROM sess n WHERE n.open_utc > bucket_start) AS next_open_utc,
   CAST(15 AS BIGINT) AS indicators, round(sma, 6) AS sma, (SELECT count(*) FROM sw WHERE sw.instrument = se.instrument) AS levels FROM se LEFT JOIN sess s ON s.trade_date = td""",
     "recorder_health": with_(TRADES, COVERAGE, DAYS, SESSIONS, f"tk AS (SELECT instrument, contract_id, max(trade_time_utc) AS last_tick FROM trades WHERE trade_time_utc >= TIMESTAMP '2024-01-20' AND trade_time_utc < {_NOW} GROUP BY ALL)", f"w AS (SELECT instrument, contract_id, open_utc AS a, least(close_utc, {_NOW}) AS b FROM tk, sess WHERE open_utc <= {_NOW} AND close_utc > {_NOW})", "pts AS (SELECT w.*, greatest(range_start, a) AS s, least(range_end, b) AS e FROM w JOIN cov c ON c.instrument = w.instrument AND c.contract_id = w.contract_id AND range_start < b AND range_end > a UNION ALL SELECT *, b, b FROM w)", "pv AS (SELECT *, coalesce(max(e) OVER (PARTITION BY instrument, contract_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a) AS p FROM pts)", "gp AS (SELECT instrument, contract_id, count(*) AS gaps, CAST(sum(trunc(epoch(s) - epoch(p))) AS BIGINT) AS gap_seconds FROM pv WHERE p < s GROUP BY ALL)")

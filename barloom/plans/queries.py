@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import contracts as fc
 from ..functions.market_time import SAMPLE_CALENDAR as CAL
 from ..functions.market_time import align_down, align_up, plus_minutes
-from ..operators import accounts, asof, calendars, contracts, indicators, intervals, levels, maintenance, notes, series, sessions, tape
+from ..operators import accounts, asof, calendars, contracts, indicators, intervals, levels, maintenance, notes, recurrence, series, sessions, tape
 from ..sources import samples, tape_files
 from ..sources.samples import ntz, raw
 from ..sources.storage import scratch
@@ -25,6 +25,9 @@ NOW = "2024-01-31 00:00:00"
 AS_OF = "2024-01-25 12:00:00"
 SMALL = levels.Options(left=5, right=3, source="HighLow", min_significance=0.1, width_percent=400.0)
 
+#: The snapshot looks back so far; the level queries read whole runs.
+SNAPSHOT_BARS = 500
+
 
 def query(f: Query) -> Query:
     QUERIES[f.__name__] = f
@@ -82,6 +85,25 @@ def tape_read_parquet(spark, sf_dir):
     return _file_columns(tape_files.read_parquet(spark, _exported(spark, sf_dir, "parquet")))
 
 
+@query
+def coverage_export(spark, sf_dir):
+    """Closed coverage written as gzipped CSV by day and read back."""
+    path = scratch(spark, "tape-coverage")
+    held = samples.tape_coverage(spark, sf_dir).withColumn("recorded_at", F.col("range_end"))
+    tape_files.export_coverage(held, path, ntz(NOW), ntz(samples.OPEN_END), "csv")
+    return tape_files.read_coverage(spark, path, "csv").select("instrument", "contract_id", "day", "range_start", "range_end", "recorded_at")
+
+
+@query
+def footprint_export(spark, sf_dir):
+    """Footprint cells written as Parquet by day and read back."""
+    path = scratch(spark, "tape-footprint")
+    cells = tape.footprint(samples.trades(spark, sf_dir), 60)
+    tape_files.export_footprint(cells.withColumn("resolution_minutes", F.lit(60)).withColumn("recorded_at", plus_minutes(F.col("bucket_start"), 60)), path, ntz(NOW))
+    rows = tape_files.read_footprint(spark, path)
+    return rows.select("instrument", "day", "bucket_start", F.col("price").cast("double").alias("price"), "buy_volume", "sell_volume", "recorded_at")
+
+
 @query
 def export_manifest(spark, sf_dir):
     """One row a file with its hash; the row counts are read from the files."""
@@ -627,6 +649,28 @@ def history_selection(spark, sf_dir):
     return contracts.history_selection(_slices(spark, sf_dir)).select("instrument", F.col("rank").cast("long").alias("rank"), F.concat_ws(",", "unresolved").alias("unresolved"), "slices")
 
 
+def _range_mean(bars, n):
+    """A caller's own indicator: the mean range of a run's last n bars."""
+    w = series.over_run()
+    return bars.withColumn("value", F.when(F.row_number().over(w) >= n, F.avg(F.col("high") - F.col("low")).over(series.rows_before(n))))
+
+
+@query
+def indicator_extension(spark, sf_dir):
+    made = indicators.catalogue(samples.bars_unknown(spark, sf_dir), CAL, [("sma", 20)], {("range_mean", 10): _range_mean})
+    return made.select("instrument", "bucket_start", "indicator", F.col("period").cast("long").alias("period"), F.round("value", 6).alias("value"))
+
+
+@query
+def seeded_mean(spark, sf_dir):
+    """A smoothing of a series with holes: seeded on its first values, ended by the first hole after them."""
+    rows = series.with_runs(samples.bars_unknown(spark, sf_dir))
+    n = F.row_number().over(series.over_run())
+    hole = (n <= 2) | ((F.dayofmonth("bucket_start") % 5 == 0) & (F.hour("bucket_start") == 13) & (n > 7))
+    made = recurrence.scan(rows.withColumn("x", F.when(~hole, F.col("close"))), series.RUN, "bucket_start", [recurrence.Smooth("y", "x", 5, 2 / 6)])
+    return made.select("instrument", "bucket_start", F.round("y", 6).alias("value")).where("value is not null")
+
+
 # --- levels -------------------------------------------------------------------------------------------------------------
 
 
@@ -634,9 +678,13 @@ def _zone_columns(zones):
     return zones.select("instrument", *[F.round(c, 6).alias(c) for c in ("bottom", "top", "significance")], "kind", "formed_at", "touches", "period")
 
 
-def _level_bars(spark, sf_dir):
-    """The newest run of the last 300 bars of each series, and its average range: small, and read by every method."""
-    rows = indicators.atr(series.newest_segment(series.latest(samples.bars(spark, sf_dir), 300)).drop("run_id")).cache()
+def _level_bars(spark, sf_dir, lookback=None):
+    """The newest run of each series (of its last `lookback` bars) and its average range: a stored table, as every method reads it."""
+    bars = samples.bars(spark, sf_dir)
+    made = indicators.atr(series.newest_segment(bars if lookback is None else series.latest(bars, lookback)).drop("run_id"))
+    path = scratch(spark, "level-bars")
+    made.write.parquet(path)
+    rows = spark.read.schema(made.schema).parquet(path)
     return rows.drop("value", "run_id"), rows.select(*series.SERIES, "bucket_start", F.col("value").alias("atr"))
 
 
@@ -677,6 +725,13 @@ def levels_swing(spark, sf_dir):
     return _zone_columns(levels.levels_swing(b, scale, SMALL))
 
 
+@query
+def levels_swing_default(spark, sf_dir):
+    """Swing zones as they are found by default, 20 and 15 bars around and on Heikin-Ashi bodies, however slight."""
+    b, scale = _level_bars(spark, sf_dir)
+    return _zone_columns(levels.zones_from_pivots(levels.swing_pivots(b), scale, levels.Options(min_significance=0.0)))
+
+
 def _pivot(formula: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         b, scale = _level_bars(spark, sf_dir)
@@ -731,6 +786,23 @@ def level_set(spark, sf_dir):
     return z.select("instrument", "method", "kind", F.round("bottom", 6).alias("bottom"), F.round("top", 6).alias("top"), F.round("significance", 6).alias("significance"), "touches")
 
 
+def _round_numbers(bars, scales, options):
+    """A caller's own level method: the next whole number over the last close."""
+    last = bars.groupBy(*levels.KEYS).agg(F.max_by("close", "bucket_start").alias("c"), F.max("bucket_start").alias("formed_at"))
+    price = F.ceil("c").cast("double")
+    return last.select(
+        *levels.KEYS, (price - 0.25).alias("bottom"), (price + 0.25).alias("top"), F.lit("Support").alias("kind"), "formed_at",
+        F.lit(1).cast("long").alias("touches"), F.lit(1.0).alias("significance"), F.lit(None).cast("string").alias("period"),
+    )
+
+
+@query
+def level_extension(spark, sf_dir):
+    b, scale = _level_bars(spark, sf_dir)
+    z = levels.level_set(b, scale, CAL, *_profile(spark, sf_dir), SMALL, {"round-number": _round_numbers}).where("method = 'round-number'")
+    return z.select("instrument", "method", "family", "kind", F.round("bottom", 6).alias("bottom"), F.round("top", 6).alias("top"), "touches")
+
+
 @query
 def market_snapshot(spark, sf_dir):
     """Per instrument: session state, newest bar, newest value of every indicator, number of levels."""
@@ -738,7 +810,7 @@ def market_snapshot(spark, sf_dir):
     last = b.groupBy("instrument").agg(F.max_by(F.struct("bucket_start", "close", "volume"), "bucket_start").alias("x")).select("instrument", "x.*")
     state = calendars.session_state(last.select("instrument", F.col("bucket_start").alias("at_utc")), _dates(spark, sf_dir), CAL)
     values = asof.latest_values(indicators.catalogue(b, CAL), b, ntz(NOW)).groupBy("instrument").agg(F.count("*").alias("indicators"), F.round(F.max(F.when(F.col("indicator") == "sma", F.col("value"))), 6).alias("sma"))
-    zones = levels.levels_swing(*_level_bars(spark, sf_dir), SMALL).groupBy("instrument").agg(F.count("*").alias("levels"))
+    zones = levels.levels_swing(*_level_bars(spark, sf_dir, SNAPSHOT_BARS), SMALL).groupBy("instrument").agg(F.count("*").alias("levels"))
     out = last.join(state.drop("at_utc"), "instrument").join(values, "instrument", "left").join(zones, "instrument", "left")
     return out.select("instrument", "bucket_start", "close", "volume", "is_open", "trade_date", "next_open_utc", "indicators", "sma", F.coalesce("levels", F.lit(0)).cast("long").alias("levels"))
 
@@ -760,8 +832,8 @@ def last_closed_sessions(spark, sf_dir):
 
 
 def _vector_queries(spark, sf_dir):
-    """A stated query set: the vectors of every fiftieth note up to 500."""
-    return samples.note_vectors(spark, sf_dir).where("owner_id % 50 = 0 and owner_id < 500").select(F.col("owner_id").alias("query_id"), F.col("embedding").alias("query"))
+    """A stated query set: the vectors of every twentieth note."""
+    return samples.note_vectors(spark, sf_dir).where("owner_id % 20 = 0").select(F.col("owner_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 @query

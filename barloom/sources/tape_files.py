@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ["venue", "instrument", "contract_id", "day"]
-TRADE_SCHEMA = "trade_time_utc string, sequence long, price decimal(18,8), size long, direction int, recorded_at string"
+FOOTPRINT_KEY = ["venue", "instrument", "resolution_minutes", "day"]
+TRADE_SCHEMA = "trade_time_utc timestamp_ntz, sequence long, price decimal(18,8), size long, direction int, recorded_at timestamp_ntz"
+COVERAGE_SCHEMA = "range_start timestamp_ntz, range_end timestamp_ntz, recorded_at timestamp_ntz"
+FOOTPRINT_SCHEMA = "bucket_start timestamp_ntz, price decimal(18,8), buy_volume long, sell_volume long, recorded_at timestamp_ntz"
 
 
 def finished(rows: DataFrame, instant: str, now) -> DataFrame:
@@ -14,27 +17,65 @@ def finished(rows: DataFrame, instant: str, now) -> DataFrame:
     return rows.withColumn("day", F.to_date(instant)).where(F.date_add("day", 1).cast("timestamp_ntz") <= now)
 
 
-def export_trades(prints: DataFrame, path: str, now, kind: str = "parquet") -> None:
-    """One folder for each key and day, its rows by (time, sequence); all rows of a key and day come from one task."""
-    rows = finished(prints, "trade_time_utc", now).withColumn("price", F.col("price").cast("decimal(18,8)"))
-    rows = rows.repartition(*KEY).sortWithinPartitions(*KEY, "trade_time_utc", "sequence")
+def _export(rows: DataFrame, keys: list[str], order: list[str], path: str, kind: str) -> None:
+    """One folder for each key and day, its rows in order; all rows of a key and day come from one task."""
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
     if kind == "csv":
         stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c)
-        rows = rows.select(*KEY, stamp("trade_time_utc"), "sequence", "price", "size", "direction", stamp("recorded_at"))
-        rows.write.partitionBy(*KEY).option("header", True).option("compression", "gzip").csv(path)
+        rows = rows.select(*[stamp(f.name) if f.dataType.typeName() == "timestamp_ntz" else F.col(f.name) for f in rows.schema])
+        rows.write.partitionBy(*keys).option("header", True).option("compression", "gzip").csv(path)
     else:
-        rows.write.partitionBy(*KEY).parquet(path)
+        rows.write.partitionBy(*keys).parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Fixed header and types; instants may have seven digits of a second and are cut to microseconds."""
-    rows = spark.read.schema(f"{TRADE_SCHEMA}, venue string, instrument string, contract_id string, day date").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def export_trades(prints: DataFrame, path: str, now, kind: str = "parquet") -> None:
+    """Prints of finished days, by (time, sequence)."""
+    rows = finished(prints, "trade_time_utc", now).withColumn("price", F.col("price").cast("decimal(18,8)"))
+    _export(rows.select(*KEY, *_columns(TRADE_SCHEMA)) if kind == "csv" else rows, KEY, ["trade_time_utc", "sequence"], path, kind)
+
+
+def export_coverage(coverage: DataFrame, path: str, now, open_end, kind: str = "parquet") -> None:
+    """Closed ranges (with recorded_at) by the day that they start on; what is still listened to is not exported."""
+    rows = finished(coverage.where(F.col("range_end") < open_end), "range_start", now)
+    _export(rows.select(*KEY, *_columns(COVERAGE_SCHEMA)), KEY, ["range_start", "range_end"], path, kind)
+
+
+def export_footprint(cells: DataFrame, path: str, now, kind: str = "parquet") -> None:
+    """Footprint cells (with resolution_minutes and recorded_at) by (bucket, price); cells are not of one contract alone."""
+    rows = finished(cells, "bucket_start", now).withColumn("price", F.col("price").cast("decimal(18,8)"))
+    _export(rows.select(*FOOTPRINT_KEY, *_columns(FOOTPRINT_SCHEMA)), FOOTPRINT_KEY, ["bucket_start", "price"], path, kind)
+
+
+def _read(spark: SparkSession, path: str, schema: str, keys: list[str], kind: str) -> DataFrame:
+    """Fixed types; in CSV instants may have seven digits of a second and are cut to microseconds."""
+    typed = {"resolution_minutes": "int", "day": "date"}
+    whole = ", ".join([schema, *(f"{k} {typed.get(k, 'string')}" for k in keys)])
+    if kind == "parquet":
+        return spark.read.schema(whole).parquet(path).select(*keys, *_columns(schema))
+    rows = spark.read.schema(whole.replace("timestamp_ntz", "string")).option("header", True).option("quote", '"').option("escape", '"').csv(path)
     instant = lambda c: F.substring(F.regexp_replace(F.regexp_replace(c, "Z$", ""), "T", " "), 1, 26).cast("timestamp_ntz").alias(c)
-    return rows.select(*KEY, instant("trade_time_utc"), "sequence", "price", "size", "direction", instant("recorded_at"))
+    stamps = {c.split()[0] for c in schema.split(", ") if c.endswith("timestamp_ntz")}
+    return rows.select(*keys, *[instant(c) if c in stamps else c for c in _columns(schema)])
+
+
+def read_coverage(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    return _read(spark, path, COVERAGE_SCHEMA, KEY, kind)
+
+
+def read_footprint(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    return _read(spark, path, FOOTPRINT_SCHEMA, FOOTPRINT_KEY, kind)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    return _read(spark, path, TRADE_SCHEMA, KEY, "csv")
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("trade_time_utc timestamp_ntz, sequence long, price decimal(18,8), size long, direction int, recorded_at timestamp_ntz, venue string, instrument string, contract_id string, day date").parquet(path)
+    return _read(spark, path, TRADE_SCHEMA, KEY, "parquet")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -93,15 +93,22 @@ def stream_coverage(changes: DataFrame) -> DataFrame:
 
 
 def print_gate(prints: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Prints that an open or closed range of their contract covers; the ranges are spread over days for an equality key."""
-    last = F.lit("2100-01-01").cast("timestamp_ntz")
-    stop = F.least(F.col("range_end"), F.date_add("range_start", 60).cast("timestamp_ntz"), last)
-    days = coverage.withColumn("_day", F.explode(F.sequence(F.to_date("range_start"), F.to_date(stop))))
+    """Prints that an open or closed range of their contract covers.
+
+    Closed ranges are spread over their days for an equality key. Open ones
+    (no end, or one in the year 9999) need none: of a contract's open ranges the
+    earliest start decides, whatever the day of the print.
+    """
+    is_open = F.col("range_end").isNull() | (F.year("range_end") >= 9999)
+    listening = coverage.where(is_open).groupBy(*CONTRACT).agg(F.min("range_start").alias("_from"))
+    closed = coverage.where(~is_open & (F.col("range_start") < F.col("range_end")))
+    days = closed.withColumn("_day", F.explode(F.sequence(F.to_date("range_start"), F.to_date("range_end"))))
     # several ranges of a day must not repeat a print: each is one array of ranges
     days = days.groupBy(*CONTRACT, "_day").agg(F.collect_list(F.struct("range_start", "range_end")).alias("_ranges"))
-    rows = prints.withColumn("_day", F.to_date("trade_time_utc")).join(days, [*CONTRACT, "_day"])
-    inside = F.exists("_ranges", lambda r: (r["range_start"] <= F.col("trade_time_utc")) & (r["range_end"] > F.col("trade_time_utc")))
-    return rows.where(inside).drop("_day", "_ranges")
+    rows = prints.withColumn("_day", F.to_date("trade_time_utc")).join(days, [*CONTRACT, "_day"], "left").join(listening, CONTRACT, "left")
+    at = F.col("trade_time_utc")
+    inside = F.exists("_ranges", lambda r: (r["range_start"] <= at) & (r["range_end"] > at))
+    return rows.where(F.coalesce(F.col("_from") <= at, F.lit(False)) | F.coalesce(inside, F.lit(False))).drop("_day", "_ranges", "_from").select(*prints.columns)
 
 
 QUOTE = ["bid", "ask", "last", "volume", "last_at", "volume_at", "quote_time_utc", "received_at", "book_known", "trade_date"]

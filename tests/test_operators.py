@@ -208,3 +208,36 @@ def test_quotes_carry_for_half_an_hour(spark):
         assert (r["bid"], r["ask"], r["last"], r["volume"]) == (0.0, 3.0, last, 7 if last else 0)
     only_trades = spark.createDataFrame([first[0]], QUOTES)
     assert live.latest_quotes(only_trades).count() == 0
+
+
+def test_a_gate_reaches_as_far_as_its_ranges(spark):
+    from barloom.streaming import tape as live
+
+    prints = spark.sql("""SELECT 'SIM' venue, 'ES' instrument, c contract_id, t trade_time_utc, 1 seq FROM VALUES
+        ('A', timestamp_ntz'2024-03-20 01:00:00'), ('A', timestamp_ntz'2023-12-31 01:00:00'), ('A', timestamp_ntz'2150-01-01 01:00:00'),
+        ('B', timestamp_ntz'2024-04-09 01:00:00'), ('B', timestamp_ntz'2024-07-20 01:00:00'), ('C', timestamp_ntz'2024-01-02 01:00:00') AS x(c, t)""")
+    ranges = spark.sql("""SELECT 'SIM' venue, 'ES' instrument, c contract_id, s range_start, e range_end FROM VALUES
+        ('A', timestamp_ntz'2024-01-01', timestamp_ntz'9999-12-31'), ('A', timestamp_ntz'2024-02-01', timestamp_ntz'2024-03-01'),
+        ('B', timestamp_ntz'2024-01-01', timestamp_ntz'2024-07-01'), ('C', timestamp_ntz'2024-01-02', timestamp_ntz'2024-01-02') AS x(c, s, e)""")
+    passed = live.print_gate(prints, ranges)
+    assert passed.columns == prints.columns
+    assert sorted((r["contract_id"], r["trade_time_utc"].isoformat()[:10]) for r in passed.collect()) == [("A", "2024-03-20"), ("A", "2150-01-01"), ("B", "2024-04-09")]
+
+
+def test_an_as_of_read_reaches_back_to_any_value(spark):
+    from barloom.operators import asof
+
+    key = "'SIM' venue, 'ES' instrument, 60 resolution_minutes"
+    values = spark.sql(f"SELECT {key}, 'sma' indicator, 20 period, t bucket_start, v value FROM VALUES (timestamp_ntz'2024-01-01 05:00:00', 1.0D), (timestamp_ntz'2024-03-01 05:00:00', 2.0D) AS x(t, v)")
+    bars = values.selectExpr("venue", "instrument", "resolution_minutes", "bucket_start", "'c' contract_id")
+    asks = spark.sql(f"SELECT {key}, a ask_id, 'sma' indicator, 20 period, t as_of_utc FROM VALUES (1, timestamp_ntz'2024-01-10'), (2, timestamp_ntz'2024-02-20'), (3, timestamp_ntz'2025-07-01'), (4, timestamp_ntz'2023-01-01'), (5, timestamp_ntz'2024-01-01 06:00:00') AS x(a, t)")
+    assert sorted((r["ask_id"], r["value"]) for r in asof.values_asof(asks, values, bars).collect()) == [(1, 1.0), (2, 1.0), (3, 2.0), (5, 1.0)]
+
+
+def test_a_smoothing_ends_at_the_first_hole_after_its_seed(spark):
+    from barloom.operators.recurrence import Smooth, scan
+
+    xs = [None, 1.0, None, 2.0, 3.0, None, None, 4.0, 5.0]
+    rows = spark.createDataFrame([("s", k, x) for k, x in enumerate(xs)], "key string, at long, x double").repartition(1)
+    got = [r["y"] for r in sorted(scan(rows, ["key"], "at", [Smooth("y", "x", 2, 0.5)]).collect(), key=lambda r: r["at"])]
+    assert [None if y is None or y != y else y for y in got] == [None, None, None, 1.5, 2.25, None, None, None, None]
