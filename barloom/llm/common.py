@@ -25,7 +25,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     A stored step is read from its table, so nothing needs its shuffles again.
     From the first such step on the session deletes the shuffle files of a query
     when it has ended; else they stay until the driver happens to
-    collect its garbage, and the steps of an operator pile up on the disks.
+    collect its garbage, and the steps of an operator pile up on the disks. An
+    action that reads on after its query has ended (toLocalIterator) would miss
+    its shuffles then, so the operators have none.
     """
     spark = df.sparkSession
     spark.conf.set(_CLEANUP, "true")

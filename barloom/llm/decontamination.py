@@ -105,7 +105,7 @@ def build_indexes(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", t
     """
     known = np.zeros(1 << KNOWN_BITS, bool)
     leads = windows.select("window").mapInArrow(_known_words, "lead long").distinct()
-    known[[r["lead"] for r in leads.toLocalIterator()]] = True
+    known[leads.toPandas()["lead"].to_numpy()] = True
     shortest = windows.agg(F.min(F.size(F.split("window", " "))).alias("n")).first()["n"] or WINDOW
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(known))
 
