@@ -19,26 +19,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, and read it back.
 
-    A stored step is read from its table, so nothing needs its shuffles again.
-    From the first such step on the session deletes the shuffle files of a query
-    when it has ended; else they stay until the driver happens to
-    collect its garbage, and the steps of an operator pile up on the disks. An
-    action that reads on after its query has ended (toLocalIterator) would miss
-    its shuffles then, so the operators have none.
+    A stored step is read from its table, so nothing needs its shuffles again,
+    and Spark deletes their files when the write has ended; else they stay until
+    the driver happens to collect its garbage, and the steps of an operator pile
+    up on the disks. The setting holds for the write alone: an action that reads
+    on after its query has ended, such as toLocalIterator, could not have it. So
+    run these operators and such actions in different sessions or one after the
+    other.
     """
     spark = df.sparkSession
-    spark.conf.set(_CLEANUP, "true")
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the named text column holds about `limit` bytes a piece.
 
