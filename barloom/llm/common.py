@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,25 +23,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder, and read it back.
-
-    A stored step is read from its table, so nothing needs its shuffles again,
-    and Spark deletes their files when the write has ended; else they stay until
-    the driver happens to collect its garbage, and the steps of an operator pile
-    up on the disks. The setting holds for the write alone: an action that reads
-    on after its query has ended, such as toLocalIterator, could not have it. So
-    run these operators and such actions in different sessions or one after the
-    other.
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Have Spark delete the shuffle files of the writes inside as soon as each has ended.
+
+    A stored step is read from its table, so nothing needs its shuffles again.
+    Else they stay until the driver happens to collect its garbage, and the steps
+    of an operator pile up on the disks. The setting holds for the writes alone:
+    actions that read on after their query has ended, such as toLocalIterator,
+    belong outside, or in another session if they run at the same time.
     """
-    spark = df.sparkSession
-    path = scratch(spark, name)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEANUP, before)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder, and read it back."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
