@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.market_time import Calendar
 from .indicators import CATALOGUE, warmup
+from .intervals import overlapping
 from .tape import historical_contract
 
 KEYS = ["venue", "instrument", "resolution_minutes"]
@@ -86,9 +87,12 @@ def reselect(by_contract: DataFrame, stored: DataFrame, calendar: Calendar, cove
     dated = dated.join(chosen, [*KEYS, "trade_date"])
     removed = dated.where(~F.col("contract_id").eqNullSafe(F.col("chosen"))).join(winners.select(*keys), keys, "left_anti")
     dates = dated.groupBy("venue", "instrument", "trade_date").agg(F.max(F.when(~F.col("contract_id").eqNullSafe(F.col("chosen")), 1).otherwise(0)).alias("moved"))
-    cover = coverage.join(choices.select("venue", "instrument", "trade_date").distinct(), ["venue", "instrument"]).where(
-        (F.col("range_start") < calendar.ordinary_close(F.col("trade_date"))) & (F.col("range_end") > calendar.session_open(F.col("trade_date")))
-    )
+    # ranges and decided sessions meet under their instrument's days, up to the last decided one
+    decided = choices.select("venue", "instrument", "trade_date").distinct()
+    sessions = decided.select("venue", "instrument", calendar.session_open(F.col("trade_date")).alias("window_start"), calendar.ordinary_close(F.col("trade_date")).alias("window_end"))
+    final = sessions.groupBy("venue", "instrument").agg(F.max("window_end").alias("_final"))
+    touched = coverage.select("venue", "instrument", "contract_id", "range_start", "range_end").join(final, ["venue", "instrument"])
+    cover = overlapping(touched, sessions.join(final, ["venue", "instrument"]), ["venue", "instrument"], F.col("_final"))
     count = lambda df, name: df.groupBy("venue", "instrument").agg(F.count("*").alias(name))
     out = count(choices, "dates")
     for df, name in (

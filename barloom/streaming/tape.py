@@ -47,14 +47,24 @@ def tape_rows(prints: DataFrame, stored: DataFrame | None = None) -> DataFrame:
 
 
 def stream_tape(prints: DataFrame) -> DataFrame:
-    """Write a stream of prints as tape rows. A batch's files have its number, so a batch that is run again replaces itself."""
+    """Write a stream of prints as tape rows. A batch's files have its number, so a batch that is run again replaces itself.
+
+    Beside them each batch leaves the last sequence of every contract so far, one
+    row a contract, and the next one reads that alone: a batch costs what it
+    holds, however many came before.
+    """
     spark = prints.sparkSession
     path = scratch(spark, "tape")
     schema = "venue string, instrument string, contract_id string, trade_time_utc timestamp_ntz, price double, size long, direction int, sequence long"
+    last_schema = "venue string, instrument string, contract_id string, sequence long"
 
     def write(batch: DataFrame, number: int) -> None:
-        stored = batch.sparkSession.read.schema(schema).parquet(*[f"{path}/rows/batch={k}" for k in range(number)]) if number else None
-        tape_rows(batch, stored).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        session = batch.sparkSession
+        before = session.read.schema(last_schema).parquet(f"{path}/last/batch={number - 1}") if number else session.createDataFrame([], last_schema)
+        tape_rows(batch, before).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        written = session.read.schema(schema).parquet(f"{path}/rows/batch={number}").select(*CONTRACT, "sequence")
+        last = before.unionByName(written).groupBy(*CONTRACT).agg(F.max("sequence").alias("sequence"))
+        last.write.mode("overwrite").parquet(f"{path}/last/batch={number}")
 
     prints.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(f"{schema}, batch int").parquet(f"{path}/rows").drop("batch")

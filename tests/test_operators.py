@@ -241,3 +241,16 @@ def test_a_smoothing_ends_at_the_first_hole_after_its_seed(spark):
     rows = spark.createDataFrame([("s", k, x) for k, x in enumerate(xs)], "key string, at long, x double").repartition(1)
     got = [r["y"] for r in sorted(scan(rows, ["key"], "at", [Smooth("y", "x", 2, 0.5)]).collect(), key=lambda r: r["at"])]
     assert [None if y is None or y != y else y for y in got] == [None, None, None, 1.5, 2.25, None, None, None, None]
+
+
+def test_sequences_count_on_from_batch_to_batch(spark, tmp_path):
+    from barloom.streaming import tape as live
+
+    schema = "venue string, instrument string, contract_id string, trade_time_utc timestamp_ntz, price double, size long, direction int, source_id long"
+    for k in range(3):
+        rows = spark.range(4).selectExpr("'SIM' venue", "'ES' instrument", f"concat('C', id % {k + 1}) contract_id", f"timestampadd(MINUTE, cast(id + 10 * {k} as int), timestamp_ntz'2024-01-01') trade_time_utc", "1.0D price", "1L size", "1 direction", f"id + 10 * {k} source_id")
+        rows.coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    got = [(r["contract_id"], r["sequence"]) for r in live.stream_tape(stream).collect()]
+    counts = {c: sum(x == c for x, _ in got) for c in ("C0", "C1", "C2")}
+    assert len(got) == 12 and sorted(got) == sorted((c, n) for c, most in counts.items() for n in range(1, most + 1))
