@@ -157,16 +157,74 @@ def _events(frame: pd.DataFrame) -> Iterator[dict]:
         yield {k: None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v for k, v in zip(QUOTE, values, strict=True)}
 
 
-def latest_quotes(events: DataFrame) -> DataFrame:
-    """The quote of each contract after all its events, in order."""
+_FIELDS = (("last", "last_at"), ("volume", "volume_at"))
+_NO_QUOTE = {"bid": None, "ask": None, "last": 0.0, "volume": 0, "last_at": None, "volume_at": None, "quote_time_utc": None, "book_known": True, "trade_date": None}
+
 
-    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        held = None
-        for event in _events(frame):
+def _replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fold events that are sorted by contract and order; one quote is held, whatever a contract's number of events."""
+    key, held = None, None
+    columns = ["venue", "contract_id", *QUOTE]
+    for frame in frames:
+        out = []
+        for values in frame[["venue", "contract_id", "_from_first", *QUOTE]].itertuples(index=False, name=None):
+            now, (from_first, *rest) = values[:2], values[2:]
+            event = {k: None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v for k, v in zip(QUOTE, rest, strict=True)}
+            if now != key:
+                if held:
+                    out.append((*key, *[held[c] for c in QUOTE]))
+                key, held = now, None if from_first else {**_NO_QUOTE, "received_at": event["received_at"]}
             held = _fold_quote(held, event) or held
-        return pd.DataFrame([(*key, *[held[c] for c in QUOTE])] if held else [], columns=["venue", "contract_id", *QUOTE])
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+    if held:
+        yield pd.DataFrame([(*key, *[held[c] for c in QUOTE])], columns=columns)
+
+
+def latest_quotes(events: DataFrame) -> DataFrame:
+    """The quote of each contract after all its events, in the order of (received_at, sequence), which should be unique in a contract.
 
-    return events.groupBy("venue", "contract_id").applyInPandas(fold, QUOTE_SCHEMA)
+    Aggregates alone decide nearly all contracts: the event of a contract's
+    latest trade time is always taken, so only what comes after it matters, and
+    without a later trade that is whether the value still carries. A contract
+    that has later trades of earlier times is replayed from that event on. A
+    contract whose book was never seen has no row.
+    """
+    keys = ["venue", "contract_id"]
+    rows = events.select(*keys, *QUOTE, F.struct("received_at", "sequence").alias("_order"))
+    rows = rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("bid", "ask", "last")})
+    first = rows.where("book_known").groupBy(*keys).agg(F.min("_order").alias("_first"))
+    rows = rows.join(first, keys).where("_order >= _first")
+    traded = {value: ~F.col(value).eqNullSafe(F.lit(0)) for value, _ in _FIELDS}
+    known = [F.max(F.when(traded[v] | (F.col("_order") == F.col("_first")), F.struct(F.col(at).alias("at"), F.col("_order").alias("order"), F.col(v).alias("value"), F.col("trade_date").alias("day")))).alias(f"_{v}") for v, at in _FIELDS]
+    anchors = rows.groupBy(*keys).agg(
+        *known,
+        F.max(F.when(F.col("book_known"), F.struct("_order", "bid", "ask"))).alias("_book"),
+        F.max("quote_time_utc").alias("_quoted"),
+        F.max(F.struct("_order", "received_at", "trade_date")).alias("_end"),
+        F.min("_first").alias("_first"),
+    )
+    rows = rows.drop("_first").join(anchors, keys)
+
+    def after(value: str) -> list[Column]:
+        later, a = F.col("_order") > F.col(f"_{value}.order"), F.col(f"_{value}")
+        near = F.coalesce(F.abs(F.timestamp_diff("MICROSECOND", a["at"], F.col("received_at"))) <= 60_000_000 * CARRY_MINUTES, F.lit(False))
+        carries = near & F.col("trade_date").eqNullSafe(a["day"]) & ~a["value"].eqNullSafe(F.lit(0))
+        return [F.bool_and(~later | carries).alias(f"_{value}_kept"), F.bool_or(later & traded[value]).alias(f"_{value}_open")]
+
+    found = rows.groupBy(*keys).agg(*[c for v, _ in _FIELDS for c in after(v)]).join(anchors, keys)
+    unsure = F.col("_last_open") | F.col("_volume_open")
+    held = lambda v, of, none: F.when(F.col(f"_{v}_kept"), F.col(f"_{v}.{of}")).otherwise(none)
+    sure = found.where(~unsure).select(
+        *keys, "_book.bid", "_book.ask", held("last", "value", F.lit(0.0)).alias("last"), held("volume", "value", F.lit(0)).cast("long").alias("volume"),
+        held("last", "at", F.lit(None)).alias("last_at"), held("volume", "at", F.lit(None)).alias("volume_at"),
+        F.col("_quoted").alias("quote_time_utc"), "_end.received_at", F.lit(True).alias("book_known"), "_end.trade_date",
+    )
+    start = found.where(unsure).select(*keys, "_first", "_quoted", F.least("_last.order", "_volume.order", "_book._order").alias("_start"))
+    tail = rows.select(*keys, *QUOTE, "_order").join(start, keys).where("_order >= _start").withColumn("_from_first", F.col("_start") == F.col("_first"))
+    replayed = tail.repartition(*keys).sortWithinPartitions(*keys, "_order").drop("_start", "_first", "_quoted", "_order").mapInPandas(_replay, QUOTE_SCHEMA)
+    replayed = replayed.join(start.select(*keys, "_quoted"), keys).withColumn("quote_time_utc", F.col("_quoted")).drop("_quoted")
+    return sure.unionByName(replayed.select(sure.columns))
 
 
 def stream_latest_quotes(events: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators on small frames with values worked out by hand."""
 
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -210,6 +211,32 @@ def test_quotes_carry_for_half_an_hour(spark):
     assert live.latest_quotes(only_trades).count() == 0
 
 
+def test_quotes_of_any_order_equal_a_plain_fold(spark):
+    draw = random.Random(5)
+    t, rows_ = at("2026-08-18T15:00"), []
+    for contract in range(300):
+        for n in range(draw.randint(1, 14)):
+            received = t + timedelta(minutes=draw.randint(0, 6) * 11, seconds=n)
+            trade, sized = draw.random() < 0.4, draw.random() < 0.4
+            back = lambda: None if draw.random() < 0.1 else received - timedelta(minutes=draw.choice([0, 0, 0, 5, 25, 60]))
+            book = draw.random() < 0.6
+            rows_.append((
+                "SIM", f"C{contract}", n, float(n) if book else None, float(n + 1) if book else None, draw.choice([9.5, None]) if trade else 0.0, n + 3 if sized else 0,
+                back() if trade or draw.random() < 0.2 else None, back() if sized or draw.random() < 0.2 else None, back(), received, book, date(2026, 8, 18 + (received > t + timedelta(minutes=draw.choice([50, 500])))),
+            ))
+    names = [c.split()[0] for c in QUOTES.split(", ")]
+    want = {}
+    for contract in {r[1] for r in rows_}:
+        held = None
+        for r in sorted((r for r in rows_ if r[1] == contract), key=lambda r: (r[10], r[2])):
+            held = live._fold_quote(held, dict(zip(names, r, strict=True))) or held
+        if held:
+            want[contract] = tuple(held[c] for c in live.QUOTE)
+    found = live.latest_quotes(spark.createDataFrame(rows_, QUOTES)).collect()
+    assert len(found) == len(want) > 200
+    assert {r["contract_id"]: tuple(r[c] for c in live.QUOTE) for r in found} == want
+
+
 def test_a_gate_reaches_as_far_as_its_ranges(spark):
     from barloom.streaming import tape as live
 
