@@ -31,7 +31,7 @@ def front_month_order(contracts: DataFrame) -> DataFrame:
 
 def of_product(contracts: DataFrame, instruments: DataFrame) -> DataFrame:
     """Contracts whose id names their instrument's product."""
-    rows = contracts.join(F.broadcast(instruments.select(F.col("symbol").alias("instrument"), "product_code")), "instrument")
+    rows = contracts.join(instruments.select(F.col("symbol").alias("instrument"), "product_code"), "instrument")
     return rows.where(has_product("contract_id", "product_code")).select(*contracts.columns)
 
 
@@ -47,7 +47,7 @@ def tenure_start(bars: DataFrame, front: DataFrame, now: Column) -> DataFrame:
 
 def roll_seam(bars: DataFrame, flips: DataFrame, as_of: Column, days: int = 2) -> DataFrame:
     """Contract runs of the bars within some days of each instrument's flip (venue, instrument, flipped_at)."""
-    near = bars.join(F.broadcast(flips.select("venue", "instrument", "flipped_at")), ["venue", "instrument"])
+    near = bars.join(flips.select("venue", "instrument", "flipped_at"), ["venue", "instrument"])
     span = F.make_dt_interval(days=F.lit(days))
     near = near.where((F.col("bucket_start") >= F.col("flipped_at") - span) & (F.col("bucket_start") <= F.least(F.col("flipped_at") + span, as_of)))
     return contract_segments(near.drop("flipped_at"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,7 +18,7 @@ def append(notes: DataFrame, instruments: DataFrame) -> DataFrame:
     rows = notes.withColumn("text", F.trim("text")).where(F.length("text") > 0)
     rows = rows.withColumn("kind", F.lower(F.coalesce(F.when(F.trim("kind") != "", F.trim("kind")), F.lit("note")))).withColumn("_symbol", F.upper(F.trim("instrument")))
     known = instruments.select(F.upper("symbol").alias("_symbol"), F.col("symbol"))
-    rows = rows.join(F.broadcast(known), "_symbol", "left")
+    rows = rows.join(known, "_symbol", "left")
     tags = F.coalesce("tags", F.array().cast("array<string>")) if "tags" in notes.columns else F.array().cast("array<string>")
     return rows.select("id", F.col("symbol").alias("instrument"), "kind", "text", tags.alias("tags"), "recorded_at", content_hash().alias("content_hash"))
 
@@ -32,18 +34,28 @@ def similarity(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int, model: str, within: DataFrame | None = None) -> DataFrame:
+QUERY_BLOCK = 2_048  # queries that are sent to all tasks at once; of 1,000 dimensions they have 8 MB
+
+
+def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int, model: str, within: DataFrame | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """The k nearest notes of each query (query_id, query): cosine, ties by id. `within` (owner_id) limits the notes.
 
-    The queries are a stated, small set and are sent to all tasks; each task
-    ranks its own part first, so the last ranking sees k rows a part.
+    The queries are a stated set, dealt by their ids to blocks of about `block`
+    queries, whatever their number; each block meets all notes in one pass. Each
+    task ranks its own part first, so the last ranking sees k rows a part.
     """
     rows = vectors.where(F.col("model") == model)
     if within is not None:
         rows = rows.join(within, "owner_id", "left_semi")
-    pairs = rows.crossJoin(F.broadcast(queries)).withColumn("similarity", similarity(F.col("embedding"), F.col("query"))).withColumn("_part", F.spark_partition_id())
     order = [F.desc("similarity"), F.col("owner_id")]
-    first = pairs.withColumn("_rank", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order))).where(F.col("_rank") <= k)
+    blocks = max(1, -(-queries.count() // block))
+    firsts = []
+    for n in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else queries
+        pairs = rows.crossJoin(F.broadcast(part)).withColumn("similarity", similarity(F.col("embedding"), F.col("query"))).withColumn("_part", F.spark_partition_id())
+        ranked = pairs.withColumn("_rank", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order)))
+        firsts.append(ranked.where(F.col("_rank") <= k).select("query_id", "owner_id", "similarity"))
+    first = reduce(DataFrame.unionByName, firsts)
     last = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
     return last.select("query_id", "rank", "owner_id", "similarity")
 

@@ -281,3 +281,20 @@ def test_sequences_count_on_from_batch_to_batch(spark, tmp_path):
     got = [(r["contract_id"], r["sequence"]) for r in live.stream_tape(stream).collect()]
     counts = {c: sum(x == c for x, _ in got) for c in ("C0", "C1", "C2")}
     assert len(got) == 12 and sorted(got) == sorted((c, n) for c, most in counts.items() for n in range(1, most + 1))
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_neighbours_are_the_same_in_any_blocks_of_queries(spark, block):
+    draw = random.Random(3)
+    rows_ = [(k, "m1", [float(draw.randint(-3, 3)) for _ in range(4)] if k % 9 else [1.0, 2.0, 0.0, 1.0]) for k in range(60)] + [(99, "m2", [1.0, 0.0, 0.0, 0.0])]
+    rows_ = [r for r in rows_ if any(r[2])]
+    vectors = spark.createDataFrame(rows_, "owner_id long, model string, embedding array<float>")
+    asked = vectors.where("owner_id % 10 = 0 or owner_id = 9").selectExpr("owner_id AS query_id", "embedding AS query")
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    of_model = [r for r in rows_ if r[1] == "m1"]
+    want = set()
+    for q, _, x in (r for r in of_model if r[0] % 10 == 0 or r[0] == 9):
+        best = sorted(of_model, key=lambda r: (-cosine(r[2], x), r[0]))[:3]
+        want |= {(q, rank + 1, r[0]) for rank, r in enumerate(best)}
+    found = notes.semantic_topk(vectors, asked, 3, "m1", block=block).collect()
+    assert {(r["query_id"], r["rank"], r["owner_id"]) for r in found} == want and len(found) == len(want)
