@@ -1,4 +1,4 @@
-"""One text of 20 MB beside ordinary ones, through every operator on texts."""
+"""One text of 20 MB beside ordinary ones, through the eight operators on texts."""
 
 import hashlib
 import random
