@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import xxhash
 
@@ -172,3 +173,89 @@ def base_spans(text):
             out.append((m.start(), 2, m.end()))
     out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
     return sorted(out)
+
+
+def rebuilt(rows):
+    """Turns (role, text) of every rebuilt conversation, from (conv_id, turn, role, text)."""
+    turns = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            turns[c].append((turn is not None, turn or 0, role or "", text or ""))
+    original = {c: [t[2:] for t in sorted(x)] for c, x in turns.items()}
+    out = {}
+    for c, own in original.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        out[c] = original.get(c - math.fmod(c, 100), [])[:h] + own[h:]
+    return out
+
+
+def op11(convs):
+    """Nodes of the trie of {conv_id: turns}, subtree by subtree."""
+    members = defaultdict(list)
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    children = defaultdict(list)
+    for key in members:
+        if key:
+            children[key[:-1]].append(key)
+    leaves, saved = {}, {}
+    for key in sorted(members, key=len, reverse=True):
+        leaves[key] = sum(leaves[k] for k in children[key]) or 1
+        saved[key] = sum(saved[k] for k in children[key]) + (len(members[key]) - 1) * (len(key[-1][1]) if key else 0)
+    out = []
+    for key, found in members.items():
+        ends = ",".join(map(str, sorted(c for c in found if len(convs[c]) == len(key))))
+        up = min(members[key[:-1]]) if key else None
+        out.append((min(found), len(key), up, len(found), len(children[key]), leaves[key], saved[key], hashlib.sha256(ends.encode()).hexdigest()))
+    return out
+
+
+def periodic(doc, words):
+    h = zlib.crc32(str(doc).encode())
+    g, n = h // 10, len(words)
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def runs(words, least=24):
+    """(start, length, period) of every run, from all periods; a stretch counts for its smallest one."""
+    found = {}
+    for q in range(1, len(words) // 3 + 1):
+        start = None
+        for i in range(len(words) - q + 1):
+            same = i < len(words) - q and words[i] == words[i + q]
+            if same and start is None:
+                start = i
+            if not same and start is not None:
+                if i - start + q >= max(least, 3 * q):
+                    found.setdefault((start, i - start + q), q)
+                start = None
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def op12(docs):
+    out = []
+    for doc, text in docs:
+        words = periodic(doc, SPACED.findall(text or ""))
+        found = runs(words)
+        gone = {i for s, n, q in found for i in range(s + q, s + n)}
+        best = min(found, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if found else (None,) * 3
+        spelled = "".join(f"{s},{n},{q}\n" for s, n, q in found)
+        kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        out.append((doc, len(found), *best, 1000 * best[1] // best[2] if found else None, sha(spelled), sha(kept)))
+    return out
+
+
+def op13(vectors, k=20):
+    good = [(v, e) for v, e in vectors if v is not None and e and all(x is not None and math.isfinite(x) for x in e) and any(e)]
+    out = []
+    for q, asked in good:
+        if q % 20 == 0:
+            scored = [(-sum(x * y for x, y in zip(asked, e, strict=True)), v) for v, e in good if v != q and len(e) == len(asked)]
+            out += [(q, r, v, -s) for r, (s, v) in enumerate(sorted(scored)[:k], 1)]
+    return out
