@@ -132,7 +132,7 @@ def test_neighbours_of_hard_vectors(spark):
     rows = [(k, [float(x) for x in np.round(r.normal(size=4) * 8) / 8]) for k in range(1, 120)]
     rows += [(k, [1.0, 1.0, 0.0, 0.0]) for k in range(120, 200)]  # copies, some of them queries
     rows += [(0, [0.5, 0.5, 0.5, 0.5]), (0, [0.5, 0.5, 0.5, 0.5]), (200, None), (220, [0.0] * 4), (240, [float("nan"), 1.0, 1.0, 1.0]), (260, [None, 1.0, 1.0, 1.0]), (280, [float("inf"), 1.0, 1.0, 1.0])]
-    rows += [(300, [1e-3] * 4), (320, [1e4] * 4), (340, [1.0, 2.0]), (341, [3.0, 1.0]), (360, []), (None, [9.0] * 4), (380, [1.0, 2.0, 3.0])]
+    rows += [(300, [2.0**-10] * 4), (320, [1e4] * 4), (340, [1.0, 2.0]), (341, [3.0, 1.0]), (360, []), (None, [9.0] * 4), (380, [1.0, 2.0, 3.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS dim", "2 AS kind", "3 AS vec", "4 AS `a.b`")
     got = sorted(tuple(x) for x in permutation_index.search(permutation_index.build(vectors), vectors.where("vec_id % 20 = 0")).collect())
     once = rows[:199] + rows[200:]
