@@ -174,7 +174,7 @@ class Filter:
         return out
 
 
-def _candidates(shared, round_: int):
+def _candidates(shared, round_: int, keyed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated: Filter = shared.value
         for part in text_slices(batches, "text"):
@@ -187,13 +187,19 @@ def _candidates(shared, round_: int):
             at = (first - words.row[text]).astype(np.int32)
             for k in range(0, len(hit), ROWS):
                 docs = part.column("doc_id").take(pa.array(text[k : k + ROWS]))
-                yield pa.record_batch([pa.array(one[k : k + ROWS]), pa.array(two[k : k + ROWS]), docs, pa.array(at[k : k + ROWS])], names=["h1", "h2", "doc_id", "at"])
+                columns = {"h1": pa.array(one[k : k + ROWS]), "h2": pa.array(two[k : k + ROWS]), "doc_id": docs}
+                if keyed:
+                    columns |= {"text_hash": part.column("text_hash").take(pa.array(text[k : k + ROWS])), "at": pa.array(at[k : k + ROWS])}
+                yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
 def repeated_windows(docs: DataFrame, index: FingerprintIndex | None = None, history: DataFrame | None = None, batches: int = 3) -> DataFrame:
-    """(doc_id, at): every window (first word `at`) whose words also start a window of a document with a smaller doc_id.
+    """(doc_id, text_hash, at): every window (first word `at`) whose words also start a window of a document with a smaller doc_id.
+
+    A document is named by its doc_id and the hash of its text (`text_hash`,
+    beside doc_id and text in `docs`), as different texts may share an id.
 
     The documents go through the index in batches of ascending doc_id. What the
     index reports is verified on whole windows: those whose fingerprint may be
@@ -227,11 +233,11 @@ def repeated_windows(docs: DataFrame, index: FingerprintIndex | None = None, his
         mine = F.pmod(F.pmod("print", F.lit(ROUNDS)) + F.when(F.col("print") < 0, F.lit((1 << 64) % ROUNDS)).otherwise(F.lit(0)), F.lit(ROUNDS)) == k
         shared = spark.sparkContext.broadcast(Filter.build(prints.where(mine)))
         # hashing again costs less than keeping the candidates: the scan is cheap, and they may be a third of all windows
-        windows = "h1 long, h2 int, doc_id long, at int"
-        first = everything.mapInArrow(_candidates(shared, k), windows).groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+        windows = "h1 long, h2 int, doc_id long"
+        first = everything.select("doc_id", "text").mapInArrow(_candidates(shared, k, False), windows).groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
         first = materialize(first.where("first_doc < last_doc").select("h1", "h2", "first_doc"), "prints-first")
-        later = known.mapInArrow(_candidates(shared, k), windows).join(first, ["h1", "h2"]).where("doc_id > first_doc")
-        out.append(materialize(later.select("doc_id", "at"), "prints-later"))
+        later = known.mapInArrow(_candidates(shared, k, True), f"{windows}, text_hash long, at int").join(first, ["h1", "h2"]).where("doc_id > first_doc")
+        out.append(materialize(later.select("doc_id", "text_hash", "at"), "prints-later"))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -264,14 +270,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns): what they hold is removed here too, and this batch joins the index.
     What earlier calls gave is not revised.
 
-    Null texts have no words. Texts under 13 words lose nothing. Documents with
-    the same doc_id do not remove each other's words, and lose the same
-    positions. A null doc_id is smaller than none and greater than none, so
-    such a row loses nothing. An empty table gives an empty result. A text is
+    Null texts have no words. Texts under 13 words lose nothing. Different texts
+    with one doc_id are judged each for itself, and do not remove each other's
+    words; repeated rows lose the same. A null doc_id is smaller than none and
+    greater than none, so such a row loses nothing. An empty table gives an empty result. A text is
     handled whole; a task needs about 25 times the bytes of its longest one.
     """
-    plain = lambda df: df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    plain = lambda df: df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     texts = plain(docs)
     at = repeated_windows(texts, index, None if history is None else plain(history), batches)
-    places = materialize(at.groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("at")), "prints-removed")
-    return texts.join(places, "doc_id", "left").select("doc_id", "text", "at").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    places = materialize(at.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("at")).alias("at")), "prints-removed")
+    return texts.join(places, ["doc_id", "text_hash"], "left").select("doc_id", "text", "at").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")

@@ -16,6 +16,8 @@ from .common import SLICE_BYTES, text_buffer, text_slices
 ORDER = 3
 #: Training texts of a language, and bytes of them, at most about this; with many languages the bytes are fewer, at least LEAST_BYTES.
 DOCS_PER_LANGUAGE, BYTES_PER_LANGUAGE, ALL_BYTES, LEAST_BYTES = 3000, 8 << 20, 256 << 20, 1 << 18
+#: With fewer texts to be drawn of a language than this, chance might draw none.
+RARE = 50
 #: Code lengths are kept to 1/1024 bit.
 _UNIT = 1024
 UNDETERMINED = "und"
@@ -106,7 +108,9 @@ def _grams(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE, bytes_per_language: int = BYTES_PER_LANGUAGE, seed: int = 9) -> Model:
     """Fit on a bounded sample of whole labelled texts of each language, chosen by a hash of the key.
 
-    Only texts and their labels are learned from, and every label is learned.
+    Only texts and their labels are learned from, and every label is learned:
+    where so few texts are drawn that a language may be left with none, its
+    first text by the hash is kept too, cut to the bytes of a language.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     found = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("bytes")).collect()
@@ -115,10 +119,17 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
         return Model([], [])
     most = max(LEAST_BYTES, min(bytes_per_language, ALL_BYTES // len(languages)))
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, docs_per_language / r["n"], most / max(1, r["bytes"]))) for r in found], "_lang string, _share double")
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    # texts count too, so that rows without a key are drawn one by one
+    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
     texts = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), draw.alias("draw"))
     # one row a language
     sample = texts.join(F.broadcast(shares), texts["lang"] == shares["_lang"]).where("draw < _share").select("lang", "text")
+    rare = [r["lang"] for r in found if min(docs_per_language, most * r["n"] / max(1, r["bytes"])) < RARE and r["n"]]
+    if rare:
+        mine = texts.where(F.col("lang").isin(rare))
+        low = F.broadcast(mine.groupBy(F.col("lang").alias("_lang")).agg(F.min("draw").alias("_low")))  # one row a language
+        first = mine.join(low, (F.col("lang") == F.col("_lang")) & (F.col("draw") == F.col("_low"))).join(F.broadcast(shares), "_lang").where("draw >= _share")
+        sample = sample.unionByName(first.select("lang", F.substring("text", 1, most).alias("text")).dropDuplicates(["lang"]))
 
     def grams_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):

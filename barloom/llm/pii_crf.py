@@ -30,6 +30,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+_OCTET = re.compile(r"[0-9]{1,3}")  # other digits than these, and long runs, are no part of an address
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _HINT = re.compile("[0-9@]")
 #: What ends a chunk. Chunks with a digit or an at sign are cut in tokens: runs of digits, runs of letters, single signs.
@@ -296,7 +297,7 @@ def plausible(kind: int, text: str) -> bool:
     if KINDS[kind] == "email":
         return "@" in text.strip("@")
     if KINDS[kind] == "ip":
-        return len(_octets(text)) >= 4 and all(p.isdigit() and int(p) <= 255 for p in _octets(text))
+        return len(_octets(text)) >= 4 and all(_OCTET.fullmatch(p) and int(p) <= 255 for p in _octets(text))
     if KINDS[kind] == "card":
         return 14 <= len(digits) <= 19 and luhn(digits)
     return 7 <= len(digits) <= 15

@@ -166,7 +166,7 @@ def luhn(digits):
 def base_spans(text):
     text = text or ""
     out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
-    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         d = re.sub("[^0-9]", "", m[0])
         if 14 <= len(d) <= 19 and luhn(d):

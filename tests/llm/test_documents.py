@@ -326,3 +326,14 @@ def test_mixing_keeps_rows_whole_and_repeats_itself(spark, hard):
     none = spark.createDataFrame([], T.StructType(hard.schema.fields))
     assert mixing.replicate(none).count() == 0
     assert mixing.replicate(hard.withColumn("source", F.lit(None).cast("string"))).count() > 0
+
+
+@pytest.mark.parametrize("key", ["doc_id", "none"])
+def test_a_language_of_one_long_text_is_learned(spark, key):
+    long = " ".join(["the", "word", "that", "which"] * 20_000)
+    rows = [(k, None, "der die das und ein nicht " * 5, "de") for k in range(40)] + [(k, None, None, "en") for k in range(40, 43)] + [(44, None, long, "en"), (45, None, long, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, none long, text string, lang string")
+    for seed in range(8):
+        model = language_id.train(docs, key=key, bytes_per_language=2000, seed=seed)
+        sizes = {name: int(tree.counts[0].sum()) for name, tree in zip(model.languages, model.trees, strict=True)}
+        assert sizes["de"] > 0 and 0 < sizes["en"] <= 2 * max(2000, language_id.LEAST_BYTES) + len(long), sizes
