@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 
 from ..functions.contracts import typical_price
 from ..functions.market_time import Calendar
-from .recurrence import Derive, Smooth, scan
-from .series import RUN, SERIES, over_run, rows_before, with_runs
+from .recurrence import Derive, Smooth, scan, scan_blocks
+from .series import BLOCK_ROWS, RUN, SERIES, over_run, rows_before, runs_in_blocks, with_runs
 
 MACD_FAST, MACD_SIGNAL = 12, 9
 #: The default catalogue: indicator name and period.
@@ -32,10 +32,20 @@ def warmup(name: str, period: int) -> int:
     return {"adx": 2 * period, "vwap": 1}.get(name, period)
 
 
-def _moves() -> dict[str, Column]:
+Previous = Callable[[str], Column]
+
+
+def _lagged(column: str) -> Column:
+    return F.lag(column).over(over_run())
+
+
+def _before(column: str) -> Column:
+    return F.col(f"before.{column}")
+
+
+def _moves(previous: Previous) -> dict[str, Column]:
     """What a bar adds to the one before it; NULL on the first bar of a run."""
-    w = over_run()
-    close, high, low = (F.lag(c).over(w) for c in ("close", "high", "low"))
+    close, high, low = map(previous, ("close", "high", "low"))
     up, down = F.col("high") - high, low - F.col("low")
     known = lambda c: F.when(close.isNotNull(), c)
     return {
@@ -105,8 +115,18 @@ def _framed(family: str, n: int, calendar: Calendar | None) -> dict[str, Column]
     return {f"vwap_{n}": F.when(F.col("trade_date").isNotNull() & (volume > 0), price / volume)}
 
 
-def wide(bars: DataFrame, families: list[tuple[str, int]], calendar: Calendar | None = None) -> DataFrame:
-    """Bars with run_id and the columns of all families asked: one exchange by series, its windows, and one pass for all recurrences."""
+def wide(bars: DataFrame, families: list[tuple[str, int]], calendar: Calendar | None = None, block_rows: int | None = None) -> DataFrame:
+    """Bars with run_id and the columns of all families asked: one exchange by series, its windows, and one pass for all recurrences.
+
+    That suits many series. With `block_rows` recurrences are computed by blocks
+    of so many bars, so that one long series is spread over tasks too; families
+    that are frames of rows (sma, bb, vwap, vwap_rolling) have no such form.
+    """
+    framed = [f for f, _ in families if f in ("sma", "bb", "vwap", "vwap_rolling")]
+    if block_rows:
+        if framed:
+            raise ValueError(f"{framed[0]} is not computed by blocks")
+        return _in_blocks(bars, families, block_rows)
     rows = with_runs(bars).withColumn("_n", F.row_number().over(over_run()))
     steps: list[Smooth | Derive] = []
     needs: set[str] = set()
@@ -120,15 +140,24 @@ def wide(bars: DataFrame, families: list[tuple[str, int]], calendar: Calendar |
             steps += more
             needs |= moves
     if needs:
-        made = _moves()
+        made = _moves(_lagged)
         rows = rows.withColumns({k: made[k] for k in sorted(needs)})
     if steps:
         rows = scan(rows, RUN, "bucket_start", steps)
     return rows.drop("_n", *needs, *[s.name for s in steps if s.name.startswith("_")])
 
 
-def _one(bars: DataFrame, family: str, n: int, columns: dict[str, str], calendar: Calendar | None = None) -> DataFrame:
-    return wide(bars, [(family, n)], calendar).withColumnsRenamed({f"{k}_{n}": v for k, v in columns.items()})
+def _in_blocks(bars: DataFrame, families: list[tuple[str, int]], block_rows: int) -> DataFrame:
+    made = [_steps(family, n) for family, n in families]
+    steps, needs = [s for x, _ in made for s in x], set().union(*[x for _, x in made])
+    moves = _moves(_before)
+    rows = runs_in_blocks(bars, block_rows, ("close", "high", "low")).withColumns({k: moves[k] for k in sorted(needs)})
+    rows = scan_blocks(rows.drop("before"), RUN, "block", "bucket_start", steps)
+    return rows.drop("block", *needs, *[s.name for s in steps if s.name.startswith("_")])
+
+
+def _one(bars: DataFrame, family: str, n: int, columns: dict[str, str], calendar: Calendar | None = None, block_rows: int | None = None) -> DataFrame:
+    return wide(bars, [(family, n)], calendar, block_rows).withColumnsRenamed({f"{k}_{n}": v for k, v in columns.items()})
 
 
 def sma(bars: DataFrame, n: int = 20) -> DataFrame:
@@ -140,27 +169,27 @@ def bollinger(bars: DataFrame, n: int = 20) -> DataFrame:
     return _one(bars, "bb", n, {"bb_middle": "middle", "bb_upper": "upper", "bb_lower": "lower"})
 
 
-def ema(bars: DataFrame, n: int = 20) -> DataFrame:
-    return _one(bars, "ema", n, {"ema": "value"})
+def ema(bars: DataFrame, n: int = 20, block_rows: int | None = BLOCK_ROWS) -> DataFrame:
+    return _one(bars, "ema", n, {"ema": "value"}, block_rows=block_rows)
 
 
-def macd(bars: DataFrame, slow: int = 26) -> DataFrame:
+def macd(bars: DataFrame, slow: int = 26, block_rows: int | None = BLOCK_ROWS) -> DataFrame:
     """Columns line, signal and histogram."""
-    return _one(bars, "macd", slow, {"macd": "line", "macd_signal": "signal", "macd_histogram": "histogram"})
+    return _one(bars, "macd", slow, {"macd": "line", "macd_signal": "signal", "macd_histogram": "histogram"}, block_rows=block_rows)
 
 
-def atr(bars: DataFrame, n: int = 14) -> DataFrame:
+def atr(bars: DataFrame, n: int = 14, block_rows: int | None = BLOCK_ROWS) -> DataFrame:
     """Column value: Wilder's mean of the true range, first at the bar after n changes."""
-    return _one(bars, "atr", n, {"atr": "value"})
+    return _one(bars, "atr", n, {"atr": "value"}, block_rows=block_rows)
 
 
-def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
-    return _one(bars, "rsi", n, {"rsi": "value"})
+def rsi(bars: DataFrame, n: int = 14, block_rows: int | None = BLOCK_ROWS) -> DataFrame:
+    return _one(bars, "rsi", n, {"rsi": "value"}, block_rows=block_rows)
 
 
-def directional(bars: DataFrame, n: int = 14) -> DataFrame:
+def directional(bars: DataFrame, n: int = 14, block_rows: int | None = BLOCK_ROWS) -> DataFrame:
     """Columns plus_di, minus_di and adx; adx starts anew after each bar whose directional index cannot be measured."""
-    return _one(bars, "di", n, {"plus_di": "plus_di", "minus_di": "minus_di", "adx": "adx"})
+    return _one(bars, "di", n, {"plus_di": "plus_di", "minus_di": "minus_di", "adx": "adx"}, block_rows=block_rows)
 
 
 def vwap(bars: DataFrame, calendar: Calendar) -> DataFrame:
@@ -172,13 +201,15 @@ def vwap_rolling(bars: DataFrame, n: int = 20) -> DataFrame:
     return _one(bars, "vwap_rolling", n, {"vwap_rolling": "value"})
 
 
-def heikin_ashi(bars: DataFrame) -> DataFrame:
+def heikin_ashi(bars: DataFrame, block_rows: int | None = BLOCK_ROWS) -> DataFrame:
     """Columns ha_open, ha_close, body_high and body_low."""
-    w = over_run()
-    rows = with_runs(bars).withColumn("ha_close", (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4)
+    mean = lambda at: (at("open") + at("high") + at("low") + at("close")) / 4
+    rows = runs_in_blocks(bars, block_rows, ("open", "high", "low", "close")) if block_rows else with_runs(bars)
     # the first value is the middle of the first body, then the mean of the last open and close
-    rows = rows.withColumn("_x", F.coalesce(F.lag("ha_close").over(w), (F.col("open") + F.col("close")) / 2))
-    rows = scan(rows, RUN, "bucket_start", [Smooth("ha_open", "_x", 1, 0.5)])
+    first = F.coalesce(mean(_before if block_rows else _lagged), (F.col("open") + F.col("close")) / 2)
+    rows = rows.withColumns({"ha_close": mean(F.col), "_x": first}).drop("before")
+    steps = [Smooth("ha_open", "_x", 1, 0.5)]
+    rows = scan_blocks(rows, RUN, "block", "bucket_start", steps).drop("block") if block_rows else scan(rows, RUN, "bucket_start", steps)
     return rows.withColumn("body_high", F.greatest("ha_open", "ha_close")).withColumn("body_low", F.least("ha_open", "ha_close")).drop("_x")
 
 

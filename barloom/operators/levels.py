@@ -39,7 +39,7 @@ def pivot_prices(bars: DataFrame, source: str) -> DataFrame:
     if source == "Body":
         return with_runs(bars).withColumn("p_high", F.greatest("open", "close")).withColumn("p_low", F.least("open", "close"))
     if source == "HeikinAshiBody":
-        rows = heikin_ashi(bars)
+        rows = heikin_ashi(bars, block_rows=None)  # what comes after needs whole runs too
         return rows.withColumn("p_high", F.round("body_high", 8)).withColumn("p_low", F.round("body_low", 8)).drop("ha_open", "ha_close", "body_high", "body_low")
     raise ValueError(f"unknown pivot source {source}")
 

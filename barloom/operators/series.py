@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.storage import stored
+
 SERIES = ["venue", "instrument", "resolution_minutes"]
 RUN = [*SERIES, "run_id"]
 
@@ -27,6 +29,39 @@ def with_runs(bars: DataFrame) -> DataFrame:
     return bars.withColumn("_changed", changed).withColumn("run_id", F.sum("_changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_changed")
 
 
+#: Rows of a full block: a block is a span of time that a series without gaps fills with so many bars.
+BLOCK_ROWS = 4096
+BLOCK = [*SERIES, "block"]
+
+
+def with_columns(rows: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with the columns of `more`, which has one row a key; null keys are equal."""
+    more = more.withColumnsRenamed({c: f"_key_{c}" for c in keys})
+    return rows.join(more, [rows[c].eqNullSafe(more[f"_key_{c}"]) for c in keys]).drop(*[f"_key_{c}" for c in keys])
+
+
+def runs_in_blocks(bars: DataFrame, block_rows: int = BLOCK_ROWS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """`with_runs` by blocks of time: adds block, run_id and `before`, the `carried` columns of the bar before in the run (NULL on a run's first).
+
+    Nothing of a series meets in one task but one row a block: its last bar and
+    its number of changes, which windows over blocks hand on. The bars themselves
+    are only windowed inside their block. The result is a stored table.
+    """
+    minutes = F.timestamp_diff("MINUTE", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("bucket_start"))
+    rows = bars.withColumn("block", F.floor(minutes / (F.col("resolution_minutes") * block_rows)))
+    kept = F.struct("contract_id", *carried)
+    blocks, inside = Window.partitionBy(*SERIES).orderBy("block"), Window.partitionBy(*BLOCK).orderBy("bucket_start")
+    last = rows.groupBy(*BLOCK).agg(F.max_by(kept, "bucket_start").alias("_last"))
+    earlier = last.select(*BLOCK, F.lag("_last").over(blocks).alias("_earlier"))
+    rows = rows.withColumn("_inside", F.lag(kept).over(inside)).transform(with_columns, earlier, BLOCK).withColumn("before", F.coalesce("_inside", "_earlier")).drop("_inside", "_earlier")
+    changed = F.when(F.col("before").isNull() | F.col("before.contract_id").eqNullSafe(F.col("contract_id")), 0).otherwise(1)
+    rows = stored(rows.withColumn("_changed", changed), "runs")
+    counts = rows.groupBy(*BLOCK).agg(F.sum("_changed").alias("_n"))
+    counts = counts.select(*BLOCK, F.coalesce(F.sum("_n").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_n"))
+    within = F.sum("_changed").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("run_id", within).transform(with_columns, counts, BLOCK).withColumn("run_id", F.col("run_id") + F.col("_n")).drop("_n").withColumn("before", F.when(F.col("_changed") == 0, F.col("before"))).drop("_changed")
+
+
 def contract_segments(bars: DataFrame) -> DataFrame:
     return with_runs(bars).groupBy(*RUN, "contract_id").agg(F.min("bucket_start").alias("first_bucket"), F.max("bucket_start").alias("last_bucket"), F.count("*").alias("bars"))
 

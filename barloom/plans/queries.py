@@ -681,7 +681,7 @@ def _zone_columns(zones):
 def _level_bars(spark, sf_dir, lookback=None):
     """The newest run of each series (of its last `lookback` bars) and its average range: a stored table, as every method reads it."""
     bars = samples.bars(spark, sf_dir)
-    made = indicators.atr(series.newest_segment(bars if lookback is None else series.latest(bars, lookback)).drop("run_id"))
+    made = indicators.atr(series.newest_segment(bars if lookback is None else series.latest(bars, lookback)).drop("run_id"), block_rows=None)
     path = scratch(spark, "level-bars")
     made.write.parquet(path)
     rows = spark.read.schema(made.schema).parquet(path)
