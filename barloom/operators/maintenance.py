@@ -61,6 +61,12 @@ def reconcile(stored: DataFrame, produced: DataFrame, bars: DataFrame, pairs: li
     return rows.select(*VALUE, "value", F.when(F.col("_bar").isNull(), "orphaned").when(~listed, "retired").otherwise("unjustified").alias("reason"))
 
 
+def projection_changes(produced: DataFrame, stored: DataFrame) -> DataFrame:
+    """The whole change of a stored projection: what is written, and what is no longer produced as deletes."""
+    gone = stored.join(produced.select(*VALUE), VALUE, "left_anti").select(*VALUE, "value", F.lit("delete").alias("change"))
+    return project(produced, stored).unionByName(gone)
+
+
 def completeness(bars: DataFrame, stored: DataFrame, pairs: list[tuple[str, int]] = CATALOGUE) -> DataFrame:
     """Indicators of a series that should have a newer value: warm, but the newest value is older than the warm-up's bars, or absent."""
     needs = F.explode(F.array(*[F.struct(F.lit(n).alias("indicator"), F.lit(p).alias("period"), F.lit(warmup(n, p)).alias("warmup")) for n, p in pairs]))
@@ -71,21 +77,36 @@ def completeness(bars: DataFrame, stored: DataFrame, pairs: list[tuple[str, int]
     return rows.withColumn("missing", F.coalesce(F.col("newest") < F.col("due_from"), F.lit(True)))
 
 
-def reselect(by_contract: DataFrame, stored: DataFrame, calendar: Calendar, coverage: DataFrame) -> DataFrame:
-    """What choosing the contracts anew would change, per instrument.
+_PRICE = ["open", "high", "low", "close", "volume", "contract_id"]
 
-    Winner bars are written; stored bars of other or unknown contracts on decided
-    dates that the winner does not restate go; coverage that touches a decided
-    date goes too.
-    """
+
+def _reselection(by_contract: DataFrame, stored: DataFrame, calendar: Calendar) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The choice of each date, stored bars of decided dates beside it, winner bars to write, stored bars that go."""
     choices, winners = historical_contract(by_contract, calendar)
-    price = ["open", "high", "low", "close", "volume", "contract_id"]
     keys = [*KEYS, "bucket_start"]
-    _, changed = upsert(stored, winners, keys, price)
+    _, changed = upsert(stored, winners, keys, _PRICE)
     dated = stored.withColumn("trade_date", F.coalesce(calendar.trade_date("bucket_start"), F.to_date("bucket_start")))
     chosen = choices.select(*KEYS, "trade_date", F.col("contract_id").alias("chosen"))
     dated = dated.join(chosen, [*KEYS, "trade_date"])
     removed = dated.where(~F.col("contract_id").eqNullSafe(F.col("chosen"))).join(winners.select(*keys), keys, "left_anti")
+    return choices, dated, changed, removed
+
+
+def reselection_changes(by_contract: DataFrame, stored: DataFrame, calendar: Calendar) -> DataFrame:
+    """What choosing the contracts anew writes to the stored bars, as inserts, updates and deletes."""
+    _, _, changed, removed = _reselection(by_contract, stored, calendar)
+    columns = [*KEYS, "bucket_start", *_PRICE]
+    return changed.select(*columns, "change").unionByName(removed.select(*columns, F.lit("delete").alias("change")))
+
+
+def reselect(by_contract: DataFrame, stored: DataFrame, calendar: Calendar, coverage: DataFrame) -> DataFrame:
+    """What choosing the contracts anew would change, per instrument.
+
+    Winner bars are written; stored bars of other or unknown contracts on decided
+    dates that the winner does not restate go; coverage that touches a decided
+    date goes too.
+    """
+    choices, dated, changed, removed = _reselection(by_contract, stored, calendar)
     dates = dated.groupBy("venue", "instrument", "trade_date").agg(F.max(F.when(~F.col("contract_id").eqNullSafe(F.col("chosen")), 1).otherwise(0)).alias("moved"))
     # ranges and decided sessions meet under their instrument's days, up to the last decided one
     decided = choices.select("venue", "instrument", "trade_date").distinct()
@@ -144,13 +165,23 @@ def retention_plan(receipts: DataFrame, prints: DataFrame) -> DataFrame:
     return rows.select("venue", "instrument", "contract_id", "day", F.col("row_count").cast("long").alias("row_count"), "source_rows", action.alias("action")).unionByName(keep)
 
 
+def retention_changes(prints: DataFrame, receipts: DataFrame) -> DataFrame:
+    """What retention deletes from the tape: prints of deletable key-days that were recorded by the export."""
+    return _dated(prints, receipts).where("recorded_at <= exported_at").drop("exported_at", "day").withColumn("change", F.lit("delete"))
+
+
 def retention_apply(prints: DataFrame, receipts: DataFrame) -> DataFrame:
     """The tape after deletion: prints of deletable key-days that were recorded by the export are gone."""
-    plan = retention_plan(receipts, prints).where("action = 'delete'").join(receipts.select("venue", "instrument", "contract_id", "day", "exported_at"), ["venue", "instrument", "contract_id", "day"])
-    rows = prints.withColumn("day", F.to_date("trade_time_utc")).join(plan.select("venue", "instrument", "contract_id", "day", "exported_at"), ["venue", "instrument", "contract_id", "day"], "left")
+    rows = _dated(prints, receipts)
     return rows.where(F.col("exported_at").isNull() | (F.col("recorded_at") > F.col("exported_at"))).drop("exported_at", "day")
 
 
+def _dated(prints: DataFrame, receipts: DataFrame) -> DataFrame:
+    """Prints with the export of their day, if the plan deletes it."""
+    plan = retention_plan(receipts, prints).where("action = 'delete'").join(receipts.select("venue", "instrument", "contract_id", "day", "exported_at"), ["venue", "instrument", "contract_id", "day"])
+    return prints.withColumn("day", F.to_date("trade_time_utc")).join(plan.select("venue", "instrument", "contract_id", "day", "exported_at"), ["venue", "instrument", "contract_id", "day"], "left")
+
+
 def late_rows(prints: DataFrame, receipts: DataFrame) -> DataFrame:
     """Prints recorded after their day was exported: those days have to be exported again."""
     rows = prints.withColumn("day", F.to_date("trade_time_utc")).join(receipts.select("venue", "instrument", "contract_id", "day", "exported_at"), ["venue", "instrument", "contract_id", "day"])

@@ -614,3 +614,14 @@ ORACLES |= {
     + f"""SELECT instrument, contract_id, CASE WHEN instrument = 'ES' THEN 'listening' ELSE 'stopped' END AS state, last_tick, CAST(trunc(epoch({_NOW}) - epoch(last_tick)) AS BIGINT) AS tick_age_seconds, coalesce(gaps, 0) AS gaps, coalesce(gap_seconds, 0) AS gap_seconds,
   CASE WHEN instrument <> 'ES' THEN 'unavailable' WHEN coalesce(gaps, 0) > 0 THEN 'degraded' ELSE 'ok' END AS overall FROM tk LEFT JOIN gp USING (instrument, contract_id)""",
 }
+_SESSION_NOW = with_(TRADES, DAYS, WINDOWS, session_bars(WHOLE_SELECT, "2024-01-31 00:00:00", "sn"))
+ORACLES |= {
+    "bars_committed": with_(BARS) + f"SELECT {BAR} FROM bars",
+    "session_bars_committed": _SESSION_NOW + "SELECT instrument, session, trade_date, start_utc, end_utc, CAST(base AS BIGINT) AS base_minutes, open, high, low, close, volume, contract_id FROM sn WHERE absence IS NULL",
+    "indicators_committed": with_(ALL_VALUES) + f"SELECT {VALUE} FROM made",
+    "retention_committed": ORACLES["retention_apply"],
+    "reselection_committed": with_(UNKNOWN, BY_CONTRACT, DATED, RESELECT[: RESELECT.index("cd AS")].rstrip(",\n "))
+    + """SELECT instrument, bucket_start, open, high, low, close, volume, contract_id FROM wn
+  UNION ALL SELECT instrument, bucket_start, open, high, low, close, volume, contract_id FROM bars b WHERE NOT EXISTS (SELECT 1 FROM wn w WHERE w.instrument = b.instrument AND w.bucket_start = b.bucket_start)
+    AND NOT EXISTS (SELECT 1 FROM rm WHERE rm.instrument = b.instrument AND rm.bucket_start = b.bucket_start)""",
+}

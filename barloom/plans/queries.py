@@ -15,6 +15,7 @@ from ..operators import accounts, asof, calendars, contracts, indicators, interv
 from ..sources import samples, tape_files
 from ..sources.samples import ntz, raw
 from ..sources.storage import scratch
+from ..sources.versions import VersionedTable
 from ..streaming import tape as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -948,6 +949,55 @@ def retention_apply(spark, sf_dir):
     return left.select("instrument", "contract_id", "trade_time_utc", "sequence", "price", "size")
 
 
+# --- changes written to stored tables -----------------------------------------------------------------------------------
+
+
+def _committed(spark: SparkSession, held: DataFrame, changes: Callable[[DataFrame], DataFrame], keys: list[str], parts: list[str]) -> DataFrame:
+    """The table after two commits, its first rows and the changes that are found against what was read back."""
+    table = VersionedTable(spark, scratch(spark, "table"), held.schema, parts)
+    table.commit(held.withColumn("change", F.lit("insert")), keys, "first")
+    table.commit(changes(table.read()), keys, "second")
+    return table.read()
+
+
+_BAR_KEYS = [*series.SERIES, "bucket_start"]
+_BAR_PARTS = ["instrument", "to_date(bucket_start)"]
+
+
+@query
+def bars_committed(spark, sf_dir):
+    found = _committed(spark, _changed_bars(spark, sf_dir).select(*_BAR_KEYS, *_PRICES), lambda t: maintenance.upsert(t, samples.bars(spark, sf_dir), _BAR_KEYS, _PRICES)[1], _BAR_KEYS, _BAR_PARTS)
+    return found.select(*BAR)
+
+
+@query
+def session_bars_committed(spark, sf_dir):
+    keys, columns = ["venue", "instrument", "session", "trade_date"], ["start_utc", "end_utc", "base_minutes", *_PRICES]
+    old = _session_bars(spark, sf_dir, "2024-01-20 00:00:00", gappy=True).where("absence is null").select(*keys, *columns)
+    now = _session_bars(spark, sf_dir).where("absence is null")
+    found = _committed(spark, old, lambda t: maintenance.diff(now, t, keys, columns), keys, ["instrument", "trade_date"])
+    return found.select("instrument", "session", "trade_date", "start_utc", "end_utc", F.col("base_minutes").cast("long").alias("base_minutes"), *_PRICES)
+
+
+@query
+def indicators_committed(spark, sf_dir):
+    found = _committed(spark, _stored_values(spark, sf_dir).select(*maintenance.VALUE, "value"), lambda t: maintenance.projection_changes(_produced(spark, sf_dir), t), maintenance.VALUE, _BAR_PARTS)
+    return found.select("instrument", "indicator", F.col("period").cast("long").alias("period"), "bucket_start", F.round("value", 6).alias("value"))
+
+
+@query
+def reselection_committed(spark, sf_dir):
+    held = samples.bars_unknown(spark, sf_dir).select(*_BAR_KEYS, *_PRICES)
+    return _committed(spark, held, lambda t: maintenance.reselection_changes(samples.bars_by_contract(spark, sf_dir), t, CAL), _BAR_KEYS, _BAR_PARTS).select(*BAR)
+
+
+@query
+def retention_committed(spark, sf_dir):
+    keys = ["venue", "instrument", "contract_id", "trade_time_utc", "sequence"]
+    found = _committed(spark, samples.trades(spark, sf_dir), lambda t: maintenance.retention_changes(t, samples.export_receipts(spark, sf_dir)), keys, ["instrument", "contract_id", "to_date(trade_time_utc)"])
+    return found.select("instrument", "contract_id", "trade_time_utc", "sequence", "price", "size")
+
+
 # --- streams ------------------------------------------------------------------------------------------------------------
 
 
