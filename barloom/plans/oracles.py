@@ -625,3 +625,4 @@ ORACLES |= {
   UNION ALL SELECT instrument, bucket_start, open, high, low, close, volume, contract_id FROM bars b WHERE NOT EXISTS (SELECT 1 FROM wn w WHERE w.instrument = b.instrument AND w.bucket_start = b.bucket_start)
     AND NOT EXISTS (SELECT 1 FROM rm WHERE rm.instrument = b.instrument AND rm.bucket_start = b.bucket_start)""",
 }
+ORACLES |= {"stream_gate_changing": ORACLES["stream_print_gate"], "latest_quote_state": _LATEST}

@@ -1051,6 +1051,22 @@ def stream_print_gate(spark, sf_dir):
     return live.drain(passed.drop("event_type"), "gate").select("instrument", "contract_id", "trade_time_utc", F.col("source_id").alias("sequence"), "price", "size")
 
 
+@query
+def stream_gate_changing(spark, sf_dir):
+    """Coverage is a stream too: the ranges are reported as files beside the prints."""
+    path = scratch(spark, "ranges")
+    samples.tape_coverage(spark, sf_dir).where(F.dayofmonth("range_start") % 3 != 0).write.parquet(path)
+    ranges = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    passed = live.gate_with_changes(_stream_trades(spark, sf_dir).drop("event_type"), ranges)
+    return live.drain(passed, "gate").select("instrument", "contract_id", "trade_time_utc", F.col("source_id").alias("sequence"), "price", "size")
+
+
+@query
+def latest_quote_state(spark, sf_dir):
+    """Quotes as keyed state; rows that the watermark has passed are stale."""
+    return live.drain_quotes(_stream_quotes(spark, sf_dir)).select(*_QUOTE_OUT)
+
+
 _QUOTE_OUT = ["contract_id", "bid", "ask", "last", "volume", "last_at", "volume_at", "quote_time_utc", "received_at", "trade_date"]
 
 

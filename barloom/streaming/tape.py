@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import timezone
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 
@@ -29,8 +33,9 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there into Parquet files, and read them."""
     spark = stream.sparkSession
     path = scratch(spark, name)
-    query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    with rocksdb_state(spark):
+        query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
@@ -121,6 +126,60 @@ def print_gate(prints: DataFrame, coverage: DataFrame) -> DataFrame:
     return rows.where(F.coalesce(F.col("_from") <= at, F.lit(False)) | F.coalesce(inside, F.lit(False))).drop("_day", "_ranges", "_from").select(*prints.columns)
 
 
+_OPEN = 1 << 62
+
+
+class GateState(StatefulProcessor):
+    """The ranges of a contract as state, its prints judged against them as they come."""
+
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ranges = handle.getMapState("ranges", "start long", "finish long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        prints, changed = [], {}
+        for frame in rows:
+            is_range = frame["start_us"].notna()
+            for start, finish in frame.loc[is_range, ["start_us", "finish_us"]].astype("int64").itertuples(index=False, name=None):
+                changed[start] = min(finish, changed.get(start, finish))
+            if not is_range.all():
+                prints.append(frame[~is_range])
+        for start, finish in changed.items():
+            self.ranges.updateValue((start,), (finish,))
+        if not prints:
+            return
+        held = np.array(sorted((s[0], f[0]) for s, f in self.ranges.iterator()), np.int64).reshape(-1, 2)
+        reach = np.maximum.accumulate(held[:, 1])
+        for frame in prints:
+            at = frame["at_us"].to_numpy(np.int64)
+            last = np.searchsorted(held[:, 0], at, side="right") - 1
+            inside = (last >= 0) & (at < reach[np.maximum(last, 0)]) if len(held) else np.zeros(len(at), bool)
+            if inside.any():
+                yield frame.loc[inside, self.columns]
+
+    def close(self) -> None:
+        pass
+
+
+def gate_with_changes(prints: DataFrame, coverage: DataFrame) -> DataFrame:
+    """`print_gate` for a stream of prints and a stream of coverage: what has been reported by a print's batch decides.
+
+    `coverage` brings ranges (contract, range_start, range_end) as they open
+    (no end, or one in the year 9999) and once more as they close; a range is
+    known by its start, and the newest end of it counts. A contract's ranges are
+    its state, in RocksDB; ranges of a batch count before its prints do. A print
+    that no range held when it came is not let through later.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    is_open = F.col("range_end").isNull() | (F.year("range_end") >= 9999)
+    finish = F.when(is_open, F.lit(_OPEN)).otherwise(micros("range_end"))
+    ranges = coverage.select(*CONTRACT, micros("range_start").alias("start_us"), finish.alias("finish_us"))
+    both = prints.withColumn("at_us", micros("trade_time_utc")).unionByName(ranges, allowMissingColumns=True)
+    return both.groupBy(*CONTRACT).transformWithStateInPandas(GateState(prints.columns), prints.schema, "Append", "None")
+
+
 QUOTE = ["bid", "ask", "last", "volume", "last_at", "volume_at", "quote_time_utc", "received_at", "book_known", "trade_date"]
 QUOTE_SCHEMA = (
     "venue string, contract_id string, bid double, ask double, last double, volume long, last_at timestamp_ntz, volume_at timestamp_ntz, "
@@ -144,15 +203,14 @@ def _fold_quote(held: dict | None, new: dict) -> dict | None:
         if new[value] != 0 and not older:
             continue
         keep = held[value] != 0 and _carried(held[at], held["trade_date"], new["received_at"], new["trade_date"])
-        out[value], out[at] = (held[value], held[at]) if keep else (0, None)
+        out[value], out[at] = (held[value], held[at]) if keep else (0.0 if value == "last" else 0, None)
     times = [t for t in (held["quote_time_utc"], new["quote_time_utc"]) if t is not None]
     out["quote_time_utc"] = max(times) if times else None
     out["book_known"] = True
     return out
 
 
-def _events(frame: pd.DataFrame) -> Iterator[dict]:
-    frame = frame.sort_values(["received_at", "sequence"])
+def _in_order(frame: pd.DataFrame) -> Iterator[dict]:
     for values in frame[QUOTE].itertuples(index=False, name=None):
         yield {k: None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v for k, v in zip(QUOTE, values, strict=True)}
 
@@ -181,9 +239,12 @@ def _replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*key, *[held[c] for c in QUOTE])], columns=columns)
 
 
-def latest_quotes(events: DataFrame) -> DataFrame:
+def latest_quotes(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """The quote of each contract after all its events, in the order of (received_at, sequence), which should be unique in a contract.
 
+    `stored` has the quotes that earlier events made; each counts as the first
+    event of its contract, so events may be folded batch by batch.
+
     Aggregates alone decide nearly all contracts: the event of a contract's
     latest trade time is always taken, so only what comes after it matters, and
     without a later trade that is whether the value still carries. A contract
@@ -191,7 +252,10 @@ def latest_quotes(events: DataFrame) -> DataFrame:
     contract whose book was never seen has no row.
     """
     keys = ["venue", "contract_id"]
-    rows = events.select(*keys, *QUOTE, F.struct("received_at", "sequence").alias("_order"))
+    rows = events.select(*keys, *QUOTE, F.struct("received_at", F.col("sequence").cast("long").alias("sequence")).alias("_order"))
+    if stored is not None:
+        before_all = F.struct(F.lit("0001-01-01").cast("timestamp_ntz").alias("received_at"), F.lit(0).cast("long").alias("sequence"))
+        rows = rows.unionByName(stored.select(*keys, *QUOTE, before_all.alias("_order")))
     rows = rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("bid", "ask", "last")})
     first = rows.where("book_known").groupBy(*keys).agg(F.min("_order").alias("_first"))
     rows = rows.join(first, keys).where("_order >= _first")
@@ -227,19 +291,92 @@ def latest_quotes(events: DataFrame) -> DataFrame:
     return sure.unionByName(replayed.select(sure.columns))
 
 
-def stream_latest_quotes(events: DataFrame) -> DataFrame:
-    """The same as a stream: the quote is the state, and each batch emits the quotes that it changed."""
-    state_schema = QUOTE_SCHEMA.removeprefix("venue string, contract_id string, ")
+class QuoteState(StatefulProcessor):
+    """The quote of a contract as state: events fold into it, a reconnect clears it, and a timer tells when it has gone stale."""
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = {c: None if v is pd.NaT else v for c, v in zip(QUOTE, state.get, strict=True)} if state.exists else None
-        for event in _events(pd.concat(list(frames))):
-            held = _fold_quote(held, event) or held
+    SCHEMA = QUOTE_SCHEMA.removeprefix("venue string, contract_id string, ")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.quote = handle.getValueState("quote", self.SCHEMA)
+
+    def _held(self) -> dict | None:
+        if not self.quote.exists():
+            return None
+        return {c: None if v is pd.NaT else v for c, v in zip(QUOTE, self.quote.get(), strict=True)}
+
+    def _row(self, key: tuple, held: dict | None, stale: bool) -> Iterator[pd.DataFrame]:
+        values = [held[c] if held else None for c in QUOTE]
+        yield pd.DataFrame([(*key, *values, stale)], columns=["venue", "contract_id", *QUOTE, "stale"]).astype({"last_at": "datetime64[us]", "volume_at": "datetime64[us]", "quote_time_utc": "datetime64[us]", "received_at": "datetime64[us]"})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, cleared = self._held(), False
+        frame = pd.concat(list(rows)).sort_values(["received_at", "sequence"], ignore_index=True)
+        for is_clear, event in zip(frame["cleared"].tolist(), _in_order(frame), strict=True):
+            held = None if is_clear else _fold_quote(held, event) or held
+            cleared |= is_clear
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
         if held:
-            state.update(tuple(held[c] for c in QUOTE))
-        yield pd.DataFrame([(*key, *[held[c] for c in QUOTE])] if held else [], columns=["venue", "contract_id", *QUOTE])
+            self.quote.update(tuple(held[c] for c in QUOTE))
+            self.handle.registerTimer(int(held["received_at"].replace(tzinfo=timezone.utc).timestamp() * 1000) + 1000 * STALE_SECONDS)
+            yield from self._row(key, held, False)
+        elif cleared:
+            self.quote.clear()
+            yield from self._row(key, None, True)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self._held()
+        if held:
+            yield from self._row(key, held, True)
+
+    def close(self) -> None:
+        pass
 
-    return events.groupBy("venue", "contract_id").applyInPandasWithState(fold, QUOTE_SCHEMA, state_schema, "update", GroupStateTimeout.NoTimeout)
+
+def stream_latest_quotes(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """The same as a stream: each batch emits the quotes that it changed, and `stale`.
+
+    `events` may have a boolean `cleared`: such a row (one for each contract after
+    a reconnect) drops what is held, and the contract is emitted without values
+    until its book is seen again. A quote is emitted once more, as stale, when
+    the watermark (`delay` behind the newest event) has passed its last event by
+    STALE_SECONDS. A batch's events of one contract are folded in one task; that
+    state lies in RocksDB and may outgrow memory. Bulk history belongs in
+    `upsert_quotes`, which folds by aggregates.
+    """
+    if "cleared" not in events.columns:
+        events = events.withColumn("cleared", F.lit(False))
+    events = events.withColumn("at", F.col("received_at").cast("timestamp")).withWatermark("at", delay)
+    grouped = events.groupBy("venue", "contract_id")
+    return grouped.transformWithStateInPandas(QuoteState(), f"{QUOTE_SCHEMA}, stale boolean", "Update", "EventTime")
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries that are started inside keep their state in RocksDB, as keyed state with timers needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def drain_quotes(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Run `stream_latest_quotes` over all that is there; the last row of each contract."""
+    spark = events.sparkSession
+    path = scratch(spark, "quote-states")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    with rocksdb_state(spark):
+        stream_latest_quotes(events, delay).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    schema = f"{QUOTE_SCHEMA}, stale boolean, batch int"
+    rows = spark.read.schema(schema).parquet(f"{path}/rows")
+    return rows.groupBy("venue", "contract_id").agg(F.max_by(F.struct(*QUOTE, "stale"), F.struct("batch", "stale")).alias("q")).select("venue", "contract_id", "q.*")
 
 
 def merge_quotes(stored: DataFrame, flushed: DataFrame) -> DataFrame:
@@ -272,15 +409,18 @@ def merge_quotes(stored: DataFrame, flushed: DataFrame) -> DataFrame:
 
 
 def upsert_quotes(events: DataFrame) -> DataFrame:
-    """Flush a stream of quote events batch by batch into versions of the quote table; the last version is read."""
+    """Flush a stream of quote events batch by batch into versions of the quote table; the last version is read.
+
+    A batch starts from the quotes of the version before, so any cut of the
+    events into batches, in their order, gives what all of them give at once.
+    """
     spark = events.sparkSession
     path = scratch(spark, "quotes")
     done = []
 
     def write(batch: DataFrame, number: int) -> None:
-        flushed = latest_quotes(batch)
-        merged = merge_quotes(batch.sparkSession.read.schema(QUOTE_SCHEMA).parquet(f"{path}/version={number - 1}"), flushed) if number else flushed
-        merged.write.mode("overwrite").parquet(f"{path}/version={number}")
+        before = batch.sparkSession.read.schema(QUOTE_SCHEMA).parquet(f"{path}/version={number - 1}") if number else None
+        latest_quotes(batch, before).select(*[c.split()[0] for c in QUOTE_SCHEMA.split(", ")]).write.mode("overwrite").parquet(f"{path}/version={number}")
         done.append(number)
 
     events.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()

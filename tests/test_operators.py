@@ -237,6 +237,96 @@ def test_quotes_of_any_order_equal_a_plain_fold(spark):
     assert {r["contract_id"]: tuple(r[c] for c in live.QUOTE) for r in found} == want
 
 
+def in_files(spark, tmp_path, name, batches, schema):
+    """A stream that brings each of the batches of rows as one file."""
+    import os
+    import time
+
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{tmp_path}/{name}/{k:03d}")
+        for f in (tmp_path / name / f"{k:03d}").iterdir():
+            os.utime(f, (time.time() - 1000 + k, time.time() - 1000 + k))
+    return spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/{name}")
+
+
+def quote_rows(draw, contracts, events):
+    t, out = at("2026-08-18T15:00"), []
+    for n in range(events):
+        received, trade = t + timedelta(minutes=draw.randint(0, 4), seconds=n), draw.random() < 0.5
+        t = received
+        row = quote(received, 0.0 if trade else float(n), 0.0 if trade else n + 1.0, 10.5 + n if trade else 0.0, 7 + n if trade and draw.random() < 0.8 else 0, not trade, n=n)
+        out.append((row[0], f"C{draw.randrange(contracts)}", *row[2:]))
+    return out
+
+
+def plain_fold(rows):
+    names, held = [c.split()[0] for c in QUOTES.split(", ")], {}
+    for r in sorted(rows, key=lambda r: (r[10], r[2])):
+        if (new := live._fold_quote(held.get(r[1]), dict(zip(names, r, strict=True)))) is not None:
+            held[r[1]] = new
+    return {c: tuple(q[k] for k in live.QUOTE) for c, q in held.items()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_any_cut_of_quote_events_gives_the_batch_answer(spark, tmp_path, seed):
+    draw = random.Random(seed)
+    # the least case first: a quote, a trade, a quote, each a file
+    rows = quote_rows(draw, 4, 40) if seed else [quote(at("2026-08-18T15:00"), 1.0, 2.0), quote(at("2026-08-18T15:01"), last=10.5, volume=7, book=False, n=1), quote(at("2026-08-18T15:02"), 1.5, 2.5, n=2)]
+    cuts = sorted(draw.sample(range(1, len(rows)), 4 if seed else 2))
+    batches = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+    stream = in_files(spark, tmp_path, "quotes", batches, QUOTES)
+    want = plain_fold(rows)
+    values = lambda df: {r["contract_id"]: tuple(r[c] for c in live.QUOTE) for r in df.collect()}
+    assert values(live.upsert_quotes(stream)) == want == values(live.latest_quotes(spark.createDataFrame(rows, QUOTES)))
+    if seed < 2:  # each batch of keyed state starts Python workers of its own
+        assert values(live.drain_quotes(stream)) == want
+
+
+def test_many_cuts_folded_by_aggregates(spark):
+    """The later events on the quotes that the earlier ones made, for twenty cuts, each of contracts of its own."""
+    early, late, want = [], [], {}
+    for seed in range(20):
+        draw = random.Random(100 + seed)
+        rows = [(r[0], f"{r[1]}-{seed}", *r[2:]) for r in quote_rows(draw, 3, 25)]
+        cut = draw.randrange(1, len(rows))
+        early, late, want = early + rows[:cut], late + rows[cut:], want | plain_fold(rows)
+    stored = live.latest_quotes(spark.createDataFrame(early, QUOTES))
+    got = live.latest_quotes(spark.createDataFrame(late, QUOTES), stored).collect()
+    assert {r["contract_id"]: tuple(r[c] for c in live.QUOTE) for r in got} == want
+
+
+def test_a_quote_goes_stale_by_a_timer_and_is_cleared_by_a_reconnect(spark, tmp_path):
+    t = at("2026-08-18T15:00")
+    a = lambda s, *rest, **more: (*quote(t + timedelta(seconds=s), *rest, **more), False)
+    other = lambda s: (*("SIM", "D"), *quote(t + timedelta(seconds=s), 1.0, 2.0)[2:], False)
+    gone = (*quote(t + timedelta(seconds=100), book=False), True)
+    batches = [[a(0, 1.0, 2.0), other(0)], [other(60)], [gone, other(101)], [a(102, last=9.0, volume=1, book=False)], [a(103, 5.0, 6.0)]]
+    for n in (2, 4, 5):
+        folder = tmp_path / str(n)
+        found = {r["contract_id"]: r for r in live.drain_quotes(in_files(spark, folder, "q", batches[:n], f"{QUOTES}, cleared boolean")).collect()}
+        c = found["C"]
+        if n == 2:
+            assert (c["bid"], c["stale"]) == (1.0, True)
+        elif n < 5:
+            assert c["bid"] is None and c["stale"]  # no book since the reconnect
+        else:
+            assert (c["bid"], c["last"], c["volume"], c["book_known"]) == (5.0, 0.0, 0, True)
+
+
+def test_a_gate_follows_coverage_that_changes(spark, tmp_path):
+    from datetime import datetime
+
+    m = lambda k: datetime(2024, 3, 1, 10) + timedelta(minutes=k)
+    end = datetime(9999, 12, 31)
+    ranges = [[("S", "i", "A", m(0), end)], [("S", "i", "B", m(10), None), ("S", "i", "A", m(0), m(15))], [("S", "i", "A", m(30), end), ("S", "i", "A", m(30), m(40))]]
+    prints = [[("S", "i", "A", m(1), 1), ("S", "i", "B", m(1), 2)], [("S", "i", "A", m(12), 3), ("S", "i", "A", m(16), 4), ("S", "i", "B", m(11), 5), ("S", "i", "C", m(11), 6)], [("S", "i", "A", m(14), 7), ("S", "i", "A", m(35), 8), ("S", "i", "A", m(41), 9), ("S", "i", "B", m(500), 10)]]
+    p_schema, r_schema = "venue string, instrument string, contract_id string, trade_time_utc timestamp_ntz, n long", "venue string, instrument string, contract_id string, range_start timestamp_ntz, range_end timestamp_ntz"
+    passed = live.drain(live.gate_with_changes(in_files(spark, tmp_path, "p", prints, p_schema), in_files(spark, tmp_path, "r", ranges, r_schema)), "gate")
+    final = [("S", "i", "A", m(0), m(15)), ("S", "i", "A", m(30), m(40)), ("S", "i", "B", m(10), None)]
+    batch = live.print_gate(spark.createDataFrame([r for b in prints for r in b], p_schema), spark.createDataFrame(final, r_schema))
+    assert sorted(r["n"] for r in passed.collect()) == sorted(r["n"] for r in batch.collect()) == [1, 3, 5, 7, 8, 10]
+
+
 def test_a_gate_reaches_as_far_as_its_ranges(spark):
     from barloom.streaming import tape as live
 
