@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.contracts import typical_price
 from ..functions.market_time import Calendar
+from .frames import framed
 from .recurrence import Derive, Smooth, scan, scan_blocks
 from .series import BLOCK_ROWS, RUN, SERIES, over_run, rows_before, runs_in_blocks, with_runs
 
@@ -20,6 +21,7 @@ CATALOGUE = [
     ("atr", 14), ("rsi", 14), ("adx", 14), ("plus_di", 14), ("minus_di", 14), ("sma", 20), ("ema", 20), ("macd", 26),
     ("macd_signal", 26), ("macd_histogram", 26), ("vwap", 1), ("bb_middle", 20), ("bb_upper", 20), ("bb_lower", 20), ("vwap_rolling", 20),
 ]
+_FRAMES = ("sma", "bb", "vwap", "vwap_rolling")
 _FAMILY = {"bb_middle": "bb", "bb_upper": "bb", "bb_lower": "bb", "macd_signal": "macd", "macd_histogram": "macd", "plus_di": "di", "minus_di": "di", "adx": "di"}
 
 
@@ -119,21 +121,18 @@ def wide(bars: DataFrame, families: list[tuple[str, int]], calendar: Calendar |
     """Bars with run_id and the columns of all families asked: one exchange by series, its windows, and one pass for all recurrences.
 
     That suits many series. With `block_rows` recurrences are computed by blocks
-    of so many bars, so that one long series is spread over tasks too; families
-    that are frames of rows (sma, bb, vwap, vwap_rolling) have no such form.
+    of so many bars and frames by chunks of so many, so that one long series is
+    spread over tasks too, and a frame costs the same for any period.
     """
-    framed = [f for f, _ in families if f in ("sma", "bb", "vwap", "vwap_rolling")]
     if block_rows:
-        if framed:
-            raise ValueError(f"{framed[0]} is not computed by blocks")
-        return _in_blocks(bars, families, block_rows)
+        return _in_blocks(bars, families, calendar, block_rows)
     rows = with_runs(bars).withColumn("_n", F.row_number().over(over_run()))
     steps: list[Smooth | Derive] = []
     needs: set[str] = set()
     if any(f == "vwap" for f, _ in families):
         rows = rows.withColumn("trade_date", calendar.trade_date("bucket_start"))
     for family, n in families:
-        if family in ("sma", "bb", "vwap", "vwap_rolling"):
+        if family in _FRAMES:
             rows = rows.withColumns(_framed(family, n, calendar))
         else:
             more, moves = _steps(family, n)
@@ -147,12 +146,20 @@ def wide(bars: DataFrame, families: list[tuple[str, int]], calendar: Calendar |
     return rows.drop("_n", *needs, *[s.name for s in steps if s.name.startswith("_")])
 
 
-def _in_blocks(bars: DataFrame, families: list[tuple[str, int]], block_rows: int) -> DataFrame:
-    made = [_steps(family, n) for family, n in families]
+def _in_blocks(bars: DataFrame, families: list[tuple[str, int]], calendar: Calendar | None, block_rows: int) -> DataFrame:
+    made = [_steps(family, n) for family, n in families if family not in _FRAMES]
     steps, needs = [s for x, _ in made for s in x], set().union(*[x for _, x in made])
     moves = _moves(_before)
-    rows = runs_in_blocks(bars, block_rows, ("close", "high", "low")).withColumns({k: moves[k] for k in sorted(needs)})
-    rows = scan_blocks(rows.drop("before"), RUN, "block", "bucket_start", steps)
+    rows = runs_in_blocks(bars, block_rows, ("close", "high", "low"))
+    frames = [(family, n) for family, n in families if family in _FRAMES and family != "vwap"]
+    if frames:
+        rows = framed(rows, frames, block_rows)
+    for family, n in families:
+        if family == "vwap":  # a run's session is bounded by a day
+            rows = rows.withColumn("trade_date", calendar.trade_date("bucket_start")).withColumns(_framed(family, n, calendar))
+    rows = rows.withColumns({k: moves[k] for k in sorted(needs)}).drop("before")
+    if steps:
+        rows = scan_blocks(rows, RUN, "block", "bucket_start", steps)
     return rows.drop("block", *needs, *[s.name for s in steps if s.name.startswith("_")])
 
 
@@ -160,13 +167,13 @@ def _one(bars: DataFrame, family: str, n: int, columns: dict[str, str], calendar
     return wide(bars, [(family, n)], calendar, block_rows).withColumnsRenamed({f"{k}_{n}": v for k, v in columns.items()})
 
 
-def sma(bars: DataFrame, n: int = 20) -> DataFrame:
-    return _one(bars, "sma", n, {"sma": "value"})
+def sma(bars: DataFrame, n: int = 20, block_rows: int | None = BLOCK_ROWS) -> DataFrame:
+    return _one(bars, "sma", n, {"sma": "value"}, block_rows=block_rows)
 
 
-def bollinger(bars: DataFrame, n: int = 20) -> DataFrame:
+def bollinger(bars: DataFrame, n: int = 20, block_rows: int | None = BLOCK_ROWS) -> DataFrame:
     """Columns middle, upper and lower: the mean and two population deviations around it."""
-    return _one(bars, "bb", n, {"bb_middle": "middle", "bb_upper": "upper", "bb_lower": "lower"})
+    return _one(bars, "bb", n, {"bb_middle": "middle", "bb_upper": "upper", "bb_lower": "lower"}, block_rows=block_rows)
 
 
 def ema(bars: DataFrame, n: int = 20, block_rows: int | None = BLOCK_ROWS) -> DataFrame:
@@ -197,8 +204,8 @@ def vwap(bars: DataFrame, calendar: Calendar) -> DataFrame:
     return _one(bars, "vwap", 1, {"vwap": "value"}, calendar)
 
 
-def vwap_rolling(bars: DataFrame, n: int = 20) -> DataFrame:
-    return _one(bars, "vwap_rolling", n, {"vwap_rolling": "value"})
+def vwap_rolling(bars: DataFrame, n: int = 20, block_rows: int | None = BLOCK_ROWS) -> DataFrame:
+    return _one(bars, "vwap_rolling", n, {"vwap_rolling": "value"}, block_rows=block_rows)
 
 
 def heikin_ashi(bars: DataFrame, block_rows: int | None = BLOCK_ROWS) -> DataFrame:

@@ -7,29 +7,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.market_time import plus_minutes
+from ..sources.storage import stored
+from .slices import running_max, running_sum
+
+
+def _reached(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """Intervals that are not empty, with `_reach`, the latest end of those before them, and the day of their start; a stored table."""
+    known = rows.where(F.col(start) < F.col(end)).withColumn("_piece", F.to_date(start))
+    return stored(running_max(known, keys, "_piece", [start, end], "_reach", F.col(end), before=True), "reaches")
 
 
 def union(rows: DataFrame, keys: list[str], start: str = "range_start", end: str = "range_end") -> DataFrame:
-    """Overlapping and touching intervals of each key as one; empty ones are left out."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    known = rows.where(F.col(start) < F.col(end))
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    islands = known.withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+    """Overlapping and touching intervals of each key as one; empty ones are left out.
+
+    A key's intervals meet in one task by the day of their start only; what the
+    days before reach, and where the island that goes on began, is carried.
+    """
+    reached = _reached(rows, keys, start, end)
+    opened = F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach")), F.col(start))
+    # starts ascend, so the island of a row is the latest start that opened one
+    islands = running_max(reached, keys, "_piece", [start, end], "_island", opened)
+    return islands.groupBy(*keys, F.col("_island").alias(start)).agg(F.max(end).alias(end))
 
 
 def complement(rows: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
     """What of each window (keys, window_start, window_end) no interval covers.
 
-    `rows` has the window's columns too: the intervals that touch it.
+    `rows` has the window's columns too: the intervals that touch it. A gap lies
+    between what is reached and the next start, by days as in `union`, and after
+    the last end.
     """
     w_keys = [*keys, "window_start", "window_end"]
     clipped = rows.select(*w_keys, F.greatest("range_start", "window_start").alias("range_start"), F.least("range_end", "window_end").alias("range_end"))
-    merged = union(clipped, w_keys)
-    w = Window.partitionBy(*w_keys).orderBy("range_start")
-    after = merged.select(*w_keys, F.col("range_end").alias("gap_start"), F.coalesce(F.lead("range_start").over(w), F.col("window_end")).alias("gap_end"))
-    first = windows.join(merged.groupBy(*w_keys).agg(F.min("range_start").alias("_first")), w_keys, "left").select(*w_keys, F.col("window_start").alias("gap_start"), F.coalesce("_first", "window_end").alias("gap_end"))
-    return first.unionByName(after).where("gap_start < gap_end")
+    reached = _reached(clipped, w_keys, "range_start", "range_end")
+    inside = reached.select(*w_keys, F.coalesce("_reach", "window_start").alias("gap_start"), F.col("range_start").alias("gap_end"))
+    ends = reached.groupBy(*w_keys).agg(F.max("range_end").alias("_last"))
+    after = windows.join(ends, w_keys, "left").select(*w_keys, F.coalesce("_last", "window_start").alias("gap_start"), F.col("window_end").alias("gap_end"))
+    return inside.unionByName(after).where("gap_start < gap_end")
 
 
 def by_day(rows: DataFrame, start: str, end: str, last: Column) -> DataFrame:
@@ -52,15 +66,21 @@ def bar_gaps(bars: DataFrame, grid: DataFrame, minutes: int) -> DataFrame:
 
     Candidates are the grid's buckets and stored buckets of unknown contract;
     those stored with a contract are held. A run of missing candidates ends only
-    at a held one, so closed hours inside it do not cut it.
+    at a held one, so closed hours inside it do not cut it. Held buckets are
+    counted by days of a series, with what the days before hold carried.
     """
-    series = bars.select("venue", "instrument").distinct()
-    unknown = bars.where(F.col("contract_id").isNull()).select("venue", "instrument", "bucket_start")
-    candidates = grid.select("bucket_start").crossJoin(F.broadcast(series)).select("venue", "instrument", "bucket_start").unionByName(unknown).distinct()
-    held = bars.where(F.col("contract_id").isNotNull()).select("venue", "instrument", "bucket_start", F.lit(1).alias("held"))
-    w = Window.partitionBy("venue", "instrument").orderBy("bucket_start")
-    rows = candidates.join(held, ["venue", "instrument", "bucket_start"], "left").withColumn("_island", F.sum(F.coalesce("held", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    missing = rows.where("held is null").groupBy("venue", "instrument", "_island")
+    keys = ["venue", "instrument"]
+    series = bars.select(*keys).distinct()
+    unknown = bars.where(F.col("contract_id").isNull()).select(*keys, "bucket_start")
+    # each series meets the grid under its days: an equality key, however many series there are
+    dated = grid.select("bucket_start", F.to_date("bucket_start").alias("_day"))
+    span = dated.agg(F.min("_day").alias("_a"), F.max("_day").alias("_b"))  # one row
+    days = series.crossJoin(F.broadcast(span)).where("_a is not null").select(*keys, F.explode(F.sequence("_a", "_b")).alias("_day"))
+    candidates = days.join(dated, "_day").select(*keys, "bucket_start").unionByName(unknown).distinct()
+    held = bars.where(F.col("contract_id").isNotNull()).select(*keys, "bucket_start", F.lit(1).alias("held"))
+    rows = stored(candidates.join(held, [*keys, "bucket_start"], "left").withColumn("_day", F.to_date("bucket_start")), "candidates")
+    rows = running_sum(rows, keys, "_day", ["bucket_start"], "_island", F.col("held"))
+    missing = rows.where("held is null").groupBy(*keys, "_island")
     return missing.agg(F.min("bucket_start").alias("range_start"), plus_minutes(F.max("bucket_start"), minutes).alias("range_end"), F.count("*").alias("buckets")).drop("_island")
 
 

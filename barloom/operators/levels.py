@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.market_time import Calendar, let, market_date, plus_minutes
+from .frames import CHUNK, chunked, extremes, numbered
 from .indicators import heikin_ashi
-from .series import RUN, SERIES, over_run, with_runs
+from .series import RUN, SERIES, over_run, runs_in_blocks, with_runs
 
 KEYS = ["venue", "instrument", "resolution_minutes"]
 ZONE = ["bottom", "top", "kind", "formed_at", "touches", "significance", "period"]
@@ -32,20 +33,35 @@ class Options:
     weights: dict[str, float] = field(default_factory=dict)
 
 
-def pivot_prices(bars: DataFrame, source: str) -> DataFrame:
-    """Adds p_high and p_low: the prices among which pivots are sought."""
+def pivot_prices(bars: DataFrame, source: str, block_rows: int | None = None) -> DataFrame:
+    """Adds run_id, with `block_rows` also block, and p_high and p_low: the prices among which pivots are sought."""
+    runs = (lambda b: runs_in_blocks(b, block_rows)) if block_rows else with_runs
     if source == "HighLow":
-        return with_runs(bars).withColumn("p_high", F.col("high")).withColumn("p_low", F.col("low"))
+        return runs(bars).withColumn("p_high", F.col("high")).withColumn("p_low", F.col("low"))
     if source == "Body":
-        return with_runs(bars).withColumn("p_high", F.greatest("open", "close")).withColumn("p_low", F.least("open", "close"))
+        return runs(bars).withColumn("p_high", F.greatest("open", "close")).withColumn("p_low", F.least("open", "close"))
     if source == "HeikinAshiBody":
-        rows = heikin_ashi(bars, block_rows=None)  # what comes after needs whole runs too
+        rows = heikin_ashi(bars, block_rows=block_rows)
+        if block_rows:  # its run numbers are the same
+            rows = runs_in_blocks(rows.drop("run_id"), block_rows)
         return rows.withColumn("p_high", F.round("body_high", 8)).withColumn("p_low", F.round("body_low", 8)).drop("ha_open", "ha_close", "body_high", "body_low")
     raise ValueError(f"unknown pivot source {source}")
 
 
-def swing_pivots(bars: DataFrame, options: Options = Options()) -> DataFrame:
-    """(run keys, bucket_start, price, kind, prominence): bars strictly above, else strictly below, all around them."""
+def _around_by_chunks(bars: DataFrame, options: Options, block_rows: int) -> DataFrame:
+    """Bars with `_high` and `_low`, the extremes around them, by chunks of a run: the cost does not depend on how far is looked."""
+    # what a bar sees ahead is the frame that ends so far ahead
+    before, after = options.left, options.right
+    rows = chunked(numbered(pivot_prices(bars, options.source, block_rows)), before + after, after, block_rows)
+    rows = extremes(rows, before, "p_high", "p_low", ("_lh", "_ll"))
+    rows = extremes(rows, after, "p_high", "p_low", ("_rh", "_rl"))
+    w = Window.partitionBy(*CHUNK).orderBy("_n")
+    last = F.lead("_n", after).over(w).isNotNull()  # bars too near the end of their run see no whole frame
+    rows = rows.withColumns({"_high": F.greatest(F.lag("_lh").over(w), F.lead("_rh", after).over(w)), "_low": F.least(F.lag("_ll").over(w), F.lead("_rl", after).over(w)), "_whole": last})
+    return rows.where(F.col("_own") & F.col("_whole") & (F.col("_n") > before))
+
+
+def _around(bars: DataFrame, options: Options) -> DataFrame:
     w = over_run()
     around = (w.rowsBetween(-options.left, -1), w.rowsBetween(1, options.right))
     rows = pivot_prices(bars, options.source)
@@ -53,7 +69,15 @@ def swing_pivots(bars: DataFrame, options: Options = Options()) -> DataFrame:
     low = F.least(*[F.min("p_low").over(x) for x in around])
     whole = Window.partitionBy(*RUN)
     rows = rows.withColumn("_high", high).withColumn("_low", low).withColumn("_n", F.row_number().over(w)).withColumn("_count", F.count("*").over(whole))
-    inside = rows.where((F.col("_n") > options.left) & (F.col("_n") <= F.col("_count") - options.right))
+    return rows.where((F.col("_n") > options.left) & (F.col("_n") <= F.col("_count") - options.right))
+
+
+def swing_pivots(bars: DataFrame, options: Options = Options(), block_rows: int | None = None) -> DataFrame:
+    """(run keys, bucket_start, price, kind, prominence): bars strictly above, else strictly below, all around them.
+
+    With `block_rows`, by chunks of a run: for long runs, and for looking far.
+    """
+    inside = _around_by_chunks(bars, options, block_rows) if block_rows else _around(bars, options)
     is_high, is_low = F.col("p_high") > F.col("_high"), F.col("p_low") < F.col("_low")
     return inside.where(is_high | is_low).select(
         *RUN,

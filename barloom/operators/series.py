@@ -62,8 +62,10 @@ def runs_in_blocks(bars: DataFrame, block_rows: int = BLOCK_ROWS, carried: tuple
     return rows.withColumn("run_id", within).transform(with_columns, counts, BLOCK).withColumn("run_id", F.col("run_id") + F.col("_n")).drop("_n").withColumn("before", F.when(F.col("_changed") == 0, F.col("before"))).drop("_changed")
 
 
-def contract_segments(bars: DataFrame) -> DataFrame:
-    return with_runs(bars).groupBy(*RUN, "contract_id").agg(F.min("bucket_start").alias("first_bucket"), F.max("bucket_start").alias("last_bucket"), F.count("*").alias("bars"))
+def contract_segments(bars: DataFrame, block_rows: int | None = BLOCK_ROWS) -> DataFrame:
+    """First and last bar and number of bars of each run; runs are found by blocks, or with None in one window a series."""
+    runs = runs_in_blocks(bars, block_rows) if block_rows else with_runs(bars)
+    return runs.groupBy(*RUN, "contract_id").agg(F.min("bucket_start").alias("first_bucket"), F.max("bucket_start").alias("last_bucket"), F.count("*").alias("bars"))
 
 
 def newest_segment(bars: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions.contracts import expiry_rank
 from ..functions.market_time import Calendar, align_down
+from ..sources.storage import stored
+from .slices import running_sum
 
 VALUE_AREA = 0.70
 
@@ -107,14 +109,15 @@ def volume_front(volumes: DataFrame) -> DataFrame:
     )
 
 
-def front_flip(prints: DataFrame, front: DataFrame, calendar: Calendar) -> DataFrame:
+def front_flip(prints: DataFrame, front: DataFrame, calendar: Calendar, slice_seconds: int = 600) -> DataFrame:
     """The first instant of the changeover session at which the new contract's running volume exceeds the old one's."""
     f = front.where("changed_on is not null").select("venue", "instrument", F.col("changed_on").alias("trade_date"), "from_contract", "to_contract")
     rows = prints.where(F.col("size") > 0).withColumn("trade_date", calendar.trade_date("trade_time_utc")).join(f, ["venue", "instrument", "trade_date"])
     signed = F.when(F.col("contract_id") == F.col("to_contract"), F.col("size")).when(F.col("contract_id") == F.col("from_contract"), -F.col("size"))
     netted = rows.withColumn("_lead", signed).where("_lead is not null").groupBy("venue", "instrument", "trade_date", "from_contract", "to_contract", "trade_time_utc").agg(F.sum("_lead").alias("_lead"))
-    w = Window.partitionBy("venue", "instrument").orderBy("trade_time_utc").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = netted.withColumn("_sum", F.sum("_lead").over(w))
+    # one row an instant of the sessions that turned, in slices: an instrument's prints do not meet in one task
+    netted = stored(netted.withColumn("_piece", F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("trade_time_utc")) / slice_seconds)), "leads")
+    ahead = running_sum(netted, ["venue", "instrument"], "_piece", ["trade_time_utc"], "_sum", F.col("_lead"))
     return ahead.groupBy("venue", "instrument", F.col("trade_date").alias("changed_on"), "from_contract", "to_contract").agg(F.min(F.when(F.col("_sum") > 0, F.col("trade_time_utc"))).alias("flipped_at"))
 
 

@@ -598,7 +598,7 @@ def heikin_ashi(spark, sf_dir):
 
 @query
 def swing_pivots(spark, sf_dir):
-    rows = levels.swing_pivots(samples.bars(spark, sf_dir), SMALL)
+    rows = levels.swing_pivots(samples.bars(spark, sf_dir), SMALL, series.BLOCK_ROWS)
     return rows.select("instrument", "bucket_start", "price", "kind", "prominence")
 
 

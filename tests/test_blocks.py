@@ -48,8 +48,6 @@ def test_indicators_by_blocks(spark, block_rows):
     whole, blocks = indicators.wide(bars, families), indicators.wide(bars, families, block_rows=block_rows)
     assert sorted(whole.columns) == sorted(blocks.columns)
     same(table(blocks, columns), table(whole, columns))
-    with pytest.raises(ValueError):
-        indicators.wide(bars, [("sma", 20)], block_rows=block_rows)
 
 
 @pytest.mark.parametrize("share", [0.0, 0.01, 0.3])
