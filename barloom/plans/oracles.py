@@ -526,6 +526,8 @@ SELECT query_id, rank, owner_id, round(s, 6) AS similarity FROM (SELECT *, row_n
     "retention_plan": with_(TRADES, RECEIPTS, PLAN) + "SELECT instrument, contract_id, day, row_count, source_rows, action FROM plan UNION ALL SELECT instrument, contract_id, day, NULL, source_rows, 'keep' FROM src WHERE day = DATE '2024-01-05'",
     "retention_apply": with_(TRADES, RECEIPTS, PLAN) + "SELECT t.instrument, t.contract_id, trade_time_utc, sequence, price, size FROM trades t LEFT JOIN (SELECT * FROM plan WHERE action = 'delete') p ON p.instrument = t.instrument AND p.contract_id = t.contract_id AND p.day = CAST(trade_time_utc AS DATE) WHERE p.day IS NULL OR recorded_at > exported_at",
     "late_rows": with_(TRADES, RECEIPTS) + "SELECT t.instrument, t.contract_id, day, count(*) AS late, max(recorded_at) AS last_recorded FROM trades t JOIN rec r ON r.instrument = t.instrument AND r.contract_id = t.contract_id AND r.day = CAST(trade_time_utc AS DATE) WHERE recorded_at > exported_at GROUP BY ALL",
+    "late_rows_stream": with_(TRADES, "ld AS (SELECT *, CASE WHEN sequence % 50 = 0 THEN 2 ELSE least((day(trade_time_utc) - 1) // 10, 2) END AS l FROM trades)")
+    + "SELECT instrument, contract_id, CAST(trade_time_utc AS DATE) AS day, count(*) AS late, min(trade_time_utc) AS first_at, max(l) AS last_batch FROM ld a WHERE CAST(trade_time_utc AS DATE) + INTERVAL 1 DAY + INTERVAL 10 MINUTE <= (SELECT max(b.trade_time_utc) FROM ld b WHERE b.instrument = a.instrument AND b.contract_id = a.contract_id AND b.l < a.l) GROUP BY ALL",
     "source_live_prints": with_(TRADES) + "SELECT instrument, contract_id, trade_time_utc, sequence, price, size, direction FROM trades",
     "stream_tape": with_(TRADES) + "SELECT instrument, contract_id, trade_time_utc, price, size, row_number() OVER (PARTITION BY instrument, contract_id ORDER BY trade_time_utc, sequence) AS sequence FROM trades WHERE sequence % 97 <> 0",
     "stream_coverage": with_(TRADES, MAPPED_CHANGES) + "SELECT instrument, t AS range_start, na AS range_end FROM nx WHERE kind = 'connect' AND nk = 'drop' AND t < na",

@@ -1123,6 +1123,25 @@ def late_rows(spark, sf_dir):
     return maintenance.late_rows(samples.trades(spark, sf_dir), samples.export_receipts(spark, sf_dir)).drop("venue")
 
 
+def _arrivals(spark, sf_dir):
+    """Prints as they come: most in ten-day loads, every fiftieth only in the last one."""
+    at = F.col("trade_time_utc")
+    return samples.trades(spark, sf_dir).drop("recorded_at").withColumn("load", F.when(F.col("sequence") % 50 == 0, 2).otherwise(F.least(F.floor((F.dayofmonth(at) - 1) / 10), F.lit(2))))
+
+
+@query
+def late_rows_stream(spark, sf_dir):
+    """A stream that is started anew for each load that has come."""
+    source, out = scratch(spark, "arrivals"), scratch(spark, "days")
+    rows = _arrivals(spark, sf_dir)
+    for load in range(3):
+        part = rows.where(F.col("load") == load).drop("load")
+        part.write.parquet(f"{source}/load{load}")
+        stream = spark.readStream.schema(part.schema).option("recursiveFileLookup", True).parquet(source)
+        _, late = live.stream_days(stream, out)
+    return live.days_to_export(late).drop("venue")
+
+
 @query
 def recorder_health(spark, sf_dir):
     now = ntz("2024-01-24 18:00:00")

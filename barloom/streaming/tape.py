@@ -75,6 +75,48 @@ def stream_tape(prints: DataFrame) -> DataFrame:
     return spark.read.schema(f"{schema}, batch int").parquet(f"{path}/rows").drop("batch")
 
 
+DAYS = "venue string, instrument string, contract_id string, newest timestamp_ntz"
+
+
+def stream_days(prints: DataFrame, path: str, delay_minutes: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(rows on time, late rows) of a stream, under `path`, where a later call goes on with what has come since.
+
+    A contract's day is closed, and may have been exported, once a print of an
+    earlier batch lies `delay_minutes` behind the day's end; a row of a closed day
+    is late. Each row is in one of the two, whatever its columns hold; one
+    without an instant is on time. Every batch writes its rows once, in files
+    of its number, and beside them the newest instant of each contract so far,
+    one row a contract: a batch that runs again replaces itself, and none reads
+    what came before. `prints` must not have columns batch, late or day.
+    """
+    if {"batch", "late", "day"} & set(prints.columns):
+        raise ValueError("batch, late and day are columns of the result")
+    spark = prints.sparkSession
+    # a stream that brings nothing leaves this
+    spark.createDataFrame([], prints.schema).write.mode("overwrite").parquet(f"{path}/rows/batch=-1/late=false")
+
+    def write(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        before = session.read.schema(DAYS).parquet(f"{path}/newest/batch={number - 1}") if number else session.createDataFrame([], DAYS)
+        known = before.withColumnsRenamed({c: f"_{c}" for c in (*CONTRACT, "newest")})
+        closed = F.date_add(F.to_date("trade_time_utc"), 1).cast("timestamp_ntz") + F.make_dt_interval(mins=F.lit(delay_minutes)) <= F.col("_newest")
+        rows = batch.join(known, [batch[c].eqNullSafe(known[f"_{c}"]) for c in CONTRACT], "left").select(*[batch[c] for c in batch.columns], F.coalesce(closed, F.lit(False)).alias("late"))
+        rows.write.mode("overwrite").partitionBy("late").parquet(f"{path}/rows/batch={number}")
+        written = session.read.schema(rows.schema).parquet(f"{path}/rows/batch={number}").select(*CONTRACT, F.col("trade_time_utc").alias("newest"))
+        newest = before.unionByName(written).groupBy(*CONTRACT).agg(F.max("newest").alias("newest"))
+        newest.write.mode("overwrite").parquet(f"{path}/newest/batch={number}")
+
+    prints.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in prints.schema], "batch int", "late boolean"])
+    rows = spark.read.schema(schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    return rows.where("not late").drop("late", "batch"), rows.where("late").drop("late").withColumn("day", F.to_date("trade_time_utc"))
+
+
+def days_to_export(late: DataFrame) -> DataFrame:
+    """Days that late rows of `stream_days` came to: they have to be exported again, with the last batch that touched them."""
+    return late.groupBy(*CONTRACT, "day").agg(F.count("*").alias("late"), F.min("trade_time_utc").alias("first_at"), F.max("batch").cast("long").alias("last_batch"))
+
+
 def coverage_batch(changes: DataFrame) -> DataFrame:
     """Ranges of listening from connects and drops (venue, instrument, at, kind, event_id) in one pass.
 

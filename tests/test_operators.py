@@ -373,6 +373,37 @@ def test_sequences_count_on_from_batch_to_batch(spark, tmp_path):
     assert len(got) == 12 and sorted(got) == sorted((c, n) for c, most in counts.items() for n in range(1, most + 1))
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_late_rows_go_aside_and_none_is_lost(spark, tmp_path, seed):
+    """Rows of any order in any batches, nulls and repeated rows among them, against a plain loop; the stream stops and goes on."""
+    from datetime import datetime
+
+    draw = random.Random(seed)
+    batches = [[("S", "i", draw.choice(["A", "B", None]), draw.choice([None, datetime(2024, 3, 1) + timedelta(minutes=draw.randrange(60 * 24 * 4))]) if draw.random() < 0.2 else datetime(2024, 3, 1) + timedelta(minutes=draw.randrange(60 * 24 * (b + 1))), b, draw.randrange(3)) for _ in range(12)] for b in range(4)]
+    schema = "venue string, instrument string, contract_id string, trade_time_utc timestamp_ntz, n long, size long"
+    newest, want = {}, {"main": [], "late": []}
+    for batch in batches:
+        for row in batch:
+            t, mark = row[3], newest.get(row[2])
+            closed = t is not None and mark is not None and datetime(t.year, t.month, t.day) + timedelta(days=1, minutes=10) <= mark
+            want["late" if closed else "main"].append(row)
+        for row in batch:
+            if row[3] is not None and (row[2] not in newest or newest[row[2]] < row[3]):
+                newest[row[2]] = row[3]
+    out, source = f"file://{tmp_path}/out", spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1)
+    for upto in (2, 4):  # the second call goes on behind the first
+        in_files(spark, tmp_path, f"p/{upto}", batches[upto - 2 : upto], schema)
+        main, late = live.stream_days(source.parquet(f"file://{tmp_path}/p"), out)
+    plain = lambda df: sorted(repr(tuple(r[c] for c in ("venue", "instrument", "contract_id", "trade_time_utc", "n", "size"))) for r in df.collect())
+    assert plain(main) == sorted(map(repr, want["main"])) and plain(late) == sorted(map(repr, want["late"])) and want["late"]
+    assert sum(r["late"] for r in live.days_to_export(late).collect()) == len(want["late"])
+    (tmp_path / "none").mkdir()
+    main, late = live.stream_days(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/none"), f"file://{tmp_path}/empty")
+    assert main.count() == late.count() == 0
+    with pytest.raises(ValueError):
+        live.stream_days(source.parquet(f"file://{tmp_path}/p").withColumn("late", F.lit(True)), out)
+
+
 @pytest.mark.parametrize("block", [1, 7, 1000])
 def test_neighbours_are_the_same_in_any_blocks_of_queries(spark, block):
     draw = random.Random(3)
