@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..sources.storage import stored
+from .slices import running_max
 
 KEYS = ["venue", "instrument", "resolution_minutes"]
 
@@ -21,27 +23,24 @@ def latest_values(values: DataFrame, bars: DataFrame, as_of: Column) -> DataFram
     return newest.select(*KEYS, "indicator", "period", "x.bucket_start", "x.value", "x.contract_id")
 
 
-def values_asof(asks: DataFrame, values: DataFrame, bars: DataFrame) -> DataFrame:
-    """Backward as-of join: for each ask (ask_id, venue, instrument, resolution_minutes, indicator, period, as_of_utc) its newest value.
+def values_asof(asks: DataFrame, values: DataFrame, bars: DataFrame, slice_minutes: int = 60) -> DataFrame:
+    """Backward as-of read: each ask (ask_id, venue, instrument, resolution_minutes, indicator, period, as_of_utc) with its newest value.
 
-    An ask and a value meet under a UTC day, so the join has an equality key and
-    no series comes to one task whole. A day holds its own values and the last
-    one of the days before, which is carried to the day of the next value, or of
-    the last ask; so an ask is compared with one day's values and not with all of
-    them, however old its value is. An ask without a value has no row.
+    Values and asks of a key are merged in time, in slices: an ask takes the
+    newest value before it in its slice, else the one carried from the slices
+    before, however old it is. What is handled is a row for each value, for each
+    ask and for each slice that holds one. A value of the ask's own instant
+    counts; an ask without a value, or without an instant, has no row.
     """
     key = [*KEYS, "indicator", "period"]
     held = values.join(bars.select(*KEYS, "bucket_start", "contract_id"), [*KEYS, "bucket_start"])
-    own = held.select(*key, F.to_date("bucket_start").alias("_day"), F.struct("bucket_start", "value", "contract_id").alias("x"))
-    last = own.groupBy(*key, "_day").agg(F.max("x").alias("x"))
-    after = F.lead("_day").over(Window.partitionBy(*key).orderBy("_day"))
-    final = asks.groupBy(*key).agg(F.max(F.to_date("as_of_utc")).alias("_final"))
-    spans = last.withColumn("_after", after).join(final, key).withColumn("_until", F.least("_after", "_final")).where("_until > _day")
-    carried = spans.select(*key, F.explode(F.sequence(F.date_add("_day", 1), F.col("_until"))).alias("_day"), "x")
-    days = own.unionByName(carried)
-    hit = asks.withColumn("_day", F.to_date("as_of_utc")).join(days, [*key, "_day"]).where(F.col("x.bucket_start") <= F.col("as_of_utc"))
-    best = hit.groupBy("ask_id").agg(F.max("x").alias("x"))
-    return asks.join(best, "ask_id").select(*asks.columns, "x.bucket_start", "x.value", "x.contract_id")
+    own = held.select(*key, F.col("bucket_start").alias("_at"), F.struct("bucket_start", "value", "contract_id").alias("_x"), F.lit(0).alias("_asks"))
+    asked = asks.where("as_of_utc is not null").select(*key, F.col("as_of_utc").alias("_at"), F.lit(1).alias("_asks"), F.struct(*asks.columns).alias("_ask"))
+    minutes = F.timestamp_diff("MINUTE", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("_at"))
+    merged = stored(own.unionByName(asked, allowMissingColumns=True).withColumn("_piece", F.floor(minutes / slice_minutes)), "merged")
+    # values begin with their time, so the largest so far is the newest
+    found = running_max(merged, key, "_piece", ["_at", "_asks"], "_found", F.col("_x")).where("_asks = 1 and _found is not null")
+    return found.select("_ask.*", "_found.bucket_start", "_found.value", "_found.contract_id")
 
 
 def session_values_asof(values: DataFrame, sessions: DataFrame, as_of: Column) -> DataFrame:

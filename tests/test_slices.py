@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from test_blocks import bars_of, table
 
 from barloom.functions.market_time import SAMPLE_CALENDAR
-from barloom.operators import frames, indicators, intervals, levels, series, slices
+from barloom.operators import asof, frames, indicators, intervals, levels, series, slices
 
 START = datetime(2024, 3, 1)
 
@@ -84,6 +84,25 @@ def test_windows_hold_a_piece_only(spark):
     assert keys and all("_piece" in line.split("], [")[-2] for line in keys), keys
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_an_as_of_read_is_a_merge_in_time(spark, seed):
+    r = random.Random(seed)
+    key = lambda: ("v", r.choice(["a", "b"]), 60, "sma", r.choice([5, 20]))
+    at = lambda days: START + timedelta(minutes=r.randrange(0, 60 * 24 * days, 20))
+    values = list({(k := key(), t := at(20)): (*k, t, r.random()) for _ in range(60)}.values())
+    asks = [(n, *key(), at(400) if n % 3 else at(20)) for n in range(120)] + [(120, *key(), None)]
+    v = spark.createDataFrame(values, "venue string, instrument string, resolution_minutes int, indicator string, period int, bucket_start timestamp_ntz, value double").repartition(3)
+    a = spark.createDataFrame(asks, "ask_id int, venue string, instrument string, resolution_minutes int, indicator string, period int, as_of_utc timestamp_ntz").repartition(3)
+    bars = v.where("value < 0.9").select("venue", "instrument", "resolution_minutes", "bucket_start", F.lit("c").alias("contract_id")).distinct()
+    barred = {(x[1], x[5]) for x in values if x[6] < 0.9}
+    want = set()
+    for n, *k, t in asks:
+        before = [(x[5], x[6]) for x in values if list(x[:5]) == k and t is not None and x[5] <= t and (x[1], x[5]) in barred]
+        want |= {(n, *max(before))} if before else set()
+    got = asof.values_asof(a, v, bars)
+    assert {(x["ask_id"], x["bucket_start"], x["value"]) for x in got.collect()} == want and got.count() == len(want) > 50
+
+
 @pytest.mark.parametrize("block_rows", [7, 100, 4096])
 def test_frames_by_chunks(spark, block_rows):
     bars = bars_of(spark, block_rows, 1500)
