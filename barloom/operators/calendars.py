@@ -95,14 +95,29 @@ def expected_grid(dates: DataFrame, calendar: Calendar, minutes: int) -> DataFra
     return rows.where(plus_minutes("bucket_start", minutes) <= F.col("ordinary_close_utc")).where(calendar.is_expected("bucket_start", minutes)).select("trade_date", "bucket_start")
 
 
-def overhangs(bars: DataFrame, dates: DataFrame, calendar: Calendar, sizes: list[int]) -> DataFrame:
-    """For each bar size: does a grid step from a session's open reach over its close, or does the series hold a bar that does?"""
+def _grid_overhangs(dates: DataFrame, calendar: Calendar, sizes: list[int]) -> DataFrame:
+    """(minutes, grid_overhangs): does a step of the size from a session's open reach over its close?"""
     s = product_sessions(dates, calendar).select("trade_date", "open_utc", "ordinary_close_utc", F.explode(F.array(*map(F.lit, sizes))).alias("minutes"))
     n = F.timestamp_diff("MINUTE", F.col("open_utc"), F.col("ordinary_close_utc"))
     steps = s.select("minutes", "open_utc", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / F.col("minutes")).cast("int"))).alias("k"))
     at = plus_minutes("open_utc", (F.col("k") * F.col("minutes")).cast("int"))
-    grid = steps.withColumn("at", at).groupBy("minutes").agg(F.bool_or(~calendar.is_expected("at", F.col("minutes"))).alias("grid_overhangs"))
-    own = bars.groupBy("venue", "instrument", "resolution_minutes").agg(F.bool_or(~calendar.is_expected("bucket_start", F.col("resolution_minutes"))).alias("bars_overhang"))
+    return steps.withColumn("at", at).groupBy("minutes").agg(F.bool_or(~calendar.is_expected("at", F.col("minutes"))).alias("grid_overhangs"))
+
+
+def _bars_overhang(bars: DataFrame, calendar: Calendar) -> DataFrame:
+    return bars.groupBy("venue", "instrument", "resolution_minutes").agg(F.bool_or(~calendar.is_expected("bucket_start", F.col("resolution_minutes"))).alias("bars_overhang"))
+
+
+def series_overhangs(bars: DataFrame, dates: DataFrame, calendar: Calendar, sizes: list[int]) -> DataFrame:
+    """(venue, instrument, resolution_minutes, overhangs) of each series: its grid's steps or its own bars; a size that is not among `sizes` goes by its bars."""
+    grid = _grid_overhangs(dates, calendar, sizes).withColumnRenamed("minutes", "resolution_minutes")
+    own = _bars_overhang(bars, calendar).join(grid, "resolution_minutes", "left")
+    return own.select("venue", "instrument", "resolution_minutes", (F.coalesce("grid_overhangs", F.lit(False)) | F.coalesce("bars_overhang", F.lit(False))).alias("overhangs"))
+
+
+def overhangs(bars: DataFrame, dates: DataFrame, calendar: Calendar, sizes: list[int]) -> DataFrame:
+    """For each bar size: does a grid step from a session's open reach over its close, or does the series hold a bar that does?"""
+    grid, own = _grid_overhangs(dates, calendar, sizes), _bars_overhang(bars, calendar)
     return grid.join(own, F.col("minutes") == F.col("resolution_minutes"), "left").select(
         F.col("minutes").alias("resolution_minutes"), "instrument", (F.col("grid_overhangs") | F.coalesce("bars_overhang", F.lit(False))).alias("overhangs")
     )

@@ -259,6 +259,9 @@ def levels_session(bars: DataFrame, scales: DataFrame, calendar: Calendar, optio
 
 
 VOLUME_KINDS = ("poc", "vah", "val", "traded")
+METHODS = ("swing", "session", *[f"pivot-{f}" for f in FORMULAS], *[f"volume-{k}" for k in VOLUME_KINDS])
+#: Why a method gives nothing.
+NO_LEVELS, NO_TAPE, NARROWED, OVERHANG = "no levels", "no tape", "tape narrowed", "refused: buckets overhang a session close"
 
 
 def volume_zones(bars: DataFrame, scales: DataFrame, ladder: DataFrame, area: DataFrame, kinds: tuple[str, ...], options: Options = Options()) -> DataFrame:
@@ -304,6 +307,59 @@ def level_set(bars: DataFrame, scales: DataFrame, calendar: Calendar, ladder: Da
     return zones.withColumn("family", F.element_at(F.split("method", "-"), 1))
 
 
+def _family(method: str) -> str:
+    return method.split("-")[0]
+
+
+def refusals(overhang: DataFrame, tape: DataFrame, methods: tuple[str, ...] = METHODS) -> DataFrame:
+    """(keys, method, reason) of the methods that a series cannot use.
+
+    overhang: keys, overhangs, a row for each series; lines of sessions and prior
+    periods are refused where it holds, as their last bucket holds trades of
+    the time after. tape: venue, instrument, narrowed, the window of tape that
+    the profile is made from; without a row there is none, and a narrowed one
+    would pass off a part's profile as the whole window's.
+    """
+    series = overhang.join(tape.select("venue", "instrument", "narrowed"), ["venue", "instrument"], "left")
+    volume = F.when(F.col("narrowed").isNull(), NO_TAPE).when(F.col("narrowed"), NARROWED)
+    anchored = F.when(F.col("overhangs"), OVERHANG)
+    reasons = {"volume": volume, "session": anchored, "pivot": anchored}
+    asked = [F.struct(F.lit(m).alias("method"), reasons[_family(m)].alias("reason")) for m in methods if _family(m) in reasons]
+    if not asked:
+        return series.select(*KEYS, F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("reason")).where("method is not null")
+    return series.select(*KEYS, F.explode(F.array(*asked)).alias("x")).select(*KEYS, "x.*").where("reason is not null")
+
+
+def allowed(zones: DataFrame, refused: DataFrame) -> DataFrame:
+    """Zones of the methods that their series may use: what a level set reports and a confluence scores."""
+    return zones.join(refused, [*KEYS, "method"], "left_anti")
+
+
+def in_order(zones: DataFrame) -> DataFrame:
+    """Adds the midpoint of each zone and its position in its series: by midpoint, then bottom, then method."""
+    rows = zones.withColumn("midpoint", (F.col("bottom") + F.col("top")) / 2)
+    # a series has at most max_levels zones a method
+    order = Window.partitionBy(*KEYS).orderBy(F.round("midpoint", 8), F.round("bottom", 8), "method")
+    return rows.withColumn("position", F.row_number().over(order).cast("long"))
+
+
+def method_report(bars: DataFrame, zones: DataFrame, refused: DataFrame, methods: tuple[str, ...] = METHODS, options: Options = Options()) -> DataFrame:
+    """What each requested method gave to each series: keys, method, family, weight, zones, capped, absence.
+
+    `zones` are those of a level set; those of refused methods do not count.
+    `absence` is the reason of a method without zones: its refusal, else that
+    there are no levels. `capped`: it has as many zones as are kept at most, so
+    there may have been more. A series without bars has no rows.
+    """
+    weights = {k.lower(): float(v) for k, v in options.weights.items()}
+    asked = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(_family(m)).alias("family"), F.lit(weights.get(m.lower(), 1.0)).alias("weight")) for m in methods]))
+    rows = bars.select(*KEYS).distinct().select(*KEYS, asked.alias("m")).select(*KEYS, "m.*")
+    counts = allowed(zones, refused).groupBy(*KEYS, "method").agg(F.count("*").alias("zones"))
+    rows = rows.join(counts, [*KEYS, "method"], "left").join(refused, [*KEYS, "method"], "left").withColumn("zones", F.coalesce("zones", F.lit(0).cast("long")))
+    absence = F.coalesce("reason", F.when(F.col("zones") == 0, NO_LEVELS))
+    return rows.select(*KEYS, "method", "family", "weight", "zones", (F.col("zones") == options.max_levels).alias("capped"), absence.alias("absence"))
+
+
 def confluence(zones: DataFrame, weights: dict[str, float] | None = None, family_discount: bool = True) -> DataFrame:
     """Best score of the clusters of overlapping zones (columns method, family): families add up, methods of one count by their heaviest."""
     w = Window.partitionBy(*KEYS).orderBy("bottom", "top")

@@ -628,3 +628,27 @@ ORACLES |= {
     AND NOT EXISTS (SELECT 1 FROM rm WHERE rm.instrument = b.instrument AND rm.bucket_start = b.bucket_start)""",
 }
 ORACLES |= {"stream_gate_changing": ORACLES["stream_print_gate"], "latest_quote_state": _LATEST}
+
+
+def covered(start: str, name: str) -> str:
+    """Which instruments have tape in the window from `start` to February, and whether it is narrowed."""
+    window = ORACLES["covered_window"].replace("2024-01-08 12:00:00", start).replace("2024-01-22", "2024-02-01")
+    return f"{name} AS (SELECT instrument, narrowed FROM ({window}))"
+
+
+_REASON = "CASE WHEN family = 'volume' THEN CASE WHEN narrowed IS NULL THEN 'no tape' WHEN narrowed THEN 'tape narrowed' END WHEN family IN ('session', 'pivot') AND overhangs THEN 'refused: buckets overhang a session close' END"
+_ASKED = "asked AS (SELECT i.instrument, m.method, m.family, CASE m.method WHEN 'swing' THEN 2.0::DOUBLE WHEN 'volume-poc' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM (SELECT DISTINCT instrument FROM scaled) i, (VALUES " + ", ".join(f"('{m}', '{family}')" for m, (_, family) in METHODS.items()) + ") m(method, family))"
+_OVERHANGS = f"bo AS (SELECT * FROM ({ORACLES['bucket_overhang']}))"
+
+
+def _report(window: str, start: str) -> str:
+    return f"SELECT a.instrument, CAST(60 AS BIGINT) AS resolution_minutes, TIMESTAMP '{start}' AS tape_from, a.method, family, weight, {_REASON} AS reason, coalesce(zn.n, 0) AS n FROM asked a LEFT JOIN {window} w USING (instrument) LEFT JOIN (SELECT instrument AS bi, overhangs FROM bo WHERE resolution_minutes = 60) b ON bi = a.instrument LEFT JOIN zn ON zn.instrument = a.instrument AND zn.method = a.method"
+
+
+ORACLES |= {
+    "level_methods": with_(LEVEL_SET, COVERAGE, covered("2024-01-24", "w1"), covered("2024-01-31 23:30:00", "w2"), _ASKED, _OVERHANGS, "zn AS (SELECT instrument, method, count(*) AS n FROM lset GROUP BY ALL)", f"rp AS ({_report('w1', '2024-01-24')} UNION ALL {_report('w2', '2024-01-31 23:30:00')})")
+    + """SELECT instrument, resolution_minutes, tape_from, method, family, weight, CASE WHEN reason IS NULL THEN n ELSE 0 END AS zones, reason IS NULL AND n = 12 AS capped, coalesce(reason, CASE WHEN n = 0 THEN 'no levels' END) AS absence FROM rp
+  UNION ALL SELECT DISTINCT instrument, CAST(240 AS BIGINT), TIMESTAMP '2024-01-24', method, family, 1.0::DOUBLE, CAST(0 AS BIGINT), false, 'refused: buckets overhang a session close' FROM trades, (VALUES ('session', 'session'), ('pivot-classic', 'pivot')) m(method, family) WHERE (SELECT bool_or(overhangs) FROM bo WHERE resolution_minutes = 240)""",
+    "level_set_ordered": with_(LEVEL_SET, COVERAGE, covered("2024-01-24", "w1"), _ASKED, _OVERHANGS, f"rp AS ({_report('w1', '2024-01-24')})".replace("LEFT JOIN zn ON zn.instrument = a.instrument AND zn.method = a.method", "").replace("coalesce(zn.n, 0)", "0"))
+    + "SELECT instrument, row_number() OVER (PARTITION BY instrument ORDER BY round((bottom + top) / 2, 8), round(bottom, 8), method) AS position, method, round((bottom + top) / 2, 6) AS midpoint FROM lset JOIN rp USING (instrument, method) WHERE reason IS NULL",
+}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -787,6 +789,39 @@ def level_set(spark, sf_dir):
     return z.select("instrument", "method", "kind", F.round("bottom", 6).alias("bottom"), F.round("top", 6).alias("top"), F.round("significance", 6).alias("significance"), "touches")
 
 
+_WEIGHTED = replace(SMALL, weights={"swing": 2.0, "volume-poc": 1.5})
+
+
+def _refused(spark, sf_dir, bars, minutes, start, methods=levels.METHODS):
+    window = intervals.covered_window(samples.tape_coverage(spark, sf_dir), ntz(start), ntz("2024-02-01"))
+    return levels.refusals(calendars.series_overhangs(bars, _dates(spark, sf_dir), CAL, [minutes]), window, methods)
+
+
+@query
+def level_methods(spark, sf_dir):
+    """What each method gave to bars of an hour, over a long and a short window of tape, and to bars of four hours, whose last bucket overhangs the close."""
+    b, scale = _level_bars(spark, sf_dir)
+    zones = levels.level_set(b, scale, CAL, *_profile(spark, sf_dir), SMALL)
+    path = scratch(spark, "level-set")
+    zones.write.parquet(path)
+    zones = spark.read.schema(zones.schema).parquet(path)
+    reports = [levels.method_report(b, zones, _refused(spark, sf_dir, b, 60, start), options=_WEIGHTED).withColumn("tape_from", ntz(start)) for start in ("2024-01-24", "2024-01-31 23:30:00")]
+    anchored = ("session", "pivot-classic")
+    b4 = samples.bars(spark, sf_dir, 240)
+    four = levels.session_lines(b4, indicators.atr(b4, block_rows=None).withColumnRenamed("value", "atr"), CAL, SMALL).withColumn("method", F.lit("session"))
+    reports.append(levels.method_report(b4, four, _refused(spark, sf_dir, b4, 240, "2024-01-24", anchored), anchored, _WEIGHTED).withColumn("tape_from", ntz("2024-01-24")))
+    rows = reduce(DataFrame.unionByName, reports)
+    return rows.select("instrument", F.col("resolution_minutes").cast("long").alias("resolution_minutes"), "tape_from", "method", "family", "weight", "zones", "capped", "absence")
+
+
+@query
+def level_set_ordered(spark, sf_dir):
+    """The level set without what is refused, from the lowest level to the highest."""
+    b, _ = _level_bars(spark, sf_dir)
+    z = levels.in_order(levels.allowed(_level_set(spark, sf_dir), _refused(spark, sf_dir, b, 60, "2024-01-24")))
+    return z.select("instrument", "position", "method", F.round("midpoint", 6).alias("midpoint"))
+
+
 def _round_numbers(bars, scales, options):
     """A caller's own level method: the next whole number over the last close."""
     last = bars.groupBy(*levels.KEYS).agg(F.max_by("close", "bucket_start").alias("c"), F.max("bucket_start").alias("formed_at"))
