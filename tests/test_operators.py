@@ -419,3 +419,30 @@ def test_neighbours_are_the_same_in_any_blocks_of_queries(spark, block):
         want |= {(q, rank + 1, r[0]) for rank, r in enumerate(best)}
     found = notes.semantic_topk(vectors, asked, 3, "m1", block=block).collect()
     assert {(r["query_id"], r["rank"], r["owner_id"]) for r in found} == want and len(found) == len(want)
+
+
+def test_a_method_report_tells_refusals_from_methods_without_levels(spark):
+    named = [("v", "in", 60), ("v", "out", 60), ("v", "late", 60)]
+    # hours of a Wednesday's session; one series also holds a bar of the hour after the close, one only has narrowed tape
+    hours = {"in": ["15:00", "16:00"], "out": ["15:00", "22:00"], "late": ["15:00"]}
+    bars = spark.createDataFrame([(*s, at(f"2024-01-24T{h}")) for s in named for h in hours[s[1]]], "venue string, instrument string, resolution_minutes int, bucket_start timestamp_ntz")
+    dates = spark.sql("SELECT date'2024-01-24' trade_date")
+    overhang = calendars.series_overhangs(bars, dates, CAL, [60])
+    assert {r["instrument"]: r["overhangs"] for r in overhang.collect()} == {"in": False, "out": True, "late": False}
+    tape = spark.createDataFrame([("v", "in", False), ("v", "late", True)], "venue string, instrument string, narrowed boolean")
+    methods = ("swing", "session", "pivot-classic", "volume-poc")
+    refused = levels.refusals(overhang, tape, methods)
+    assert {(r["instrument"], r["method"], r["reason"]) for r in refused.collect()} == {
+        ("out", "session", levels.OVERHANG), ("out", "pivot-classic", levels.OVERHANG), ("out", "volume-poc", levels.NO_TAPE), ("late", "volume-poc", levels.NARROWED),
+    }
+    zone = lambda name, method, bottom: ("v", name, 60, method, bottom, bottom + 1.0)
+    zones = spark.createDataFrame([zone("in", "swing", 4.0), zone("in", "swing", 2.0), zone("in", "session", 2.0), zone("out", "session", 1.0), zone("late", "volume-poc", 1.0), zone("out", "swing", 9.0)], "venue string, instrument string, resolution_minutes int, method string, bottom double, top double")
+    options = levels.Options(max_levels=2, weights={"Swing": 2.0})
+    report = {(r["instrument"], r["method"]): (r["family"], r["weight"], r["zones"], r["capped"], r["absence"]) for r in levels.method_report(bars, zones, refused, methods, options).collect()}
+    assert len(report) == 12
+    assert report["in", "swing"] == ("swing", 2.0, 2, True, None) and report["in", "session"] == ("session", 1.0, 1, False, None)
+    assert report["in", "pivot-classic"] == ("pivot", 1.0, 0, False, levels.NO_LEVELS) == report["late", "pivot-classic"]
+    assert report["out", "session"][2:] == (0, False, levels.OVERHANG) and report["out", "volume-poc"][4] == levels.NO_TAPE and report["late", "volume-poc"][2:] == (0, False, levels.NARROWED)
+    kept = levels.in_order(levels.allowed(zones, refused)).collect()
+    assert sorted((r["instrument"], r["position"], r["method"], r["midpoint"]) for r in kept) == [("in", 1, "session", 2.5), ("in", 2, "swing", 2.5), ("in", 3, "swing", 4.5), ("out", 1, "swing", 9.5)]
+    assert levels.refusals(overhang, tape, ("swing",)).count() == 0
