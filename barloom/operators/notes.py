@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from . import nearest
 
 
 def content_hash(text: Column | str = "text") -> Column:
@@ -29,35 +28,16 @@ def text_search(notes: DataFrame, query: str, k: int) -> DataFrame:
     return hit.orderBy(F.desc("recorded_at"), "id").limit(k)
 
 
-def similarity(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-QUERY_BLOCK = 2_048  # queries that are sent to all tasks at once; of 1,000 dimensions they have 8 MB
-
-
-def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int, model: str, within: DataFrame | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int, model: str, within: DataFrame | None = None, block: int = nearest.QUERY_BLOCK) -> DataFrame:
     """The k nearest notes of each query (query_id, query): cosine, ties by id. `within` (owner_id) limits the notes.
 
-    The queries are a stated set, dealt by their ids to blocks of about `block`
-    queries, whatever their number; each block meets all notes in one pass. Each
-    task ranks its own part first, so the last ranking sees k rows a part.
+    The search is exact and visits only notes that can be among the nearest;
+    see `nearest.search`, also for what takes no part.
     """
     rows = vectors.where(F.col("model") == model)
     if within is not None:
         rows = rows.join(within, "owner_id", "left_semi")
-    order = [F.desc("similarity"), F.col("owner_id")]
-    blocks = max(1, -(-queries.count() // block))
-    firsts = []
-    for n in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else queries
-        pairs = rows.crossJoin(F.broadcast(part)).withColumn("similarity", similarity(F.col("embedding"), F.col("query"))).withColumn("_part", F.spark_partition_id())
-        ranked = pairs.withColumn("_rank", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order)))
-        firsts.append(ranked.where(F.col("_rank") <= k).select("query_id", "owner_id", "similarity"))
-    first = reduce(DataFrame.unionByName, firsts)
-    last = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
-    return last.select("query_id", "rank", "owner_id", "similarity")
+    return nearest.search(rows, queries, k, query_block=block)
 
 
 def unsearchable(notes: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
