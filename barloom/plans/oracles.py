@@ -652,3 +652,36 @@ ORACLES |= {
     "level_set_ordered": with_(LEVEL_SET, COVERAGE, covered("2024-01-24", "w1"), _ASKED, _OVERHANGS, f"rp AS ({_report('w1', '2024-01-24')})".replace("LEFT JOIN zn ON zn.instrument = a.instrument AND zn.method = a.method", "").replace("coalesce(zn.n, 0)", "0"))
     + "SELECT instrument, row_number() OVER (PARTITION BY instrument ORDER BY round((bottom + top) / 2, 8), round(bottom, 8), method) AS position, method, round((bottom + top) / 2, 6) AS midpoint FROM lset JOIN rp USING (instrument, method) WHERE reason IS NULL",
 }
+
+
+def _snapshot(minutes: int) -> dict[str, str]:
+    """The tables of a snapshot at one bar size."""
+    sized = lambda sql: sql.replace("INTERVAL 60 MINUTE, trade_time_utc", f"INTERVAL {minutes} MINUTE, trade_time_utc")
+    look = sized(LEVEL_SET.replace(LEVEL_BARS, SNAPSHOT_BARS.replace("<= 500", "<= 200")))
+    # the grid of bar sizes that are asked for, and the bars of this one
+    step = f"st AS (SELECT unnest(generate_series(open_utc, ordinary_close - INTERVAL 1 MINUTE, to_minutes({minutes}))) AS t FROM sess)"
+    grid = f"gr AS (SELECT bool_or(NOT coalesce({trade_date('t')} IS NOT NULL AND t + to_minutes({minutes}) <= {ordinary_close(trade_date('t'))}, false)) AS o FROM st)"
+    newest = "nw AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY bucket_start DESC) <= 200)"
+    over = f"ov AS (SELECT instrument, gr.o OR bool_or(NOT {expected('bucket_start', minutes)}) AS overhangs FROM nw, gr GROUP BY instrument, gr.o)"
+    report = f"rp AS (SELECT a.instrument, a.method, family, weight, {_REASON} AS reason FROM asked a LEFT JOIN w1 USING (instrument) LEFT JOIN (SELECT instrument AS bi, overhangs FROM ov) b ON bi = a.instrument)"
+    zones = with_(look, COVERAGE, covered("2024-01-24", "w1"), _ASKED, SESSIONS, step, grid, newest, over, report)
+    window = "count(*) AS {0}bars, min(bucket_start) AS {0}first_bucket, array_to_string(list_sort(list(DISTINCT contract_id)), ',') AS {0}contracts, CASE WHEN count(DISTINCT contract_id) > 1 THEN 'SpansRoll' WHEN bool_or(contract_id IS NULL) THEN 'Unknown' ELSE 'SingleContract' END AS {0}span"
+    at, m = "TIMESTAMP '2024-01-25 12:00:00'", f"CAST({minutes} AS BIGINT) AS resolution_minutes"
+    shown = "sh AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY bucket_start DESC) <= 100)"
+    return {
+        "snapshot_bars": sized(with_(BARS)) + f"SELECT {m}, {BAR} FROM bars QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY bucket_start DESC) <= 100",
+        "snapshot_readings": sized(with_(BARS, runs(), CATALOGUE, "lv AS (SELECT instrument, indicator, max(bucket_start) AS bucket_start FROM cat GROUP BY ALL)"))
+        + f"SELECT i.instrument, {m}, CAST(n.period AS BIGINT) AS period, n.indicator, round(value, 6) AS value, c.bucket_start, contract_id FROM (SELECT DISTINCT instrument FROM bars) i CROSS JOIN (VALUES "
+        + ", ".join(f"('{n}', {PERIODS.get(n, 20)})" for n in INDICATORS)
+        + ") n(indicator, period) LEFT JOIN lv ON lv.instrument = i.instrument AND lv.indicator = n.indicator LEFT JOIN cat c ON c.instrument = i.instrument AND c.indicator = n.indicator AND c.bucket_start = lv.bucket_start",
+        "snapshot_levels": zones
+        + f"SELECT instrument, {m}, row_number() OVER (PARTITION BY instrument ORDER BY round((bottom + top) / 2, 8), round(bottom, 8), method) AS position, method, kind, round(bottom, 6) AS bottom, round(top, 6) AS top, round(significance, 6) AS significance, touches FROM lset JOIN rp USING (instrument, method) WHERE reason IS NULL",
+        "snapshot_methods": zones
+        + f"SELECT rp.instrument, {m}, rp.method, rp.family, weight, CASE WHEN reason IS NULL THEN coalesce(n, 0) ELSE 0 END AS zones, reason IS NULL AND coalesce(n, 0) = 12 AS capped, coalesce(reason, CASE WHEN n IS NULL THEN 'no levels' END) AS absence FROM rp LEFT JOIN (SELECT instrument AS zi, method AS zm, count(*) AS n FROM lset GROUP BY ALL) ON zi = instrument AND zm = rp.method",
+        "snapshot_series": sized(with_(SNAPSHOT_BARS.replace("<= 500", "<= 200"), DAYS, SESSIONS, newest, shown, f"sv AS (SELECT instrument, {window.format('')}, max(bucket_start) AS last_bucket, last(close ORDER BY bucket_start) AS close, last(volume ORDER BY bucket_start) AS volume FROM sh GROUP BY 1)", f"lw AS (SELECT instrument, {window.format('level_')} FROM nw GROUP BY 1)", "dt AS (SELECT instrument, count(*) AS detected_over_bars FROM lb GROUP BY 1)"))
+        + f"SELECT instrument, {m}, coalesce({at} < s.close_utc, false) AS is_open, CASE WHEN {at} < s.close_utc THEN s.trade_date END AS trade_date, (SELECT min(open_utc) FROM sess n WHERE n.open_utc > {at}) AS next_open_utc, sv.* EXCLUDE instrument, lw.* EXCLUDE instrument, detected_over_bars FROM sv JOIN lw USING (instrument) JOIN dt USING (instrument) LEFT JOIN sess s ON s.trade_date = {trade_date(at)}",
+    }
+
+
+for _name in _snapshot(5):
+    ORACLES[_name] = " UNION ALL ".join(f"SELECT * FROM ({_snapshot(m)[_name]})" for m in (5, 60))

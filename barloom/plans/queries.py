@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import contracts as fc
 from ..functions.market_time import SAMPLE_CALENDAR as CAL
 from ..functions.market_time import align_down, align_up, plus_minutes
-from ..operators import accounts, asof, calendars, contracts, indicators, intervals, levels, maintenance, notes, recurrence, series, sessions, tape
+from ..operators import accounts, asof, calendars, contracts, indicators, intervals, levels, maintenance, notes, recurrence, series, sessions, snapshot, tape
 from ..sources import samples, tape_files
 from ..sources.samples import ntz, raw
 from ..sources.storage import scratch
@@ -1191,3 +1191,48 @@ def recorder_health(spark, sf_dir):
     return live.recorder_health(ticks, samples.tape_coverage(spark, sf_dir), lease, session, now).drop("venue")
 
 
+
+
+# --- snapshots ----------------------------------------------------------------------------------------------------------
+
+
+def _snapshot(spark, sf_dir):
+    both = reduce(DataFrame.unionByName, [samples.bars(spark, sf_dir, minutes) for minutes in snapshot.RESOLUTIONS])
+    window = intervals.covered_window(samples.tape_coverage(spark, sf_dir), ntz("2024-01-24"), ntz("2024-02-01"))
+    return snapshot.Snapshot(both, indicators.catalogue(both, CAL), _dates(spark, sf_dir), CAL, ntz(AS_OF), window, *_profile(spark, sf_dir), _WEIGHTED)
+
+
+def _long(*names):
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+@query
+def snapshot_series(spark, sf_dir):
+    """Per instrument and bar size: session, newest bar, the windows of bars that are shown and that levels look at, and how many bars levels come from."""
+    rows = _snapshot(spark, sf_dir).state()
+    return rows.select(
+        "instrument", *_long("resolution_minutes"), "is_open", "trade_date", "next_open_utc", "close", "volume", "bars", "first_bucket", "last_bucket", "contracts", "span",
+        "level_bars", "level_first_bucket", "level_contracts", "level_span", "detected_over_bars",
+    )
+
+
+@query
+def snapshot_bars(spark, sf_dir):
+    return _snapshot(spark, sf_dir).shown().select(*_long("resolution_minutes"), *BAR)
+
+
+@query
+def snapshot_readings(spark, sf_dir):
+    return _snapshot(spark, sf_dir).readings().select("instrument", *_long("resolution_minutes", "period"), "indicator", F.round("value", 6).alias("value"), "bucket_start", "contract_id")
+
+
+@query
+def snapshot_levels(spark, sf_dir):
+    """The zones of each series from low to high, without what is refused."""
+    z = _snapshot(spark, sf_dir).levels()
+    return z.select("instrument", *_long("resolution_minutes"), "position", "method", "kind", *[F.round(c, 6).alias(c) for c in ("bottom", "top", "significance")], "touches")
+
+
+@query
+def snapshot_methods(spark, sf_dir):
+    return _snapshot(spark, sf_dir).methods().select("instrument", *_long("resolution_minutes"), "method", "family", "weight", "zones", "capped", "absence")
