@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..operators.intervals import complement, overlapping
 from ..sources.storage import scratch
+from ..sources.storage import stored as written
 
 OPEN_END = pd.Timestamp("9999-12-31")
 CONTRACT = ["venue", "instrument", "contract_id"]
@@ -281,6 +282,14 @@ def _replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*key, *[held[c] for c in QUOTE])], columns=columns)
 
 
+def _position(received_at: Column, sequence: Column) -> Column:
+    """(received_at, sequence) as one number in the same order, NULLs first: numbers are aggregated without sorting rows."""
+    whole = lambda c: c.cast("decimal(20,0)")
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), received_at)
+    instant, place = F.coalesce(whole(micros), whole(F.lit(-(10**18)))), F.coalesce(whole(sequence), whole(F.lit(str(-(1 << 63) - 1))))
+    return (instant * whole(F.lit(str(1 << 65))) + place).cast("decimal(38,0)")
+
+
 def latest_quotes(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """The quote of each contract after all its events, in the order of (received_at, sequence), which should be unique in a contract.
 
@@ -292,42 +301,56 @@ def latest_quotes(events: DataFrame, stored: DataFrame | None = None) -> DataFra
     without a later trade that is whether the value still carries. A contract
     that has later trades of earlier times is replayed from that event on. A
     contract whose book was never seen has no row.
+
+    The events are read once for each of four steps. A step leaves one row a
+    contract, which is stored, so that Spark knows its size and sends it to the
+    events; events are neither sorted nor shuffled unless they are replayed.
     """
     keys = ["venue", "contract_id"]
-    rows = events.select(*keys, *QUOTE, F.struct("received_at", F.col("sequence").cast("long").alias("sequence")).alias("_order"))
+    rows = events.select(*keys, *QUOTE, _position(F.col("received_at"), F.col("sequence").cast("long")).alias("_order"))
     if stored is not None:
-        before_all = F.struct(F.lit("0001-01-01").cast("timestamp_ntz").alias("received_at"), F.lit(0).cast("long").alias("sequence"))
-        rows = rows.unionByName(stored.select(*keys, *QUOTE, before_all.alias("_order")))
+        rows = rows.unionByName(stored.select(*keys, *QUOTE, _position(F.lit("0001-01-01").cast("timestamp_ntz"), F.lit(0)).alias("_order")))
     rows = rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("bid", "ask", "last")})
-    first = rows.where("book_known").groupBy(*keys).agg(F.min("_order").alias("_first"))
-    rows = rows.join(first, keys).where("_order >= _first")
+    first = written(rows.where("book_known").groupBy(*keys).agg(F.min("_order").alias("_first")), "quotes-first")
     traded = {value: ~F.col(value).eqNullSafe(F.lit(0)) for value, _ in _FIELDS}
-    known = [F.max(F.when(traded[v] | (F.col("_order") == F.col("_first")), F.struct(F.col(at).alias("at"), F.col("_order").alias("order"), F.col(v).alias("value"), F.col("trade_date").alias("day")))).alias(f"_{v}") for v, at in _FIELDS]
-    anchors = rows.groupBy(*keys).agg(
-        *known,
-        F.max(F.when(F.col("book_known"), F.struct("_order", "bid", "ask"))).alias("_book"),
-        F.max("quote_time_utc").alias("_quoted"),
-        F.max(F.struct("_order", "received_at", "trade_date")).alias("_end"),
-        F.min("_first").alias("_first"),
-    )
-    rows = rows.drop("_first").join(anchors, keys)
+    order, counts = F.col("_order"), {v: traded[v] | (F.col("_order") == F.col("_first")) for v, _ in _FIELDS}
+    newest = lambda name, when: F.max_by(name, F.when(when, order))
+
+    known = rows.join(first, keys).where("_order >= _first")
+    ends = written(
+        known.groupBy(*keys).agg(
+            *[F.max(F.when(counts[v], F.col(at))).alias(f"_{v}_at") for v, at in _FIELDS],
+            F.max(F.when(F.col("book_known"), order)).alias("_book_order"), newest("bid", F.col("book_known")).alias("_bid"), newest("ask", F.col("book_known")).alias("_ask"),
+            F.max("quote_time_utc").alias("_quoted"), F.max_by("received_at", "_order").alias("_end_at"), F.max_by("trade_date", "_order").alias("_end_day"), F.min("_first").alias("_first"),
+        ),
+        "quotes-ends",
+    )
+    known = rows.join(ends, keys).where("_order >= _first")
+    anchors = []
+    for v, at in _FIELDS:
+        here = counts[v] & F.col(at).eqNullSafe(F.col(f"_{v}_at"))
+        anchors += [F.max(F.when(here, order)).alias(f"_{v}_order"), newest(v, here).alias(f"_{v}_value"), newest("trade_date", here).alias(f"_{v}_day")]
+    anchored = written(known.groupBy(*keys).agg(*anchors).join(ends, keys), "quotes-anchors")
+    known = rows.join(anchored, keys).where("_order >= _first")
 
     def after(value: str) -> list[Column]:
-        later, a = F.col("_order") > F.col(f"_{value}.order"), F.col(f"_{value}")
-        near = F.coalesce(F.abs(F.timestamp_diff("MICROSECOND", a["at"], F.col("received_at"))) <= 60_000_000 * CARRY_MINUTES, F.lit(False))
-        carries = near & F.col("trade_date").eqNullSafe(a["day"]) & ~a["value"].eqNullSafe(F.lit(0))
+        later, held = order > F.col(f"_{value}_order"), F.col(f"_{value}_value")
+        near = F.coalesce(F.abs(F.timestamp_diff("MICROSECOND", F.col(f"_{value}_at"), F.col("received_at"))) <= 60_000_000 * CARRY_MINUTES, F.lit(False))
+        carries = near & F.col("trade_date").eqNullSafe(F.col(f"_{value}_day")) & ~held.eqNullSafe(F.lit(0))
         return [F.bool_and(~later | carries).alias(f"_{value}_kept"), F.bool_or(later & traded[value]).alias(f"_{value}_open")]
 
-    found = rows.groupBy(*keys).agg(*[c for v, _ in _FIELDS for c in after(v)]).join(anchors, keys)
+    found = written(known.groupBy(*keys).agg(*[c for v, _ in _FIELDS for c in after(v)]).join(anchored, keys), "quotes-found")
     unsure = F.col("_last_open") | F.col("_volume_open")
-    held = lambda v, of, none: F.when(F.col(f"_{v}_kept"), F.col(f"_{v}.{of}")).otherwise(none)
+    held = lambda v, of, none: F.when(F.col(f"_{v}_kept"), F.col(f"_{v}_{of}")).otherwise(none)
     sure = found.where(~unsure).select(
-        *keys, "_book.bid", "_book.ask", held("last", "value", F.lit(0.0)).alias("last"), held("volume", "value", F.lit(0)).cast("long").alias("volume"),
+        *keys, F.col("_bid").alias("bid"), F.col("_ask").alias("ask"), held("last", "value", F.lit(0.0)).alias("last"), held("volume", "value", F.lit(0)).cast("long").alias("volume"),
         held("last", "at", F.lit(None)).alias("last_at"), held("volume", "at", F.lit(None)).alias("volume_at"),
-        F.col("_quoted").alias("quote_time_utc"), "_end.received_at", F.lit(True).alias("book_known"), "_end.trade_date",
+        F.col("_quoted").alias("quote_time_utc"), F.col("_end_at").alias("received_at"), F.lit(True).alias("book_known"), F.col("_end_day").alias("trade_date"),
     )
-    start = found.where(unsure).select(*keys, "_first", "_quoted", F.least("_last.order", "_volume.order", "_book._order").alias("_start"))
-    tail = rows.select(*keys, *QUOTE, "_order").join(start, keys).where("_order >= _start").withColumn("_from_first", F.col("_start") == F.col("_first"))
+    start = found.where(unsure).select(*keys, "_first", "_quoted", F.least("_last_order", "_volume_order", "_book_order").alias("_start"))
+    if start.isEmpty():
+        return sure
+    tail = rows.join(start, keys).where("_order >= _start").withColumn("_from_first", F.col("_start") == F.col("_first"))
     replayed = tail.repartition(*keys).sortWithinPartitions(*keys, "_order").drop("_start", "_first", "_quoted", "_order").mapInPandas(_replay, QUOTE_SCHEMA)
     replayed = replayed.join(start.select(*keys, "_quoted"), keys).withColumn("quote_time_utc", F.col("_quoted")).drop("_quoted")
     return sure.unionByName(replayed.select(sure.columns))
