@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.market_time import align_down, plus_minutes
@@ -20,12 +20,10 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prints: even users trade ES, odd ones NQ; purchases and clicks buy, views and errors sell."""
-    e = raw(spark, sf_dir, "events")
+def _print_columns() -> list[Column]:
     even = F.col("user_id") % 2 == 0
     at = F.col("ts").cast("timestamp_ntz")
-    return e.select(
+    return [
         F.lit("SIM").alias("venue"),
         F.when(even, "ES").otherwise("NQ").alias("instrument"),
         F.concat(F.lit("CON.F.US."), F.when(even, "EP").otherwise("ENQ"), F.lit("."), F.when(F.col("event_id") % 30 >= F.dayofmonth(at), "H24").otherwise("M24")).alias("contract_id"),
@@ -35,7 +33,12 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("props", "$.k").cast("long").alias("size"),
         F.when(F.col("event_type").isin("click", "purchase"), 1).when(F.col("event_type").isin("view", "error"), 2).otherwise(0).alias("direction"),
         F.when(F.col("event_id") % 50 == 0, plus_minutes(at, 60)).otherwise(at + F.make_dt_interval(secs=F.lit(1))).alias("recorded_at"),
-    )
+    ]
+
+
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prints: even users trade ES, odd ones NQ; purchases and clicks buy, views and errors sell."""
+    return raw(spark, sf_dir, "events").select(*_print_columns())
 
 
 def _ohlcv(prints: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,8 +110,7 @@ def quote_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views and clicks are quotes around the price, purchases are trades."""
     from ..functions.market_time import SAMPLE_CALENDAR
 
-    e = raw(spark, sf_dir, "events").select("event_id", "event_type")
-    t = trades(spark, sf_dir).join(e, F.col("sequence") == e["event_id"])
+    t = raw(spark, sf_dir, "events").select(*_print_columns(), "event_type")
     quote, trade = F.col("event_type").isin("view", "click"), F.col("event_type") == "purchase"
     price = F.col("price")
     return t.where(quote | trade).select(
