@@ -123,3 +123,11 @@ class Calendar:
 
 #: The calendar of the test tables: two holidays and one early close.
 SAMPLE_CALENDAR = Calendar(holidays=("2024-01-01", "2024-01-15"), early_closes={"2024-01-12": 12 * 60})
+
+
+def position(received_at: Column, sequence: Column) -> Column:
+    """(received_at, sequence) as one number in the same order, NULLs first: numbers are aggregated without sorting rows."""
+    whole = lambda c: c.cast("decimal(20,0)")
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), received_at)
+    instant, place = F.coalesce(whole(micros), whole(F.lit(-(10**18)))), F.coalesce(whole(sequence), whole(F.lit(str(-(1 << 63) - 1))))
+    return (instant * whole(F.lit(str(1 << 65))) + place).cast("decimal(38,0)")

@@ -16,7 +16,7 @@ from ..functions.market_time import align_down, align_up, plus_minutes
 from ..operators import accounts, asof, calendars, contracts, indicators, intervals, levels, maintenance, notes, recurrence, series, sessions, snapshot, tape
 from ..sources import samples, tape_files
 from ..sources.samples import ntz, raw
-from ..sources.storage import scratch
+from ..sources.storage import scratch, stored
 from ..sources.versions import VersionedTable
 from ..streaming import tape as live
 
@@ -155,7 +155,8 @@ def bars_upsert(spark, sf_dir):
 
 def _session_bars(spark, sf_dir, now=NOW, gappy=False):
     make = samples.bars_gappy if gappy else samples.bars
-    both = make(spark, sf_dir).unionByName(make(spark, sf_dir, 30))
+    # stored: Spark would test each print, not each bar, for the calendar's filter on the grid that bars are joined with
+    both = stored(make(spark, sf_dir).unionByName(make(spark, sf_dir, 30)), "bars")
     windows = calendars.session_windows(_dates(spark, sf_dir), CAL)
     t = samples.trades(spark, sf_dir).agg(F.min("trade_time_utc").alias("a"), F.max("trade_time_utc").alias("b"))
     windows = windows.crossJoin(F.broadcast(t)).where("end_utc > a and start_utc <= b").drop("a", "b")

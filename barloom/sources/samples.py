@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.market_time import align_down, plus_minutes
+from ..functions.market_time import align_down, plus_minutes, position
 
 SERIES = ["venue", "instrument", "resolution_minutes"]
 ROLL = "2024-01-16 22:00:00"
@@ -42,7 +42,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ohlcv(prints: DataFrame, keys: list[str]) -> DataFrame:
-    order = F.struct("trade_time_utc", "sequence")
+    order = position(F.col("trade_time_utc"), F.col("sequence").cast("long"))
     return prints.groupBy(*keys).agg(
         F.min_by("price", order).alias("open"),
         F.max("price").alias("high"),

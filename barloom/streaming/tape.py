@@ -15,6 +15,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.window import Window
 
 
+from ..functions.market_time import position
 from ..operators.intervals import complement, overlapping
 from ..sources.storage import scratch
 from ..sources.storage import stored as written
@@ -282,14 +283,6 @@ def _replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*key, *[held[c] for c in QUOTE])], columns=columns)
 
 
-def _position(received_at: Column, sequence: Column) -> Column:
-    """(received_at, sequence) as one number in the same order, NULLs first: numbers are aggregated without sorting rows."""
-    whole = lambda c: c.cast("decimal(20,0)")
-    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), received_at)
-    instant, place = F.coalesce(whole(micros), whole(F.lit(-(10**18)))), F.coalesce(whole(sequence), whole(F.lit(str(-(1 << 63) - 1))))
-    return (instant * whole(F.lit(str(1 << 65))) + place).cast("decimal(38,0)")
-
-
 def latest_quotes(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """The quote of each contract after all its events, in the order of (received_at, sequence), which should be unique in a contract.
 
@@ -307,9 +300,9 @@ def latest_quotes(events: DataFrame, stored: DataFrame | None = None) -> DataFra
     events; events are neither sorted nor shuffled unless they are replayed.
     """
     keys = ["venue", "contract_id"]
-    rows = events.select(*keys, *QUOTE, _position(F.col("received_at"), F.col("sequence").cast("long")).alias("_order"))
+    rows = events.select(*keys, *QUOTE, position(F.col("received_at"), F.col("sequence").cast("long")).alias("_order"))
     if stored is not None:
-        rows = rows.unionByName(stored.select(*keys, *QUOTE, _position(F.lit("0001-01-01").cast("timestamp_ntz"), F.lit(0)).alias("_order")))
+        rows = rows.unionByName(stored.select(*keys, *QUOTE, position(F.lit("0001-01-01").cast("timestamp_ntz"), F.lit(0)).alias("_order")))
     rows = rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("bid", "ask", "last")})
     first = written(rows.where("book_known").groupBy(*keys).agg(F.min("_order").alias("_first")), "quotes-first")
     traded = {value: ~F.col(value).eqNullSafe(F.lit(0)) for value, _ in _FIELDS}

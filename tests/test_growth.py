@@ -2,6 +2,7 @@
 
 import pytest
 
+from barloom.functions.market_time import position
 from barloom.sources import samples
 from barloom.streaming import tape as live
 
@@ -29,6 +30,10 @@ def test_latest_quotes_neither_sort_nor_shuffle_events(spark, monkeypatch):
 def test_positions_keep_the_order_of_instant_and_sequence(spark, at):
     rows = spark.sql(f"""select at, s from values (null), (timestamp_ntz'{at}'), (timestamp_ntz'2024-01-01') t(at)
         cross join (values (cast(null as bigint)), (-9223372036854775808), (-1L), (0L), (9223372036854775807) u(s))""")
-    found = rows.selectExpr("struct(at, s) as pair", "at", "s").withColumn("n", live._position(rows["at"], rows["s"])).distinct()
+    found = rows.selectExpr("struct(at, s) as pair", "at", "s").withColumn("n", position(rows["at"], rows["s"])).distinct()
     assert [r["pair"] for r in found.orderBy("pair").collect()] == [r["pair"] for r in found.orderBy("n").collect()]
     assert found.where("n is null").isEmpty() and found.select("n").distinct().count() == found.count()
+
+
+def test_bars_are_aggregated_without_sorting_prints(spark):
+    assert "SortAggregate" not in plan(samples.bars(spark, FOLDER)) + plan(samples.bars_by_contract(spark, FOLDER))
