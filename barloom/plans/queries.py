@@ -290,7 +290,8 @@ def _gaps(spark, sf_dir):
     grid = calendars.expected_grid(_dates(spark, sf_dir), CAL, 60)
     span = samples.trades(spark, sf_dir).agg(F.date_trunc("DAY", F.min("trade_time_utc")).cast("timestamp_ntz").alias("a"), F.date_trunc("DAY", F.max("trade_time_utc")).cast("timestamp_ntz").alias("b"))
     grid = grid.crossJoin(F.broadcast(span)).where("bucket_start >= a and bucket_start < b")
-    b = samples.bars_gappy(spark, sf_dir)
+    # stored for the same reason as in _session_bars
+    b = stored(samples.bars_gappy(spark, sf_dir), "bars")
     hidden = F.hour("bucket_start") == 4
     return intervals.bar_gaps(b.withColumn("contract_id", F.when(~hidden, F.col("contract_id"))), grid, 60)
 
@@ -965,7 +966,9 @@ def footprint_fresh(spark, sf_dir):
 
 @query
 def reselect_bars(spark, sf_dir):
-    return maintenance.reselect(samples.bars_by_contract(spark, sf_dir), samples.bars_unknown(spark, sf_dir), CAL, _memo(spark, sf_dir)).drop("venue")
+    # each is read for several counts
+    by_contract, held, memo = stored(samples.bars_by_contract(spark, sf_dir), "contract-bars"), stored(samples.bars_unknown(spark, sf_dir), "bars"), stored(_memo(spark, sf_dir), "memo")
+    return maintenance.reselect(by_contract, held, CAL, memo).drop("venue")
 
 
 @query

@@ -3,6 +3,7 @@
 import pytest
 
 from barloom.functions.market_time import position
+from barloom.plans.queries import QUERIES
 from barloom.sources import samples
 from barloom.streaming import tape as live
 
@@ -37,3 +38,8 @@ def test_positions_keep_the_order_of_instant_and_sequence(spark, at):
 
 def test_bars_are_aggregated_without_sorting_prints(spark):
     assert "SortAggregate" not in plan(samples.bars(spark, FOLDER)) + plan(samples.bars_by_contract(spark, FOLDER))
+
+
+@pytest.mark.parametrize("name", ["session_bars", "session_indicator_asof", "reselect_bars", "bar_gaps"])
+def test_bars_are_stored_before_the_calendar_meets_them(spark, name):
+    assert "min_by" not in plan(QUERIES[name](spark, FOLDER))
