@@ -349,8 +349,8 @@ def indicator_latest(spark, sf_dir):
 
 
 def _session_closes(spark, sf_dir):
-    """Session bars as a series of their own: keyed by the session's open."""
-    s = _session_bars(spark, sf_dir).where("absence is null")
+    """Session bars as a series of their own: keyed by the session's open. They are read more than once, so they are stored."""
+    s = stored(_session_bars(spark, sf_dir).where("absence is null"), "session-bars")
     return s, s.select("venue", F.concat_ws("/", "instrument", "session").alias("instrument"), F.lit(0).alias("resolution_minutes"), F.col("start_utc").alias("bucket_start"), *_PRICES)
 
 
